@@ -14,35 +14,52 @@ import numpy as np
 
 from .memo import Memo
 
-_PLAIN = re.compile(r"[!-;=-~à-öø-ÿß-]+")  # no "<", which opens special tokens
+#: Letters, then marks: two matches of the pattern that any case and company leaves the same. "<" opens special tokens, "'" joins letters.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,!?;:|%&$#*]*)")
 
 
 class WordEncoder:
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
-            before = json.load(f).get("pre_tokenizer") or {}
-        first = (before.get("pretokenizers") or [before])[0]
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        first, *rest = before.get("pretokenizers") or [before]
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and not re.search(r"(?<!\^)\\s", first["pattern"].get("Regex", " "))
-        self.memo = Memo(room)
+        self.memo, self.parts = Memo(room), Memo(room)
+        if self.by_word:  # for runs of letters or marks that are normalised and split already
+            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+            self.plain = Tokenizer.from_str(json.dumps(spec))
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Put the ids of new lower-case letter runs and mark runs into their cache."""
+        young = self.parts.young
+        groups = [parts[i : i + 256] for i in range(0, len(parts), 256)]
+        for group, code in zip(groups, self.plain.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            data, starts = np.array(code.ids, "<u4").tobytes(), np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
+            firsts = np.cumsum([0] + [len(w) + 1 for w in group])
+            cuts = (4 * np.searchsorted(starts, firsts)).tolist()
+            for w, a, b in zip(group, cuts, cuts[1:]):
+                young[w] = data[a:b]
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of new words into the cache."""
         young, plain, odd = self.memo.young, [], []
         for w in words:
-            (plain if _PLAIN.fullmatch(w) else odd).append(w)
+            match = _PLAIN.fullmatch(w.lower())
+            plain.append((w, *match.groups())) if match else odd.append(w)
         for w, code in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
             young[w] = np.array(code.ids, "<u4").tobytes()
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, code in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            data, starts = np.array(code.ids, "<u4").tobytes(), np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
-            firsts = np.cumsum([0] + [len(w) + 1 for w in group])
-            cuts = (4 * np.searchsorted(starts, firsts)).tolist()
-            for w, a, b in zip(group, cuts, cuts[1:]):
-                young[w] = data[a:b]
+        self.parts.turn()
+        parts = {x for _, a, b in plain for x in (a, b)}
+        parts.discard("")
+        self._learn_parts(self.parts.missing(parts))
+        of = self.parts.young.get
+        for w, a, b in plain:
+            young[w] = of(a, b"") + of(b, b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
