@@ -1,6 +1,7 @@
 """WARC records in ZIP packages: writing, and reading by ranges without extraction.
 
-A package is a ZIP file with two stored members, ``archive/data.warc`` and ``indexes/index.cdxj`` (a line per record: key, place, length). The reader
+A package is a ZIP file with two stored members, ``archive/data.warc.gz`` (each record a gzip member of its own, so it can be read alone) and
+``indexes/index.cdxj`` (a line per record: key, place, length). The reader
 finds the end-of-central-directory record at the tail, follows the ZIP64 locator where a field is saturated, walks the central directory, takes the data
 start of a stored member from its local header, reads the index by its range, and then reads record ranges in batches that other tasks can share.
 
@@ -14,6 +15,7 @@ page_id and payload each is a response or each a revisit; an empty table gives n
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, written
 
-WARC, INDEX = "archive/data.warc", "indexes/index.cdxj"
+WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _FULL = 0xFFFFFFFF
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -174,7 +176,7 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.join(first, "sha1", "left").select("page_id", "url", "payload", F.when(repeat, F.col("_largest")).alias("original"))
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, max_bytes: int = 32 << 20, zip64: bool = True) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, max_bytes: int = 32 << 20, zip64: bool = True, level: int = 3) -> DataFrame:
     """Write all pages into packages under the folder; the manifest of what was written, itself a written table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, max_bytes:
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, payload, original = (batch.column(c)[i].as_py() for c in range(4))
-                made = record(page_id, url, payload, base32_sha1(payload), original)
+                made = gzip.compress(record(page_id, url, payload, base32_sha1(payload), original), level, mtime=0)
                 lines.append(f"{'' if page_id is None else page_id} {len(data)} {len(made)}\n")
                 data += made
                 if len(data) >= max_bytes:
@@ -236,7 +238,7 @@ def read_records(ranges: DataFrame, with_payload: bool = True) -> DataFrame:
                 out: list[list] = [[] for _ in schema.split(", ")]
                 with fs.open_input_file(name) as f:
                     for place, length in zip(row["places"], row["lengths"], strict=True):
-                        fields, block = parse_record(_read(f, place, length))
+                        fields, block = parse_record(gzip.decompress(_read(f, place, length)))
                         payload = block.split(b"\r\n\r\n", 1)[1]
                         digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
                         size = int(fields["x-payload-length"])
@@ -254,10 +256,11 @@ def read_records(ranges: DataFrame, with_payload: bool = True) -> DataFrame:
     return ranges.mapInArrow(work, schema)
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, per_range: int = 1000) -> DataFrame:
     """Write pages into packages in the shared folder and read their records back."""
     spark = pages.sparkSession
     manifest = write_archives(pages, fresh_path(spark, "warc"), min_bytes)
     tasks = max(1, spark.sparkContext.defaultParallelism)
-    ranges = record_ranges(manifest.repartition(tasks))
-    return read_records(ranges.repartition(F.col("path"), F.element_at("places", 1)), with_payload=False)
+    records = manifest.agg(F.sum("records")).first()[0] or 0
+    ranges = record_ranges(manifest.repartition(tasks), per_range)
+    return read_records(ranges.repartition(max(tasks, records // (8 * per_range))), with_payload=False)
