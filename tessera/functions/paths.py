@@ -98,3 +98,8 @@ def safe_relpath(path: Column) -> Column:
 def pct_delta(now: Column, base: Column) -> Column:
     """Change in percent, null on a zero or missing base."""
     return F.when(base != 0, (now - base) / base * 100)
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))

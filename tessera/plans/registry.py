@@ -11,7 +11,7 @@ from .fixtures import Inputs, duck_sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
-MODULES = ("corpus_queries", "facts_queries", "crossrepo_queries", "qa_queries", "docs_queries", "decision_queries")
+MODULES = ("corpus_queries", "facts_queries", "crossrepo_queries", "qa_queries", "docs_queries", "decision_queries", "metrics_queries", "graph_queries", "event_queries")
 
 
 def register(name: str, query: Callable[[Inputs], DataFrame], fixtures: str = "", sql: str = "") -> None:
