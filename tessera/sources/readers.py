@@ -25,7 +25,7 @@ def in_skipped_dir(rel: Column) -> Column:
 
 
 def read_corpus(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """files(repo, rel, content, bytes, sha) of whole trees, one folder per repository; the path filter comes before the content is decoded."""
+    """files(repo, rel, content, bytes, sha) of whole trees, one folder per repository; the path filter comes before the content is decoded. Empty files are not listed."""
     out = None
     for repo, root in roots.items():
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -75,7 +75,8 @@ def read_steps(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """JSON lines by schema, and the lines that are not JSON of it."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
     return rows.filter("_bad IS NULL").drop("_bad"), rows.filter("_bad IS NOT NULL").select(F.lit("invalid JSON").alias("reason"), F.col("_bad").alias("raw"))
 
 
