@@ -113,8 +113,8 @@ SELECT s.task_id, s.id, CASE WHEN sk.id IS NOT NULL THEN 'SKIPPED' ELSE status E
 
 register("dq1_assert_table", lambda t: A.assert_table(t.orders, min_count=10, constant={"o_orderstatus": "O"}), "", "SELECT count(*) >= 10 AND count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM 'O') = 0 AS passed, count(*) AS actual_count FROM orders")
 register("dq2_orphan_rows", lambda t: A.orphan_rows(t.lineitem, t.orders.filter("o_orderkey % 3 <> 0"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_partkey", "l_linenumber"), "", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)")
-register("dq3_total_mismatch", lambda t: A.total_mismatch(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_totalprice", F.expr("round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2)")).select("o_orderkey", "o_totalprice", F.round("lines_total", 2).alias("lines_total")), "", """
-WITH l AS (SELECT l_orderkey, sum(round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2)) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey, o_totalprice, round(coalesce(s, 0), 2) AS lines_total FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE abs(o_totalprice - coalesce(s, 0)) > 0.005""")
+register("dq3_total_mismatch", lambda t: A.total_mismatch(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_totalprice", F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)")).select("o_orderkey", "o_totalprice", F.round("lines_total", 1).alias("lines_total")), "", """
+WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey, o_totalprice, round(coalesce(s, 0), 1) AS lines_total FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE abs(o_totalprice - coalesce(s, 0)) > 0.005""")
 register("dq4_duplicate_keys", lambda t: A.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"]), "", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 register("dq4_null_violations", lambda t: A.null_violations(t.orders.withColumn("o_custkey", F.expr("nullif(o_custkey % 5, 0)")), ["o_orderkey", "o_custkey"]), "", "SELECT 'o_orderkey' AS \"column\", count(*) FILTER (WHERE o_orderkey IS NULL) AS nulls FROM orders UNION ALL SELECT 'o_custkey', count(*) FILTER (WHERE o_custkey % 5 = 0) FROM orders")
 register("dq4_check_violations", lambda t: A.check_violations(t.lineitem, "l_discount <= 0.08 AND l_quantity > 1").select("l_orderkey", "l_linenumber", "l_partkey"), "", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT (l_discount <= 0.08 AND l_quantity > 1)")
