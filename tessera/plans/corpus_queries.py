@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import corpus as C
 from ..sources import readers as R
 from .registry import register
+from .shared import fresh_path
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -145,3 +147,34 @@ register("tk6_top_hubs", lambda t: C.top_hubs(_hubs(t), 10), "import_lines", HUB
 FAM = r"CASE WHEN regexp_matches(rel, '\.tsx?$') THEN 'ts' WHEN regexp_matches(rel, '\.jsx?$') THEN 'js' ELSE regexp_extract(rel, '\.([a-z]+)$', 1) END"
 register("ag2_language_breakdown", lambda t: C.language_breakdown(t.code), "code", f"SELECT repo, {', '.join(f'count(*) FILTER (WHERE {FAM} = {q(n)}) AS {n}' for n in ['ts', 'js', 'py', 'go', 'java', 'kt', 'dart', 'rs'])} FROM code WHERE {SOURCE} GROUP BY repo")
 register("ag3_scan_totals", lambda t: C.scan_totals(t.code), "code", rf"SELECT coalesce(repo, '(all)') AS repo, count(*) FILTER (WHERE {SOURCE}) AS sources, count(*) FILTER (WHERE {TEST}) AS tests, count(*) FILTER (WHERE regexp_matches(lower(rel), '\.(html|htm|vue|svelte|tsx|jsx)$')) AS ui, count(*) AS files FROM code GROUP BY ROLLUP (repo)")
+
+
+def _corpus(t):
+    """Addresses of the pages written as text files, read back as a source tree."""
+    path = fresh_path(t.spark, "corpus")
+    t.pages.select("url").write.text(path)
+    lines = R.to_lines(R.read_corpus(t.spark, {"site": path}))
+    return lines.groupBy("repo").agg(F.count("*").alias("lines"), F.sum(F.length("content")).alias("chars"))
+
+
+register("io1_read_corpus", _corpus, "", "SELECT 'site' AS repo, count(*) AS lines, CAST(sum(length(url)) AS BIGINT) AS chars FROM pages")
+
+
+def _tsv(t):
+    path = fresh_path(t.spark, "tsv")
+    row = "CASE WHEN o_orderkey % 10 = 0 THEN '# comment' WHEN o_orderkey % 10 = 1 THEN 'short' WHEN o_orderkey % 10 = 2 THEN concat(o_orderkey, '\t', o_orderstatus) ELSE concat(o_orderkey, '\t', o_orderstatus, '\t', o_orderpriority) END"
+    t.orders.select(F.expr(row).alias("value")).write.text(path)
+    return R.read_tsv(t.spark, path, ["key", "status", "priority"], 2)
+
+
+register("io4_read_tsv", _tsv, "", "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, CASE WHEN o_orderkey % 10 <> 2 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 10 > 1")
+
+
+def _jsonl(t):
+    path = fresh_path(t.spark, "jsonl")
+    t.events.select(F.expr("CASE WHEN event_id % 7 = 0 THEN '{broken' ELSE to_json(named_struct('id', event_id, 'kind', event_type)) END").alias("value")).write.text(path)
+    good, bad = R.read_jsonl(t.spark, path, T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType())]))
+    return good.select(F.col("kind").alias("what"), "id").unionByName(bad.select(F.col("reason").alias("what"), F.lit(None).cast("long").alias("id"))).groupBy("what").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
+register("io6_read_jsonl", _jsonl, "", "SELECT CASE WHEN event_id % 7 = 0 THEN 'invalid JSON' ELSE event_type END AS what, count(*) AS n, max(CASE WHEN event_id % 7 <> 0 THEN event_id END) AS last FROM events GROUP BY 1")

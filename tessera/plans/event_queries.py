@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import events as E
 from .registry import register
+from .shared import fresh_path
 
 
 def mixed(t):
@@ -33,3 +34,17 @@ register("ev6_partition_skew", lambda t: E.partition_skew(t.messages, "1 day", 1
 register("ev6_consumer_lag", lambda t: E.consumer_lag(t.messages, t.messages.filter("msg_offset % 5 = 0 AND part_no < 3").groupBy("topic", "part_no").agg(F.min_by("msg_offset", F.expr("abs(msg_offset - 300)")).alias("committed"))), "messages", """
 , c AS (SELECT topic, part_no, arg_min(msg_offset, abs(msg_offset - 300)) AS committed FROM messages WHERE msg_offset % 5 = 0 AND part_no < 3 GROUP BY 1, 2), h AS (SELECT topic, part_no, max(msg_offset) + 1 AS high, min(msg_offset) AS low FROM messages GROUP BY 1, 2)
 SELECT h.topic, h.part_no, high - coalesce(committed, low) AS lag, high - coalesce(committed, low) > 0.5 * (high - low) AS alert FROM h LEFT JOIN c ON h.topic = c.topic AND h.part_no = c.part_no""")
+
+
+def consumed(t):
+    """Two runs over a folder that grows between them: each takes only what is new."""
+    source, sink, log = (fresh_path(t.spark, n) for n in ("events", "sink", "offsets"))
+    first, second = t.messages.filter("msg_offset % 3 > 0"), t.messages.filter("msg_offset % 3 = 0")
+    first.write.parquet(source)
+    E.incremental_consume(t.spark, source, first.schema, sink, log)
+    second.write.mode("append").parquet(source)
+    E.incremental_consume(t.spark, source, first.schema, sink, log)
+    return t.spark.read.schema(first.schema).parquet(sink).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("msg_offset").alias("offsets"))
+
+
+register("ev7_incremental_consume", consumed, "messages", "SELECT event_type, count(*) AS n, count(DISTINCT msg_offset) AS offsets FROM messages GROUP BY 1")
