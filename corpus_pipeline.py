@@ -16,9 +16,9 @@ from tessera.llm.common import table, written
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.language_id import UNDETERMINED, identify_language
 from tessera.llm.packing import pack_documents
-from tessera.llm.queries_op7 import held_out
+from tessera.llm.queries_op7 import train_on_labels
 from tessera.llm.queries_op8 import language_model
-from tessera.llm.toxicity import score_toxicity, train_toxicity
+from tessera.llm.toxicity import score_toxicity
 
 MIN_LANGUAGE_SCORE, TOXIC = 0.5, 0.7
 
@@ -31,8 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC."""
-    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "toxic")
-    model = train_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = train_on_labels(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model, TOXIC, score="_toxic_score", predicted="_toxic").filter("_toxic = 0").select(*docs.columns)
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +36,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(rows: DataFrame, sample: int, key: str) -> DataFrame:
+    """About ``sample`` rows, or all if there are no more: those whose key's hash is small. The rows are counted; none are sorted or moved."""
+    n = rows.count()
+    if n <= sample:
+        return rows
+    part = int((1 << 30) * min(1.0, 1.1 * sample / n))
+    return rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < part)
+
+
+def fitted(rows: DataFrame, sample: int, fit):
+    """The model that fit(texts, labels) gives for at most ``sample`` of rows(key, text, label). It is fitted in a task; only the model comes back."""
+    few = bounded(rows, sample, "key").orderBy(F.xxhash64("key"), "text", "label").limit(sample).select("text", "label")
+
+    def work(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        yield pa.record_batch([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], names=["model"])
+
+    made = few.coalesce(1).mapInArrow(work, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([], [])

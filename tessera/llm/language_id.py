@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fitted
 from .textvec import code_points, ngrams, slices
 
 LETTER = regex.compile(r"\p{L}")
@@ -88,7 +89,7 @@ def fit_language(texts: list[str], langs: list[str], bits: int = 13, orders: tup
         for counts in _counts(texts[a : a + 64], orders, bits):
             at = np.flatnonzero(counts)
             df[at] += 1
-            rows.append((at, np.log1p(counts[at])))
+            rows.append((at.astype(np.int32), np.log1p(counts[at])))
     model.idf = np.log((1 + len(texts)) / (1 + df)) + 1
     rows = [(at, x * model.idf[at]) for at, x in rows]
     rows = [(at, x / max(np.linalg.norm(x), 1e-12)) for at, x in rows]
@@ -118,11 +119,10 @@ def fit_language(texts: list[str], langs: list[str], bits: int = 13, orders: tup
     return model
 
 
-def train_language(labelled: DataFrame, sample: int = 6000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+def train_language(labelled: DataFrame, sample: int = 5000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fit on at most ``sample`` rows of labelled(key, text, lang)."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("order"))
-    got = rows.orderBy("order", "text", "lang").limit(sample).toArrow()
-    return fit_language(got["text"].to_pylist(), got["lang"].to_pylist())
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("label"))
+    return fitted(rows, sample, fit_language)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

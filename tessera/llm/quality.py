@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fitted
 from .textvec import code_points, sigmoid, slices
 
 LAGS = (1, 2, 3, 4, 6)
@@ -155,9 +156,8 @@ def fit_quality(texts: list[str], labels: np.ndarray, words: int = 64, hidden: i
 
 def train_quality(labelled: DataFrame, sample: int = 4000, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
     """Fit on at most ``sample`` rows of labelled(key, text, label)."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("order"))
-    got = rows.orderBy("order", "text").limit(sample).toArrow()
-    return fit_quality(got["text"].to_pylist(), got["label"].to_numpy())
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    return fitted(rows, sample, fit_quality)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:

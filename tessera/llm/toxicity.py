@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fitted
 from .textvec import code_points, ngrams, sigmoid, slices
 
 
@@ -100,9 +101,8 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, bits: int = 22, orders: t
 
 def train_toxicity(labelled: DataFrame, sample: int = 8000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Fit on at most ``sample`` rows of labelled(key, text, label)."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("order"))
-    got = rows.orderBy("order", "text").limit(sample).toArrow()
-    return fit_toxicity(got["text"].to_pylist(), got["label"].to_numpy())
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    return fitted(rows, sample, fit_toxicity)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
