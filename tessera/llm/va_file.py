@@ -140,10 +140,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "vec_i
     c = written(numbered(vectors, block, "va"), "va-blocks")
     q = numbered(queries, query_block, "va-queries").select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("number").alias("q_number"))
     n = c.count()
-    if n == 0:
-        pairs = q.crossJoin(c.limit(0))
-    else:  # every query block to every block of vectors
-        pairs = q.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(c, "number").filter("dim = q_dim")
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(n)), lambda x: x > 0)
+    pairs = q.withColumn("number", F.explode(numbers)).join(c, "number").filter("dim = q_dim")  # every query block to every block of vectors
     schema = "query_id long, vec_id long, score long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
