@@ -10,7 +10,7 @@ for such a group is the difference of its key lists themselves.
 Likeness of two texts is the share of their distinct paragraphs that both hold; of two texts without paragraphs it is 1.
 
 Defined results: null text is empty; the next document is that with the next smaller id, and after the smallest comes the largest (a null id is below
-all others); of rows that repeat an id each is a row of the result, and the one with the least text hash is that id's document to the one before; a
+all others); of rows that repeat an id each is a row of the result, and the one with the least text is that id's document to the one before; a
 single document is its own next; an empty table gives no rows; other columns are ignored.
 """
 
@@ -103,13 +103,15 @@ def fingerprints(docs: DataFrame, run: int = 256, cells: int = 24) -> DataFrame:
     """docs(doc_id, text) to fingerprints of each text and of its edited text (the last third replaced by the start of the next document), and their
     likeness, and that to the next document."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("oid"), text.alias("text"), F.length(text).cast("long").alias("n"))
-    order = successors(base.select("oid", "n"))
-    one = F.row_number().over(Window.partitionBy("oid").orderBy(F.xxhash64("text"), "text"))
+    # Two columns and no more: then both sides of the join below read one exchange.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("oid"), text.alias("text"))
+    order = successors(base.select("oid", F.length("text").cast("long").alias("n")))
+    # A running sum, not row_number, and the plain text: else Spark limits groups or adds a column ahead of the exchange, which makes it another one.
+    one = F.sum(F.lit(1)).over(Window.partitionBy("oid").orderBy("text").rowsBetween(Window.unboundedPreceding, 0))
     given = order.select(F.col("next_oid").alias("oid"), F.col("oid").alias("to"), F.col("n").alias("to_n"))
     gift = base.withColumn("_one", one).filter("_one = 1").join(given, "oid")
     gift = gift.select(F.col("to").alias("oid"), F.expr("substring(text, 1, cast(floor(to_n / 3) as int))").alias("head"), paragraphs(F.col("text"), run).alias("next_keys"))
-    both = base.join(gift, "oid")
+    both = base.join(gift, "oid").withColumn("doc_id", F.when(F.col("oid") != LEAST, F.col("oid"))).withColumn("n", F.length("text").cast("long"))
     third = "cast(floor(n / 3) as int)"
     edited = both.select("doc_id", "n", "text", F.expr(f"concat(substring(text, 1, cast(n as int) - {third}), substring(head, 1, {third}))").alias("edited"), "next_keys")
     keyed = edited.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text"), run).alias("keys"), paragraphs(F.col("edited"), run).alias("edited_keys"), "next_keys")
