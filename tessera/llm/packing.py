@@ -1,9 +1,10 @@
 """Best-fit packing by bin completion.
 
 Only the lengths matter to a packing, so the corpus is first counted by length: at most ``capacity`` numbers, whatever its size. Over those counts bin
-completion works on whole groups of like bins: it takes the largest length left, looks for the undominated fillings of the room beside it, and repeats
-the chosen one while the counts last. Best-fit completion gives the incumbent; a branch and bound over the other undominated fillings, pruned by the
-waste that a better packing could still afford, improves on it within a node limit. The chosen patterns become ranges of ranks within each length, and
+completion works on whole groups of like bins: it takes the largest length left, looks for fillings of the room beside it, and repeats the chosen one.
+Best-fit completion gives the incumbent; two searches by branch and bound, pruned by the waste that a better packing could still afford, improve on it.
+The first tries a few likely fillings, each while the counts last. The second tries every undominated filling, and each any number of times; its only cut
+is the node limit, so a search that ends within it has proven its packing optimal. The chosen patterns become ranges of ranks within each length, and
 every piece finds its sequence from its own rank, so no task sees more than its share of pieces.
 
 Defined results: null text is empty (its one piece is the closing id); pieces of full capacity are sequences of their own; repeated rows are packed
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .word_tokens import WordEncoder
 
+COMPARED = 64  # a filling is compared with so many fuller ones; one that is not compared is kept
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -71,9 +73,9 @@ def _pair(v: np.ndarray, counts: np.ndarray, room: int) -> tuple[int, tuple[int,
     return (int(total[i]), (int(a[i]), int(v[at[i]]))) if total[i] else (0, ())
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Fillings of the room, fullest first. A single length dominates all sets that are no fuller, and a pair all triples that are no fuller; those
-    are left out. Before the last three items the largest that fit are taken."""
+def likely(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
+    """A few full fillings of the room, fullest first, for best-fit completion and a first search: before the last three items the largest that fit are
+    taken, then the largest length, the fullest pair or some triples that are fuller follow."""
     v = np.nonzero(counts[: room + 1])[0]
     if not len(v):
         return [()]
@@ -108,6 +110,75 @@ def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]
     return [tuple(head) + x[1] for x in found[:width]]
 
 
+def _dominates(one: tuple[int, ...], other: tuple[int, ...], steps: int = 200) -> bool:
+    """Whether other (both in falling order) parts into sets that each fit an item of its own of one. Where the steps run out the answer is no, which
+    keeps a filling that could be dropped."""
+    room, tries = list(one), [steps]
+
+    def place(k: int) -> bool:
+        if k == len(other):
+            return True
+        seen = set()
+        for i, free in enumerate(room):
+            if free >= other[k] and free not in seen:
+                seen.add(free)
+                tries[0] -= 1
+                if tries[0] < 0:
+                    return False
+                room[i] -= other[k]
+                if place(k + 1):
+                    return True
+                room[i] += other[k]
+        return False
+
+    return len(other) <= steps and one[:1] >= other[:1] and place(0)
+
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of the room, found one by one, fullest first; None stands for one that another dominates, so that the caller can count
+    it. Of like fullness the lexicographically largest comes first: what dominates a filling comes before it."""
+    kinds = np.nonzero(counts[: room + 1])[0].tolist()
+    sums, mask = [1], (1 << (room + 1)) - 1  # sums[i]: bit s is set where the i smallest lengths can make up s
+    for k in kinds:
+        bits, n, step = sums[-1], min(int(counts[k]), room // k), 1
+        while n:
+            step = min(step, n)
+            bits |= bits << (step * k) & mask
+            n -= step
+            step *= 2
+        sums.append(bits)
+
+    def of_sum(total: int) -> Iterator[tuple[int, ...]]:
+        stack = [(len(kinds), total, ())]
+        while stack:
+            i, rest, items = stack.pop()
+            if not rest:
+                yield items
+                continue
+            more = []
+            for j in range(i - 1, -1, -1):  # the next smaller length, as often as possible first
+                k = kinds[j]
+                if not sums[j + 1] >> rest & 1:
+                    break
+                for m in range(min(int(counts[k]), rest // k), 0, -1):
+                    if sums[j] >> (rest - m * k) & 1:
+                        more.append((j, rest - m * k, items + (k,) * m))
+            stack += reversed(more)
+
+    kept: list[tuple[int, ...]] = []
+    for total in range(room, -1, -1):
+        if not sums[-1] >> total & 1:
+            continue
+        for items in of_sum(total):
+            if any(_dominates(x, items) for x in kept[:COMPARED]):
+                yield None
+                continue
+            kept.append(items)
+            yield items
+            if len(items) <= 1:  # one length dominates all that are no fuller
+                return
+
+
 def _complete(counts: np.ndarray, capacity: int, choose) -> list[tuple[tuple[int, ...], int]]:
     """Pack all counts, each time around the largest length left."""
     left, out = counts.copy(), []
@@ -129,41 +200,67 @@ def _complete(counts: np.ndarray, capacity: int, choose) -> list[tuple[tuple[int
 def plan(counts: np.ndarray, capacity: int, nodes: int = 3000, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence) and how often each is used. counts[k]: pieces of length k, for k up to capacity."""
     counts = np.asarray(counts, np.int64)
-    best = _complete(counts, capacity, lambda left, room: fillings(left, room, 1)[0] if room else ())
+    best = _complete(counts, capacity, lambda left, room: likely(left, room, 1)[0] if room else ())
     used = sum(n for _, n in best)
     least, total = lower_bound(counts, capacity), int((np.arange(len(counts)) * counts).sum())
     budget = [nodes]
 
-    def search(left: np.ndarray, done: list, bins: int, waste: int) -> None:
+    def some(left: np.ndarray, room: int) -> list[tuple[int, ...]]:
+        return likely(left, room, width) if room else [()]
+
+    def every(left: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+        yield next(fillings(left, room))  # most nodes need no other; what the second takes is not held until then
+        again = fillings(left, room)
+        next(again)
+        yield from again
+
+    def search(left: np.ndarray, done: list, bins: int, waste: int, options, repeats: bool) -> None:
         nonlocal best, used
         top = int(np.max(np.nonzero(left)[0], initial=0))
         if not top:
             if bins < used:
                 best, used = list(done), bins
             return
-        left[top] -= 1
-        options = fillings(left, capacity - top, width) if top < capacity else [()]
-        left[top] += 1
-        for fill in options:
-            if budget[0] <= 0 or used <= least:
-                return
+        others = left.copy()
+        others[top] -= 1
+
+        def follow(items: tuple[int, ...], times: int) -> None:
             budget[0] -= 1
-            items = (top, *fill)
             kinds, need = np.unique(items, return_counts=True)
-            times = int((left[kinds] // need).min())
-            lost = waste + times * (capacity - sum(items))
-            if lost > (used - 1) * capacity - total:  # more waste than a better packing has
-                continue
             rest = left.copy()
             rest[kinds] -= need * times
-            if bins + times + lower_bound_fast(rest, capacity) < used:
-                search(rest, [*done, (items, times)], bins + times, lost)
+            lost = waste + times * (capacity - sum(items))
+            if lost <= (used - 1) * capacity - total and bins + times + lower_bound_fast(rest, capacity) < used:
+                search(rest, [*done, (items, times)], bins + times, lost, options, repeats)
+
+        fewer = []
+        for fill in options(others, capacity - top):
+            if budget[0] <= 0 or used <= least:
+                return
+            if fill is None:
+                budget[0] -= 1
+                continue
+            items = (top, *fill)
+            if waste + capacity - sum(items) > (used - 1) * capacity - total:  # more waste than a better packing has; all that follow waste no less
+                break
+            kinds, need = np.unique(items, return_counts=True)
+            most = int((left[kinds] // need).min())
+            if repeats and most > 1:
+                fewer.append((items, most))
+            follow(items, most)
+        for items, most in fewer:
+            for times in range(most - 1, 0, -1):
+                if budget[0] <= 0 or used <= least:
+                    return
+                follow(items, times)
 
     if used > least:
         import sys
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * capacity + 1000))
-        search(counts.copy(), [], 0, 0)
+        for options in (some, every):  # within its nodes the narrow search gets further up; the second leaves nothing out
+            budget[0] = nodes
+            search(counts.copy(), [], 0, 0, options, options is every)
     return best
 
 

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm.common import written
-from tessera.llm.packing import lower_bound, pack, pack_documents, pieces, plan
+from tessera.llm.packing import _dominates, fillings, lower_bound, pack, pack_documents, pieces, plan
 from tessera.llm.queries_op3 import op3_best_fit_packing
 from tessera.llm.word_tokens import WordEncoder
 
@@ -75,6 +76,22 @@ def test_plan_is_optimal_on_small_inputs(lengths):
     assert lower_bound(counts, 20) <= fewest(sorted(lengths, reverse=True), 20) == n
 
 
+@pytest.mark.parametrize("lengths", [[40, 39, 38, 36, 34, 31, 29, 27, 26], [30, 30, 30, 25, 25, 25, 45, 45, 45]])
+def test_no_filling_is_left_out(lengths):
+    assert check_plan(np.bincount(lengths, minlength=101), 100) == fewest(lengths, 100) == 3
+
+
+def test_fillings():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        lengths, room = rng.integers(1, 16, 6).tolist(), int(rng.integers(1, 40))
+        found = [x for x in fillings(np.bincount(lengths, minlength=41), room) if x is not None]
+        assert [sum(x) for x in found] == sorted((sum(x) for x in found), reverse=True)
+        assert not any(_dominates(a, b) for a in found for b in found if a is not b)
+        every = {tuple(sorted(c, reverse=True)) for n in range(7) for c in combinations(lengths, n) if sum(c) <= room}
+        assert set(found) <= every and all(any(_dominates(a, b) for a in found) for b in every)
+
+
 def test_plan_of_many():
     rng = np.random.default_rng(1)
     counts = np.bincount(np.clip(rng.lognormal(6, 1, 100_000).astype(int), 1, 2047), minlength=2049)
