@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
-    """start(keys, node) and edges(keys, src, dst) to (keys, node, depth): all that start reaches, each at its least depth."""
+def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
+    """start(keys, node) and edges(keys, src, dst) to (keys, node, depth): all that start reaches, or reaches within max_depth, each at its least depth."""
     seen = start.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         step = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
@@ -19,27 +23,29 @@ def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int) -
     return seen
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_levels: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """nodes(keys, node) and edges(keys, src, dst) to the level of each node in Kahn's order; level -1 marks nodes on or behind a cycle."""
     left = nodes.select(*keys, "node").distinct().checkpoint()
     open_edges = edges.filter("src <> dst").select(*keys, "src", "dst").distinct().unionByName(edges.filter("src = dst").select(*keys, "src", "dst").distinct()).checkpoint()
     out = None
-    for level in range(max_levels):
+    for level in count():
         free = left.join(open_edges.select(*keys, F.col("dst").alias("node")).distinct(), [*keys, "node"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if free.isEmpty():
             break
         out = free if out is None else out.unionByName(free)
+        if level % 50 == 49:  # a union of many levels is too deep a plan
+            out = out.checkpoint()
         left = left.join(free, [*keys, "node"], "left_anti").checkpoint()
         open_edges = open_edges.join(free.select(*keys, F.col("node").alias("src")), [*keys, "src"], "left_anti").checkpoint()
     rest = left.withColumn("level", F.lit(-1))
     return rest if out is None else out.unionByName(rest)
 
 
-def skip_propagation(status: DataFrame, deps: DataFrame, max_depth: int = 1000) -> DataFrame:
+def skip_propagation(status: DataFrame, deps: DataFrame) -> DataFrame:
     """status(task_id, id, status) and deps(task_id, id, dependency): a step is SKIPPED when a dependency, however far, did not pass."""
     failed = status.filter("status <> 'PASS'").select("task_id", F.col("id").alias("node"))
     edges = deps.select("task_id", F.col("dependency").alias("src"), F.col("id").alias("dst")).distinct()
-    reached = reach(failed, edges, ["task_id"], max_depth)
+    reached = reach(failed, edges, ["task_id"])
     direct = reached.select("task_id", F.col("node").alias("src")).join(edges, ["task_id", "src"]).select("task_id", F.col("dst").alias("id")).distinct().withColumn("_skip", F.lit(True))
     return status.join(direct, ["task_id", "id"], "left").select("task_id", "id", F.when(F.col("_skip"), "SKIPPED").otherwise(F.col("status")).alias("status"))
 
@@ -60,18 +66,18 @@ def merge_plan(projects: DataFrame, depends_on: DataFrame) -> tuple[DataFrame, D
     return plan, missing.unionByName(levels.filter("level < 0").select("project", F.lit("cycle").alias("error")))
 
 
-def closure(links: DataFrame, start: list[int], depth: int = 1000, types: list[str] | None = None) -> DataFrame:
+def closure(links: DataFrame, start: list[int], depth: int | None = None, types: list[str] | None = None) -> DataFrame:
     """links(src, dst, type): what the start nodes reach within a depth, over the given link types."""
     edges = (links.filter(F.col("type").isin(*types)) if types else links).select(F.lit(0).alias("k"), "src", "dst").distinct()
     first = links.sparkSession.createDataFrame([(0, s) for s in start], "k int, node long")
     return reach(first, edges, ["k"], depth).filter("depth > 0").select("node", "depth")
 
 
-def evolution_chain(links: DataFrame, max_depth: int = 50) -> DataFrame:
+def evolution_chain(links: DataFrame) -> DataFrame:
     """links(src, dst, type): each decision that nothing of type ``replaces`` replaced into, followed to its current heirs: (id, current, hops)."""
     edges = links.filter("type = 'replaces'").select("src", "dst").distinct()
     roots = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    found = reach(roots.select("id", F.col("id").alias("node")), _each(edges, roots), ["id"], max_depth)
+    found = reach(roots.select("id", F.col("id").alias("node")), _each(edges, roots), ["id"])
     last = found.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     return last.select("id", F.col("node").alias("current"), F.col("depth").cast("long").alias("hops"))
 
@@ -80,7 +86,7 @@ def _each(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The edges with the root each belongs to, so that many chains are followed in one loop: only those that lie on a chain."""
     labelled = roots.select("id", F.col("id").alias("src")).join(edges, "src").select("id", "src", "dst").checkpoint()
     out, frontier = labelled, labelled
-    for _ in range(50):
+    while True:
         frontier = frontier.select("id", F.col("dst").alias("src")).distinct().join(edges, "src").select("id", "src", "dst").join(out, ["id", "src", "dst"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
@@ -103,7 +109,7 @@ def link_integrity(links: DataFrame, decisions: DataFrame) -> DataFrame:
     return dangling.unionByName(conflict).unionByName(backward.select(F.col("node").alias("id"), F.lit("cycle").alias("problem")))
 
 
-def provenance(decisions: DataFrame, links: DataFrame, root: int, max_hops: int = 1000) -> DataFrame:
+def provenance(decisions: DataFrame, links: DataFrame, root: int, max_hops: int | None = None) -> DataFrame:
     """What a decision rests on and what rests on it: (direction, id, hops, far beyond five hops, product)."""
     up = closure(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"), [root], max_hops).withColumn("direction", F.lit("parent"))
     down = closure(links, [root], max_hops).withColumn("direction", F.lit("child"))
