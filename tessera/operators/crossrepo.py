@@ -119,13 +119,15 @@ def alias_match(names: DataFrame, choices: DataFrame) -> DataFrame:
     return ranked.filter("_n = 1").select("name", "choice", F.col("tier").cast("int").alias("tier"))
 
 
-def shared_types(types: DataFrame, cap: int = 50) -> DataFrame:
-    """types(repo, rel, declaration): modules that hold one declaration, each pair once. Locations are first reduced to (declaration, module); a
-    declaration of more than ``cap`` modules says nothing and is given by duplicate_declarations instead."""
+def shared_types(types: DataFrame, block: int = 1000) -> DataFrame:
+    """types(repo, rel, declaration): modules that hold one declaration, each pair once. Locations are first reduced to (declaration, module); the
+    sources of a declaration are dealt out by blocks, so that one of very many modules is not paired in one task."""
     mods = types.select("declaration", module_id(F.col("repo"), F.col("rel")).alias("module")).distinct()
-    kept = mods.withColumn("_n", F.count("*").over(Window.partitionBy("declaration"))).filter(F.col("_n").between(2, cap)).drop("_n")
-    pairs = kept.alias("a").join(kept.alias("b"), (F.col("a.declaration") == F.col("b.declaration")) & (F.col("a.module") < F.col("b.module")))
-    return pairs.select("a.declaration", F.col("a.module").alias("source"), F.col("b.module").alias("target"))
+    parts = mods.groupBy("declaration").agg(F.count("*").alias("_n")).filter("_n > 1").select("declaration", F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
+    kept = mods.join(parts, "declaration")
+    sources = kept.select("declaration", F.col("module").alias("source"), F.pmod(F.xxhash64("module"), F.col("_parts")).cast("int").alias("_part"))
+    targets = kept.select("declaration", F.col("module").alias("target"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return sources.join(targets, ["declaration", "_part"]).filter("source < target").select("declaration", "source", "target")
 
 
 def duplicate_declarations(types: DataFrame, k: int = 50) -> DataFrame:
