@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return documents with their columns. A stage's result is written as
 Parquet and read again as the next one's docs.
 
-A doc_id names one document: of rows that repeat it the near-duplicate stage keeps one. Documents without id can't be named as copies and stay.
+The near-duplicate stage decides on rows: rows that repeat a doc_id with other texts are documents of their own, and rows without id are compared too.
+Of texts without words, which can't be compared, only rows that repeat both id and text are one.
 """
 
 from __future__ import annotations
@@ -36,11 +37,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of smallest doc_id."""
-    groups = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row of smallest doc_id, nulls last, then smallest text digest."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    marks = rows.select("_row", "doc_id", F.sha2("text", 256).alias("digest"))
+    found = groups.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").join(marks, "_row")
+    same = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("digest", F.lit(""))))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "_row")
+    keep = found.groupBy(F.coalesce(same, F.col("component_id").cast("string")).alias("group")).agg(F.min(order).alias("least")).select("least._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,17 @@ def test_odd_rows(spark, name, stage):
     assert empty.collect() == []
 
 
+def test_near_duplicates_by_row(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (None, a), (None, d), (7, "short"), (7, "short"), (7, "other"), (None, "short"), (8, None), (8, None), (None, "")]
+    hot = [(9, " ".join(f"{k}h{i}" for i in range(12))) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows + hot)], "doc_id long, text string, n int").repartition(5)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(3, a), (5, b), (None, c), (None, d), (7, "short"), (7, "other"), (8, None), (None, ""), *hot]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in out.collect()])) == sorted(map(str, want))
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
