@@ -3,10 +3,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm.components import components
-from tessera.llm.jaccard_join import near_duplicates
+from tessera.llm.jaccard_join import Sketches, block_links, near_duplicates, summaries
 from tessera.llm.queries_op1 import op1_ngram_jaccard_join
 from tessera.llm.shingles import shingle_sets
 
@@ -110,3 +111,80 @@ def test_components(spark):
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(op1_ngram_jaccard_join(spark, sf_dir)) == brute(rows, 3, 90)
+
+
+def near_threshold(m, seed=5):
+    """Sets of 490 tokens around a similarity of 0.9 to one another, and the rows of one group that holds them."""
+    rng = np.random.default_rng(seed)
+    base = rng.choice(1 << 62, 490, replace=False)
+    sets = []
+    for _ in range(m):
+        s = base.copy()
+        at = rng.choice(490, int(rng.integers(11, 16)), replace=False)
+        s[at] = rng.choice(1 << 62, len(at))
+        sets.append(np.unique(s))
+    return sets
+
+
+def test_rows_of_a_group_stay_below_its_members():
+    for m in (100, 400, 800):
+        sets = near_threshold(m)
+        one = pa.array(np.zeros(m, np.int64))
+        lists = pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))
+        batch = pa.record_batch([one, one, one, one, pa.array(np.arange(m)), pa.array(np.arange(m)), lists], names=["family", "i", "j", "own", "node", "part", "tokens"])
+        a, b = block_links(batch, 90)
+        parent = list(range(m))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        incidence = {t: k for k, t in enumerate(np.unique(np.concatenate(sets)))}
+        matrix = np.zeros((m, len(incidence)), np.float32)
+        for k, s in enumerate(sets):
+            matrix[k, [incidence[t] for t in s]] = 1
+        common, n = matrix @ matrix.T, np.array([len(s) for s in sets])
+        links = 100 * common >= 90 * (n[:, None] + n - common)
+        for x, y in np.argwhere(np.triu(links, 1)):
+            parent[find(x)] = find(y)
+        apart = len({find(x) for x in range(m)})
+        assert len(a) == m - apart <= m - 1  # a spanning forest of the links, no pair more
+        assert all(links[x, y] for x, y in zip(a, b))
+
+
+def test_sketches_never_hide_a_link():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for n in (3, 8, 40, 500, 1500):
+        base = list(rng.choice(words, n))
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.integers(0, max(2, n // 40))):
+                w[rng.integers(n)] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    n, u, key, tokens, ends, parity, low, high = summaries(texts, 3, 90)
+    sets = [shingles(t, 3) for t in texts]
+    fixed = lambda r: pa.array([x.tobytes() for x in r], pa.binary())
+    m = len(texts)
+    zero = pa.array(np.zeros(m, np.int64))
+    batch = pa.record_batch([zero, zero, zero, zero, pa.array(np.arange(m)), pa.array(np.full(m, -1)), pa.array(n), fixed(parity), fixed(low), fixed(high)], names=list("abcdefghij"))
+    x, y = np.triu_indices(m, 1)
+    passed = Sketches(batch, 90).passes(x, y)
+    linked = np.array([100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for a, b in zip(x, y)])
+    assert linked.sum() > 100 and passed[linked].all() and passed[~linked].mean() < 0.02
+
+
+def test_blocks_of_one_token(spark):
+    """Thousands of variants of one text, dealt to many blocks, some of which only a member of another block links."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 1, 3, 4))):
+            w[rng.randrange(len(w))] = f"e{k}x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(df, 3, 90, block=16, tokens=3000)) == brute(rows, 3, 90)
