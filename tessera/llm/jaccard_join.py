@@ -323,7 +323,7 @@ def family_links(pairs: DataFrame, sets: DataFrame, percent: int, block: int, to
     return full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1024, tokens: int = 1 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1024, tokens: int = 1 << 19, broadcast_rows: int = 500_000) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles and component_id: the smallest doc_id that links of similarity >= percent / 100 reach."""
     sets = written(document_sets(docs, width, percent), "shingle-sets")
     payload = F.struct("n", "u", "tokens", "parity", "low", "high")
