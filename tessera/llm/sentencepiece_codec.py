@@ -1,9 +1,10 @@
 """Offset-preserving SentencePiece encoding and decoding.
 
-Normalisation takes the longest prefix that the model's compiled character map knows (a double-array trie in front of zero-ended replacements), records
-for every normalised byte the source byte it came from, and every piece is then projected to a byte range of the source text. A model whose
-normalisation only marks spaces, and no piece of which holds a space mark after another character, is encoded word by word with a bounded cache:
-merges cannot cross a word's start there, so the ids are those of the whole text.
+Normalisation takes the longest prefix that the model's compiled character map knows (a double-array trie in front of zero-ended replacements) and
+records for every normalised byte the source byte it came from. The normalised text, not the source, is cut into pieces, and every piece is projected
+through that record to a byte range of the source. With a model whose map is empty (each character is its own longest prefix), whose normalisation
+only marks spaces, and no piece of which holds a space mark after another character, this is done word by word with a bounded cache: merges cannot
+cross a word's start there, so the ids are those of the whole text.
 
 Defined results: null text is the empty text; an empty text has only the begin and end ids; repeated rows give repeated rows; other columns are
 ignored; an empty table gives no rows.
@@ -94,55 +95,47 @@ def normalise(data: bytes, chars: CharacterMap, dummy_prefix: bool, squeeze: boo
 
 
 class Codec:
-    """Encoder and decoder of one model; made once in each task."""
+    """Encoder and decoder of one model (a path, or the model itself); made once in each task."""
 
-    def __init__(self, model: str, room: int = 200_000):
+    def __init__(self, model: str | bytes, room: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = sentencepiece.SentencePieceProcessor(**{"model_file" if isinstance(model, str) else "model_proto": model})
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(self.sp.serialized_model_proto())
         spec = proto.normalizer_spec
         self.chars = CharacterMap(spec.precompiled_charsmap)
         self.spec = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        pieces = [p.piece for p in proto.pieces]
         own = {p.type for p in proto.pieces} <= {1, 2, 3, 6}
-        self.by_word = not self.chars.units and self.spec == (True, False, True) and own and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.byte = [p.type == 6 for p in proto.pieces]
-        self.points = [len(p.piece) for p in proto.pieces]
+        self.by_word = not self.chars.units and self.spec == (True, False, True) and own and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
+        self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)  # normalised bytes of a piece
+        spec.precompiled_charsmap, spec.name = b"", "identity"
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())  # cuts what is normalised already
         self.memo = Memo(room)
         self.edge = self.sp.bos_id(), self.sp.eos_id()
-        self.lone = self.sp.piece_to_id(MARK)
-
-    def _widths(self, ids: list[int], source: str) -> list[int]:
-        """Source bytes of each piece of a word; source has its leading space."""
-        data, at, out = source.encode(), 0, []
-        for i in ids:
-            end = at + 1
-            if not self.byte[i]:
-                end = at
-                for _ in range(self.points[i]):
-                    end += _width(data[end])
-            out.append(end - at)
-            at = end
-        return out if at == len(data) else self._unknown(source)
-
-    def _unknown(self, source: str) -> list[int]:
-        """The same for a word with unknown pieces, from their surfaces."""
-        return [1 if self.byte[i] else len(p.replace(MARK, " ").encode()) for p, i in zip(self.sp.encode(source[1:], out_type=str), self.sp.encode(source[1:]), strict=True)]
+
+    def _project(self, ids: list[int], normal: str, source: list[int]) -> np.ndarray:
+        """Where each piece of a normalised text ends in its source."""
+        ends = np.cumsum(self.size[ids])
+        if len(ids) and ends[-1] != len(source) - 1:  # unknown pieces: by their surfaces
+            ends = np.cumsum([1 if self.sp.is_byte(i) else len(p.encode()) for p, i in zip(self.pieces.encode(normal, out_type=str), ids, strict=True)])
+        return np.array(source, np.int64)[ends]
 
     def _words(self, text: str) -> np.ndarray:
-        """(id, source bytes) of each piece."""
+        """(id, source bytes) of each piece; each word is normalised with the space before it."""
         if not text:
             return np.zeros((0, 2), np.uint32)
         plain = "  " not in text and text[0] != " " and text[-1] != " "
         words = text.split(" ") if plain else [w[1:] for w in _WORDS.findall(" " + text)]
         new = self.memo.missing(set(words))
         young = self.memo.young
-        for word, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            ids = ids or [self.lone]
-            young[word] = np.array([ids, self._widths(ids, " " + word)], np.uint32).T.tobytes()
+        normal = [normalise(b" " + w.encode(), self.chars, False, *self.spec[1:]) for w in new]
+        marked = [n.decode() for n, _ in normal]
+        for word, ids, mark, (_, source) in zip(new, self.pieces.encode(marked, num_threads=1), marked, normal, strict=True):
+            ends = self._project(ids, mark, source)
+            young[word] = np.array([ids, np.diff(ends, prepend=0)], np.uint32).T.tobytes()
         out = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32).reshape(-1, 2)
         self.memo.turn()
         return out
@@ -156,12 +149,9 @@ class Codec:
             size = int(ends[-1]) if len(ends) else 0
         else:
             data = text.encode()
-            size, body = len(data), np.array(self.sp.encode(text), np.uint32)
-            _, source = normalise(data, self.chars, *self.spec)
-            at, ends = 0, np.zeros(len(body), np.int64)
-            for k, (i, piece) in enumerate(zip(body.tolist(), self.sp.encode(text, out_type=str), strict=True)):
-                at = min(at + (1 if self.byte[i] else len(piece.encode())), len(source) - 1)
-                ends[k] = source[at]
+            normal, source = normalise(data, self.chars, *self.spec)
+            ids = self.pieces.encode(normal.decode())
+            size, body, ends = len(data), np.array(ids, np.uint32), self._project(ids, normal.decode(), source)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         wrap = lambda first, mid, last: np.concatenate([[first], mid, [last]])
         return wrap(self.edge[0], body, self.edge[1]).astype("<u4"), wrap(0, starts, size), wrap(0, ends, size)

@@ -86,9 +86,8 @@ def test_character_map_against_the_library():
         proto.normalizer_spec.precompiled_charsmap = trie(words)
         proto.normalizer_spec.remove_extra_whitespaces = squeeze
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        codec = Codec.__new__(Codec)
-        codec.sp, codec.chars, codec.spec, codec.by_word = sp, CharacterMap(trie(words)), (True, squeeze, True), False
-        codec.byte, codec.edge = [sp.is_byte(i) for i in range(32000)], (1, 2)
+        codec = Codec(proto.SerializeToString())
+        assert codec.chars.units and not codec.by_word
         for text in ["ﬁne ½", " a\t\tb ", "céx é", "​", "x　 y  "]:
             got, source = normalise(text.encode(), codec.chars, *codec.spec)
             assert got.decode() == sp.normalize(text)
@@ -117,3 +116,22 @@ def test_whole_table(spark, sf_dir):
         ids = SP.encode(texts[r.doc_id], add_bos=True, add_eos=True)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(SP.decode(ids).encode()).hexdigest() and r.span_bytes == len(texts[r.doc_id].encode())
+
+
+def test_the_map_decides_ids_on_the_query_road(spark, tmp_path):
+    """A model with a map goes through the same function that the query calls; without the map its ids would differ."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(MODEL, "rb").read())
+    proto.normalizer_spec.precompiled_charsmap = trie({"q": "the", "qu": "of", "Z": ""})
+    path = str(tmp_path / "mapped.model")
+    open(path, "wb").write(proto.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["q word", "quit q", "Zebra", "plain", "", "ZZ"]
+    found = {r.doc_id: r for r in digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t, add_bos=True, add_eos=True)
+        assert found[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and found[i].n_tokens == len(ids)
+        assert found[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert sp.encode("q word") != SP.encode("q word")
+    _, starts, ends = Codec(path).encode("quit")
+    assert (starts[1], ends[1]) == (0, 2)  # "of" came from "qu"
