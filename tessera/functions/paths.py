@@ -103,3 +103,16 @@ def pct_delta(now: Column, base: Column) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
+
+
+def safe_task_id(task_id: Column) -> Column:
+    """A task id that can be part of a path, without spaces at its ends; null for any other (a separator, ``..``, a leading sign, an empty one)."""
+    value = F.trim(task_id)
+    return F.when(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*\z") & ~F.contains(value, F.lit("..")), value)
+
+
+def substrings(text: Column, lengths: Column, start: str = "") -> Column:
+    """Distinct substrings of the text that have one of the lengths and start with the given character (by default any)."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda k: (F.substring(text, k, F.lit(1)) == start) if start else F.length(text) > 0)
+    of_length = lambda n: F.transform(F.filter(places, lambda k: k + n - 1 <= F.length(text)), lambda k: F.substring(text, k, n))
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))

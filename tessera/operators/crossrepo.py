@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import canonical_path, is_api_path, join_route, module_id, url_aliases
+from ..functions.paths import canonical_path, is_api_path, join_route, module_id, substrings, url_aliases
 from .facts import call_method, is_mount_only, mount_prefixes, route_method, route_templates, urls_in_content
 
-SMALL_ROWS = 200_000  # a side of so few rows is broadcast; its rows are counted first
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda p: p != "")
 
@@ -39,30 +31,35 @@ def call_urls(calls: DataFrame) -> DataFrame:
     return calls.select("repo", "rel", "lineno", F.explode(urls_in_content(F.col("content"))).alias("url"), call_method(F.col("content")).alias("method"))
 
 
+def with_substrings(rows: DataFrame, text: str, wanted: DataFrame, name: str, start: str = "/") -> DataFrame:
+    """rows with a row for each distinct substring of the text that starts at a slash and is as long as one of wanted(name)."""
+    lengths = wanted.agg(F.collect_set(F.length(name)).alias("_lengths"))  # one row, with as many numbers as lengths occur
+    return rows.crossJoin(F.broadcast(lengths)).withColumn(name, F.explode(substrings(F.col(text), F.col("_lengths"), start))).drop("_lengths", text)
+
+
+def template_key(template: Column) -> Column:
+    """First literal segment, ``*`` where the first is a wildcard."""
+    first = F.get(segments(template), 0)
+    return F.when(first.startswith("{"), "*").otherwise(first)
+
+
 def route_matches(wanted: DataFrame, routes: DataFrame) -> DataFrame:
     """wanted(caller, url, method) and enriched routes to every match, with the best way it matched (0 substring, 1 template, 2 mounted).
 
-    No pair is formed without a shared key. A URL of three segments or more occurs in a record only where its first two are whole pieces of the record
-    side by side, one of two segments where its first is; the few of one segment meet all records. Templates meet URLs on segment count and first
-    literal segment."""
+    No pair is formed without a shared key: records meet URLs on their substrings that start at a slash and are as long as some URL, so what joins is a
+    match; templates meet URLs on segment count and first literal segment."""
     alias = wanted.withColumn("alias", F.explode(url_aliases(F.col("url")))).withColumn("seg", segments(F.col("alias")))
     n = F.size("seg")
-    key = F.when(n >= 3, F.concat(F.col("seg")[0], F.lit("/"), F.col("seg")[1])).when(n == 2, F.col("seg")[0]).otherwise("*")
-    pieces = F.split("raw", "/")
-    pairs = F.when(F.size(pieces) > 2, F.transform(F.sequence(F.lit(1), F.size(pieces) - 2), lambda k: F.concat(F.get(pieces, k), F.lit("/"), F.get(pieces, k + 1)))).otherwise(F.expr("cast(array() as array<string>)"))
-    keys = F.array_distinct(F.concat(pairs, F.slice(pieces, 2, 1 << 20), F.array(F.lit("*"))))
-    records = routes.select("route_idx", "raw", F.col("method").alias("r_method"), F.explode(keys).alias("key"))
     fits = F.col("method").isNull() | F.col("r_method").isNull() | (F.col("method") == F.col("r_method"))
-    by_text = alias.withColumn("key", key).join(records, "key").filter(fits & F.contains("raw", F.col("alias"))).select("caller", "url", "method", "route_idx", F.lit(0).alias("how"))
+    records = with_substrings(routes.select("route_idx", "raw", F.col("method").alias("r_method")), "raw", alias, "alias")
+    by_text = alias.join(records, "alias").filter(fits).select("caller", "url", "method", "route_idx", F.lit(0).alias("how"))
 
     plain = routes.select("route_idx", "method", F.explode("templates").alias("template"), F.lit(1).alias("how"))
     merged = routes.filter(~F.col("mount_only")).select("route_idx", "repo", "method", F.explode("templates").alias("t")).join(mount_prefixes(routes), "repo")
     mounted = merged.select("route_idx", "method", join_route(F.col("prefix"), F.col("t")).alias("template"), F.lit(2).alias("how"))
     templates = plain.unionByName(mounted.filter(is_api_path(F.col("template"))))
-    first = segments(F.col("template"))
-    literal = F.when(first[0].startswith("{"), "*").otherwise(first[0])
-    templates = templates.select("route_idx", F.col("method").alias("r_method"), "template", "how", F.size(first).alias("n"), literal.alias("key")).filter("n > 0")
-    tried = alias.withColumn("n", n).withColumn("key", F.explode(F.array(F.col("seg")[0], F.lit("*"))))
+    templates = templates.select("route_idx", F.col("method").alias("r_method"), "template", "how", F.size(segments(F.col("template"))).alias("n"), template_key(F.col("template")).alias("key")).filter("n > 0")
+    tried = alias.withColumn("n", n).withColumn("key", F.explode(F.array(F.get("seg", 0), F.lit("*"))))
     by_template = tried.join(templates, ["n", "key"]).filter(fits & template_matches(F.col("alias"), F.col("template"))).select("caller", "url", "method", "route_idx", "how")
     return by_text.unionByName(by_template).groupBy("caller", "url", "method", "route_idx").agg(F.min("how").alias("how"))
 
@@ -75,7 +72,7 @@ def match_calls_to_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     wanted = calls.select(F.col("repo").alias("caller"), "url", "method").distinct()
     hits = route_matches(wanted, known)
     about = known.select("route_idx", F.col("repo").alias("be_repo"), F.col("rel").alias("be_rel"), F.col("lineno").alias("be_lineno"), "source")
-    hits = hits.join(small(about), "route_idx")
+    hits = hits.join(about, "route_idx")
     way = F.when(F.col("source") == "alias", "MANUAL_ALIAS").when(F.col("source") == "openapi", "OPENAPI").when(F.col("how") == 0, "GREP_SUBSTRING").when(F.col("how") == 1, "GREP_TEMPLATE").otherwise("GREP_MOUNTED")
     rank = F.struct((F.col("be_repo") == F.col("caller")).alias("own"), "route_idx", "be_repo", "be_rel", "be_lineno", way.alias("provenance"))
     best = hits.groupBy("caller", "url", "method").agg(F.min(rank).alias("b")).select("caller", "url", "method", "b.route_idx", "b.be_repo", "b.be_rel", "b.be_lineno", "b.provenance")
@@ -94,29 +91,53 @@ def topology_fallback(unmatched: DataFrame, topology: DataFrame) -> DataFrame:
 
 def pick_backend(urls: DataFrame, routes: DataFrame) -> DataFrame:
     """urls(url) to the backend that fits best: 3 for its first segment in a record, 1 for ``/api``, 5 for an alias in a template or matching one, one
-    for every ten routes up to 50; ties by route count, then name, the larger first."""
+    for every ten routes up to 50; ties by route count, then name, the larger first.
+
+    What a URL shares with a backend comes from joins on substrings and segments. A backend that shares nothing scores by ``/api`` and size alone, so only
+    the best of those can win: it is one row for URLs under ``/api``, one for others."""
     known = enrich_routes(routes)
-    per = known.groupBy("repo").agg(F.count("*").alias("n"), F.collect_set("raw").alias("raws"), F.array_distinct(F.flatten(F.collect_list("templates"))).alias("templates"))
-    rows = urls.select("url").distinct().crossJoin(small(per))  # backends are few
-    head = F.concat(F.lit("/"), F.element_at(segments(F.col("url")), 1))
-    fits = F.exists(url_aliases(F.col("url")), lambda a: F.exists(F.col("templates"), lambda t: F.contains(t, a) | template_matches(a, t)))
-    score = F.when(F.exists("raws", lambda r: F.contains(r, head)), 3).otherwise(0) + F.when(F.col("url").startswith("/api") & F.exists("raws", lambda r: F.contains(r, F.lit("/api"))), 1).otherwise(0)
-    score = score + F.when(fits, 5).otherwise(0) + F.floor(F.least(F.col("n"), F.lit(50)) / 10)
-    best = rows.groupBy("url").agg(F.max(F.struct(score.cast("long").alias("score"), "n", "repo")).alias("b"))
+    wanted = urls.select("url").distinct().withColumn("head", F.concat(F.lit("/"), F.get(segments(F.col("url")), 0)))
+    templates = known.select("repo", F.explode("templates").alias("template")).distinct()
+    size = F.floor(F.least(F.col("n"), F.lit(50)) / 10).cast("long")
+    per = known.groupBy("repo").agg(F.count("*").alias("n"), F.max(F.contains("raw", F.lit("/api"))).alias("api")).withColumn("size", size)
+
+    heads = with_substrings(known.select("repo", "raw").distinct(), "raw", wanted, "head").distinct()
+    by_head = wanted.select("url", "head").join(heads, "head").select("url", "repo", F.lit(3).alias("points"))
+    alias = wanted.select("url", F.explode(url_aliases(F.col("url"))).alias("alias"))
+    held = with_substrings(templates, "template", alias, "alias").distinct()
+    by_text = alias.join(held, "alias").select("url", "repo")
+    keyed = templates.select("repo", "template", F.size(segments(F.col("template"))).alias("n"), template_key(F.col("template")).alias("key"))
+    tried = alias.withColumn("seg", segments(F.col("alias"))).withColumn("n", F.size("seg")).withColumn("key", F.explode(F.array(F.get("seg", 0), F.lit("*"))))
+    by_template = tried.join(keyed, ["n", "key"]).filter(template_matches(F.col("alias"), F.col("template"))).select("url", "repo")
+    fits = by_text.unionByName(by_template).distinct().withColumn("points", F.lit(5))
+
+    shared = by_head.unionByName(fits).groupBy("url", "repo").agg(F.sum("points").alias("points")).join(per, "repo")
+    under = F.col("url").startswith("/api")
+    shared = shared.select("url", F.struct((F.col("points") + F.col("size") + (under & F.col("api")).cast("int")).cast("long").alias("score"), "n", "repo").alias("b"))
+    plain = per.agg(F.max(F.struct(F.col("size").alias("score"), "n", "repo")).alias("other"), F.max(F.struct((F.col("size") + F.col("api").cast("int")).alias("score"), "n", "repo")).alias("api"))
+    alone = wanted.crossJoin(F.broadcast(plain)).select("url", F.when(under, F.col("api")).otherwise(F.col("other")).alias("b")).filter("b IS NOT NULL")  # one row
+    best = shared.unionByName(alone).groupBy("url").agg(F.max("b").alias("b"))
     return best.select("url", F.col("b.repo").alias("backend"), F.col("b.score").alias("score"))
 
 
 def alias_match(names: DataFrame, choices: DataFrame) -> DataFrame:
-    """names(name) to choices(choice): equal without punctuation, else one within the other, else most shared words (shorter, then larger wins)."""
+    """names(name) to choices(choice): equal without punctuation, else one within the other, else most shared words (shorter, then larger wins). Names and
+    choices meet on equal substrings, and names that found none on equal words."""
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: F.length(w) > 1)
-    rows = names.select("name").distinct().crossJoin(small(choices.select("choice").distinct()))
-    n, c = norm(F.col("name")), norm(F.col("choice"))
-    overlap = F.size(F.array_intersect(words(F.col("name")), words(F.col("choice"))))
-    tier = F.when((n != "") & (n == c), 1).when((n != "") & (c != "") & (F.contains(n, c) | F.contains(c, n)), 2).when(overlap > 0, 3)
-    order = Window.partitionBy("name").orderBy("tier", F.when(F.col("tier") < 3, F.col("choice")).otherwise(""), F.desc("overlap"), F.length("choice"), F.desc("choice"))
-    ranked = rows.withColumn("tier", tier).withColumn("overlap", overlap).filter("tier IS NOT NULL").withColumn("_n", F.row_number().over(order))
-    return ranked.filter("_n = 1").select("name", "choice", F.col("tier").cast("int").alias("tier"))
+    a = names.select("name").distinct().withColumn("n", norm(F.col("name")))
+    b = choices.select("choice").distinct().withColumn("c", norm(F.col("choice")))
+    full_a, full_b = a.filter("n <> ''"), b.filter("c <> ''")
+    within = with_substrings(full_a.select("name", "n", F.col("n").alias("text")), "text", full_b, "c", "").join(full_b, "c")
+    around = with_substrings(full_b.select("choice", "c", F.col("c").alias("text")), "text", full_a, "n", "").join(full_a, "n")
+    tier = F.when(F.col("n") == F.col("c"), 1).otherwise(2)
+    near = within.select("name", "choice", tier.alias("tier")).unionByName(around.select("name", "choice", tier.alias("tier")))
+    first = near.groupBy("name").agg(F.min(F.struct("tier", "choice")).alias("b")).select("name", "b.choice", "b.tier")
+    rest = a.join(first, "name", "left_anti")
+    pairs = rest.select("name", F.explode(words(F.col("name"))).alias("word")).join(b.select("choice", F.explode(words(F.col("choice"))).alias("word")), "word")
+    overlap = pairs.groupBy("name", "choice").agg(F.count("*").alias("overlap"))
+    best = overlap.groupBy("name").agg(F.max(F.struct("overlap", (-F.length("choice")).alias("short"), "choice")).alias("b"))
+    return first.unionByName(best.select("name", "b.choice", F.lit(3).alias("tier"))).select("name", "choice", F.col("tier").cast("int").alias("tier"))
 
 
 def shared_types(types: DataFrame, block: int = 1000) -> DataFrame:
@@ -136,14 +157,18 @@ def duplicate_declarations(types: DataFrame, k: int = 50) -> DataFrame:
     return out.orderBy(F.desc("n"), "declaration").limit(k)
 
 
-def event_edges(endpoints: DataFrame, declared: DataFrame) -> DataFrame:
+def event_edges(endpoints: DataFrame, declared: DataFrame, block: int = 1000) -> DataFrame:
     """endpoints(module, kind, topic) and declared(topic, module): publisher to subscriber edges over a topic, and declared subscribers not among
-    them. Both sides are reduced to (topic, module) first."""
+    them. Both sides are reduced to (topic, module) first; a topic's publishers are dealt out by blocks, which its subscribers all meet, so that one topic of
+    very many modules is not paired in one task."""
     side = lambda kind: endpoints.filter((F.col("kind") == kind) & (F.col("topic") != "")).select("topic", F.col("module").alias(kind)).distinct()
-    found = side("pub").join(side("sub"), "topic").filter("pub <> sub").withColumn("provenance", F.lit("EVENT_BUS"))
-    more = side("pub").join(declared.select("topic", F.col("module").alias("sub")).distinct(), "topic").filter("pub <> sub")
-    more = more.join(found.select("topic", "pub", "sub"), ["topic", "pub", "sub"], "left_anti").withColumn("provenance", F.lit("EVENT_BUS_TOPOLOGY"))
-    return found.unionByName(more)
+    subs = side("sub").withColumn("known", F.lit(True)).unionByName(declared.select("topic", F.col("module").alias("sub")).distinct().withColumn("known", F.lit(False)))
+    subs = subs.groupBy("topic", "sub").agg(F.max("known").alias("known"))  # a subscriber that shows is no declared one
+    parts = side("pub").groupBy("topic").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    pubs = side("pub").join(parts, "topic").select("topic", "pub", F.pmod(F.xxhash64("pub"), F.col("_parts")).cast("int").alias("_part"))
+    subs = subs.join(parts, "topic").select("topic", "sub", "known", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    found = pubs.join(subs, ["topic", "_part"]).filter("pub <> sub")
+    return found.select("topic", "pub", "sub", F.when(F.col("known"), "EVENT_BUS").otherwise("EVENT_BUS_TOPOLOGY").alias("provenance"))
 
 
 def resolve_modules(edges: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -93,8 +93,3 @@ def promote_patterns(observations: DataFrame) -> DataFrame:
     """observations(pattern, product): seen once is warm, twice in one product active, in three products a skill candidate."""
     out = observations.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("product").alias("products"))
     return out.withColumn("state", F.when(F.col("products") >= 3, "skill_candidate").when(F.col("n") >= 2, "active").otherwise("warm"))
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_n", n).filter("_n = 1").drop("_n")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
-    """start(keys, node) and edges(keys, src, dst) to (keys, node, depth): all that start reaches, or reaches within max_depth, each at its least depth."""
-    seen = start.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = seen
+    """start(keys, node) and edges(keys, src, dst) to (keys, node, depth): all that start reaches, or reaches within max_depth, each at its least depth.
+    Edges are worked out once; a round writes only what it adds."""
+    edges = edges.select(*keys, "src", "dst").checkpoint()
+    frontier = seen = start.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for depth in count(1):
         if max_depth is not None and depth > max_depth:
             break
@@ -19,7 +20,9 @@ def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int |
         frontier = step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = seen.unionByName(frontier)
+        if depth % 20 == 0:  # a union of many rounds is too deep a plan
+            seen = seen.checkpoint()
     return seen
 
 
@@ -85,12 +88,15 @@ def evolution_chain(links: DataFrame) -> DataFrame:
 def _each(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The edges with the root each belongs to, so that many chains are followed in one loop: only those that lie on a chain."""
     labelled = roots.select("id", F.col("id").alias("src")).join(edges, "src").select("id", "src", "dst").checkpoint()
-    out, frontier = labelled, labelled
-    while True:
+    edges = edges.checkpoint()
+    out = frontier = labelled
+    for hop in count(1):
         frontier = frontier.select("id", F.col("dst").alias("src")).distinct().join(edges, "src").select("id", "src", "dst").join(out, ["id", "src", "dst"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
-        out = out.unionByName(frontier).checkpoint()
+        out = out.unionByName(frontier)
+        if hop % 20 == 0:
+            out = out.checkpoint()
     return out
 
 

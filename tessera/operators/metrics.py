@@ -156,7 +156,3 @@ def scan_diff(prev: DataFrame, cur: DataFrame, keys: list[str]) -> DataFrame:
 def stale_nodes(existing: DataFrame, expected: DataFrame) -> DataFrame:
     """existing(id, generated) nodes that the inventory no longer backs; hand-written ones stay."""
     return existing.filter("generated").join(expected.select("id").distinct(), "id", "left_anti").select("id")
-
-
-def ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)

@@ -115,8 +115,8 @@ SELECT repo, rel, lineno, content, regexp_matches(content, '{C.EDGE_CASE}') AS e
 register("fl12_visible_methods", lambda t: C.visible_methods(C.extract_symbols(t.code).filter("kind = 'method'").drop("lang", "kind"), t.code.filter("rel LIKE 'lib/%'")), "code", rf"""
 , m AS ({SYMBOLS}) SELECT repo, rel, lineno, content, (rel LIKE 'lib/%' OR regexp_matches(content, '\b(public|export|pub|open)\b|^func [A-Z]|^func \(.*\) [A-Z]')) AS kept FROM m WHERE kind = 'method'""")
 PATTERNS = [r"process\.env", "/api/v1", "nothing here"]
-register("fl13_pattern_hits", lambda t: C.pattern_hits(t.code, PATTERNS, 20), "code", ", h AS (" + " UNION ALL ".join(f"SELECT *, {q(p)} AS pattern FROM code WHERE regexp_matches(content, {q(p)})" for p in PATTERNS) + """)
-SELECT repo, rel, lineno, content, pattern, c > 20 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY repo, pattern ORDER BY rel, lineno) AS n, count(*) OVER (PARTITION BY repo, pattern) AS c FROM h) WHERE n <= 20""")
+register("fl13_pattern_hits", lambda t: C.pattern_hits(t.code, PATTERNS), "code", ", h AS (" + " UNION ALL ".join(f"SELECT *, {q(p)} AS pattern FROM code WHERE regexp_matches(content, {q(p)})" for p in PATTERNS) + """)
+SELECT repo, rel, lineno, content, pattern, c > 80 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY repo, pattern ORDER BY rel, lineno) AS n, count(*) OVER (PARTITION BY repo, pattern) AS c FROM h) WHERE n <= 80""")
 
 
 def _prose(t):

@@ -80,8 +80,8 @@ s AS (SELECT url, r.repo, n.n, CAST(max(CASE WHEN contains(content, '/' || split
   + max(CASE WHEN contains(template, '/api' || short) OR contains(template, short) OR regexp_full_match('/api' || short, regexp_replace(template, '\{[^}]*\}', '[^/]+', 'g')) OR regexp_full_match(short, regexp_replace(template, '\{[^}]*\}', '[^/]+', 'g')) THEN 5 ELSE 0 END) + least(n.n, 50) // 10 AS BIGINT) AS score
   FROM u, r JOIN n ON n.repo = r.repo GROUP BY url, r.repo, n.n)
 SELECT url, repo AS backend, score FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, n DESC, repo DESC) AS k FROM s) WHERE k = 1""")
-register("jn6_alias_match", lambda t: J.alias_match(t.part.select(F.col("p_name").alias("name")), t.part.filter("p_partkey % 9 = 0").select(F.expr("concat(split_part(p_name, ' ', 2), '-', CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE split_part(p_name, ' ', 1) END)").alias("choice"))), "", r"""
-WITH names AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT DISTINCT split_part(p_name, ' ', 2) || '-' || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE split_part(p_name, ' ', 1) END AS choice FROM part WHERE p_partkey % 9 = 0),
+register("jn6_alias_match", lambda t: J.alias_match(t.part.select(F.col("p_name").alias("name")), t.part.select(F.expr("concat(split_part(p_name, ' ', 2), '-', CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE split_part(p_name, ' ', 1) END)").alias("choice"))), "", r"""
+WITH names AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT DISTINCT split_part(p_name, ' ', 2) || '-' || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE split_part(p_name, ' ', 1) END AS choice FROM part),
 x AS (SELECT name, choice, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS n, regexp_replace(lower(choice), '[^a-z0-9]+', '', 'g') AS k,
   CAST(list_contains(string_split(name, ' '), split_part(choice, '-', 1)) AS INT) + CAST(length(split_part(choice, '-', 2)) > 1 AND list_contains(string_split(name, ' '), split_part(choice, '-', 2)) AS INT) AS overlap FROM names, c),
 y AS (SELECT *, CASE WHEN n = k THEN 1 WHEN contains(n, k) OR contains(k, n) THEN 2 WHEN overlap > 0 THEN 3 END AS tier FROM x)
@@ -94,7 +94,7 @@ def types(t):
 
 TYPES = f", sym AS ({SYMBOLS}), types AS (SELECT repo, rel, content AS declaration, repo || '-' || regexp_replace(regexp_replace(lower(regexp_extract(rel, '^(.*)/[^/]*$', 1)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS module FROM sym WHERE kind = 'type')"
 register("jn7_shared_types", lambda t: J.shared_types(types(t)), "code", TYPES + """
-, m AS (SELECT DISTINCT declaration, module FROM types), k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY declaration) AS n FROM m) WHERE n BETWEEN 2 AND 50)
+, m AS (SELECT DISTINCT declaration, module FROM types), k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY declaration) AS n FROM m) WHERE n >= 2)
 SELECT a.declaration, a.module AS source, b.module AS target FROM k a JOIN k b ON a.declaration = b.declaration AND a.module < b.module""")
 register("ag4_duplicate_declarations", lambda t: J.duplicate_declarations(types(t)), "code", TYPES + "SELECT declaration, count(*) AS n, count(DISTINCT repo) AS distinct_repos FROM types GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, declaration LIMIT 50")
 

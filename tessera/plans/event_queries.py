@@ -17,6 +17,11 @@ def mixed(t):
 register("ev1_match_events", lambda t: E.match_events(t.messages, "p*", {"k": "7"}), "messages", "SELECT count(*) FILTER (WHERE event_type LIKE 'p%' AND value = '{\"k\": 7}') AS matched, count(*) AS total, count(*) FILTER (WHERE event_type LIKE 'p%' AND value = '{\"k\": 7}') >= 1 AS passed FROM messages")
 register("ev2_dedup_events", lambda t: E.dedup_events_batch(t.messages, 3600).select("idempotency_id", "msg_offset", "state"), "messages", """
 SELECT idempotency_id, msg_offset, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY idempotency_id ORDER BY ts, msg_offset) <= 3600000000 THEN 'duplicate' ELSE 'unique' END AS state FROM messages""")
+register("ev2_check_keys", lambda t: E.check_keys(t.messages, t.customer.select(F.expr("concat(c_custkey, CASE c_custkey % 2 WHEN 0 THEN ':view' ELSE ':click' END)").alias("idempotency_id"))), "messages", """
+, w AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) || CASE c_custkey % 2 WHEN 0 THEN ':view' ELSE ':click' END AS idempotency_id FROM customer), n AS (SELECT idempotency_id, count(*) AS n FROM messages GROUP BY 1)
+SELECT w.idempotency_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'duplicate' ELSE 'unique' END AS state FROM w LEFT JOIN n ON w.idempotency_id = n.idempotency_id""")
+register("ev3_lengths_and_types", lambda t: E.validate_events(t.messages.withColumn("value", F.expr("concat('{\"u\": ', CASE msg_offset % 4 WHEN 0 THEN '7' ELSE concat('\"', idempotency_id, '\"') END, '}')")), {"u": "string"}, min_length={"u": 7}).select("msg_offset", "error_code"), "messages", """
+SELECT msg_offset, CASE WHEN msg_offset % 4 = 0 THEN 'TYPE_U' WHEN length(idempotency_id) < 7 THEN 'MINLENGTH_U' END AS error_code FROM messages""")
 CODE = """CASE msg_offset % 10 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'MISSING_K' WHEN 2 THEN 'TYPE_K' ELSE CASE WHEN CAST(regexp_extract(value, '([0-9]+)', 1) AS INT) < 20 THEN 'MINIMUM_K' WHEN event_type = 'error' THEN 'UNKNOWN_TYPE' END END"""
 
 

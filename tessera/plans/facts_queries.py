@@ -64,7 +64,7 @@ register("rt6_call_method", lambda t: t.callsites.groupBy(X.call_method(F.col("c
 register("rt8_mount_prefixes", lambda t: X.mount_prefixes(t.code), "code", f"SELECT DISTINCT repo, p AS prefix FROM (SELECT repo, unnest({ex('content', X.MOUNT, 1)}) AS p FROM code) WHERE regexp_matches(p || '/', '^/(api/|internal/|v[0-9]+[./])')")
 register("rt9_module_routes", lambda t: X.module_routes(t.routes.select(P.module_id(F.col("repo"), F.col("rel")).alias("module"), X.route_method(F.col("content")).alias("method"), F.expr("regexp_extract(content, '\"([^\"]*)\"', 1)").alias("path"))), "routes", """
 SELECT repo || '-src-' || split_part(rel, '/', 2) AS module, string_agg(DISTINCT CASE WHEN content LIKE '%get(%' THEN 'GET ' ELSE 'POST ' END || regexp_extract(content, '"([^"]*)"', 1), '; ') AS routes, count(*) AS n FROM routes GROUP BY 1""")
-CALLS = "(" + " OR ".join(f"({m('rel', rf'\.({e})$')} AND {m('content', p)}" + (f" AND NOT {m('rel', s)}" if s else "") + ")" for e, p, s in X.CALL_RULES) + f") AND NOT {m('rel', TEST_PATH)} AND NOT {m('rel', LOW_SIGNAL_PATH)} AND NOT {m('rel', LOW_SIGNAL_FILE)}"
+CALLS = "(" + " OR ".join(f"({m('rel', rf'\.({e})$')} AND {m('content', p)}" + (f" AND NOT {m('rel', s)}" if s else "") + (f" AND regexp_matches(rel || ':' || content, {q(c)})" if c else "") + ")" for e, p, s, c in X.CALL_RULES) + f") AND NOT {m('rel', TEST_PATH)} AND NOT {m('rel', LOW_SIGNAL_PATH)} AND NOT {m('rel', LOW_SIGNAL_FILE)}"
 register("cs1_call_sites", lambda t: X.call_sites(t.code), "code", f"SELECT * FROM code WHERE {CALLS}")
 register("cs2_union_call_sites", lambda t: X.union_call_sites(X.call_sites(t.code), t.code.filter("lineno % 2 = 0")), "code", f"SELECT * FROM code WHERE ({CALLS}) OR lineno % 2 = 0")
 LOWV = f"lower(trim(regexp_extract(content, {q(X.ENDPOINT_CONST)}, 2)))"
@@ -122,6 +122,12 @@ register("cs12_page_link_graph", lambda t: X.page_link_graph(_links(t)), "", f""
 WITH l AS (SELECT DISTINCT lpad(CAST(page_id AS VARCHAR), 8, '0') AS page, trim(regexp_extract(target, '^([^?#]*)', 1)) AS target FROM ({LINKS}) WHERE kind = 'anchor' AND NOT regexp_matches(target, '^(data|blob|mailto|javascript):|^#'))
 SELECT target, 'link' AS via, string_agg(page, ',' ORDER BY page) AS pages, count(*) AS n FROM l GROUP BY target""")
 register("cs13_slug_ids", lambda t: X.slug_ids(t.code).select("repo", "rel", "lineno", "file_id"), "code", "SELECT repo, rel, lineno, repo || '-' || regexp_replace(regexp_replace(lower(rel), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS file_id FROM code")
-register("cs13_posix_cksum", lambda t: t.code.select("repo", "rel", "lineno", X.posix_cksum(F.col("content")).alias("cksum")))
+register("cs13_posix_cksum", lambda t: t.code.select("repo", "rel", "lineno", X.posix_cksum(F.col("content")).alias("cksum")), "code", """
+, bits AS (SELECT b, c FROM (WITH RECURSIVE r AS (SELECT range AS b, range << 24 AS c, 0 AS k FROM range(256) UNION ALL
+  SELECT b, xor((c << 1) & 4294967295, CASE WHEN c >> 31 = 1 THEN 79764919 ELSE 0 END), k + 1 FROM r WHERE k < 8) SELECT b, c FROM r WHERE k = 8)),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits), texts AS (SELECT DISTINCT content, encode(content) AS data FROM code),
+ints AS (SELECT content, list_concat([('0x' || hex(data)[2 * k - 1:2 * k])::BIGINT FOR k IN range(1, octet_length(data) + 1)], [(octet_length(data) >> (8 * k)) & 255 FOR k IN range(4) IF (octet_length(data) >> (8 * k)) > 0]) AS bytes FROM texts),
+sums AS (SELECT content, xor(list_reduce(list_prepend(0::BIGINT, bytes), lambda c, x: xor((c << 8) & 4294967295, t[xor(c >> 24, x) + 1])), 4294967295) AS cksum FROM ints, crc)
+SELECT repo, rel, lineno, cksum FROM code JOIN sums USING (content)""")
 register("fn_fold_path", lambda t: t.code.select("lineno", P.fold_path(F.concat("repo", F.lit("/./a/../"), "rel", F.lit("/../x"))).alias("folded"), P.safe_relpath(F.expr("CASE WHEN lineno % 3 = 0 THEN concat('../', rel) WHEN lineno % 3 = 1 THEN concat('/', rel) ELSE rel END")).alias("safe"), P.insight_slug(F.col("content")).alias("slug"), P.normalize_header(F.col("content")).alias("header")), "code", """
 SELECT lineno, repo || '/' || regexp_extract(rel, '^(.*)/[^/]*$', 1) || '/x' AS folded, lineno % 3 = 2 AS safe, substr(regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS header FROM code""")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-
 # Directories that hold no source of the product.
 SKIP_DIRS = ("node_modules", ".git", "__pycache__", "vendor", "dist", "build", "coverage", "target", ".next", "out", ".turbo", ".nuxt", ".output", "tmp", "temp", ".tmp", ".cache", ".gradle", "generated")
 
@@ -24,21 +24,31 @@ def in_skipped_dir(rel: Column) -> Column:
     return rel.rlike(f"(^|/)({names})/")
 
 
-def read_corpus(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """files(repo, rel, content, bytes, sha) of whole trees, one folder per repository; the path filter comes before the content is decoded. Empty files are not listed."""
-    out = None
-    for repo, root in roots.items():
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://")[-1].replace(".", r"\.") + "/", "")
-        part = raw.withColumn("rel", rel).filter(~in_skipped_dir(F.col("rel")))
-        part = part.select(F.lit(repo).alias("repo"), "rel", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def read_corpus(spark: SparkSession, roots: dict[str, str], roles: dict[str, str] | None = None) -> DataFrame:
+    """files(repo, role, rel, content, bytes, sha) of whole trees, one folder per repository, a role per repository where given. One scan reads all
+    folders, and the path filter comes before the content is decoded; bytes that are not UTF-8 become U+FFFD. Empty files are not listed."""
+    plain = {repo: "/" + re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).strip("/") for repo, root in roots.items()}
+    folders: dict[str, list[str]] = {}
+    for repo, folder in plain.items():
+        folders.setdefault(folder, []).append(repo)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sorted(set(roots.values())))
+    where = F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "")
+    parts = F.split("where", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    known = F.create_map(*(x for folder, repos in folders.items() for x in (F.lit(folder), F.array(*map(F.lit, repos)))))
+    found = F.transform(F.filter(above, lambda d: F.map_contains_key(known, d)), lambda d: F.struct(d.alias("folder"), F.element_at(known, d).alias("repos")))
+    rows = raw.withColumn("where", where).withColumn("in", F.explode(found)).withColumn("rel", F.expr("substring(`where`, length(`in`.folder) + 2)"))
+    rows = rows.filter(~in_skipped_dir(F.col("rel"))).withColumn("repo", F.explode("in.repos"))
+    role = F.lit(None).cast("string")
+    if roles:
+        role = F.try_element_at(F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)), F.col("repo"))
+    text = F.expr("make_valid_utf8(cast(content AS string))")
+    return rows.select("repo", role.alias("role"), "rel", text.alias("content"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"))
 
 
 def to_lines(files: DataFrame) -> DataFrame:
-    """files(repo, rel, content) to numbered lines; a final newline starts no line."""
-    body = F.regexp_replace("content", r"\r?\n$", "")
+    """files(repo, rel, content) to numbered lines; a final newline starts no line, blank lines before it are lines."""
+    body = F.regexp_replace("content", r"\r?\n\z", "")
     lines = files.filter(F.length("content") > 0).select("repo", "rel", F.posexplode(F.split(body, r"\r?\n")).alias("k", "content"))
     return lines.select("repo", "rel", (F.col("k") + 1).cast("long").alias("lineno"), "content")
 
@@ -106,13 +116,16 @@ def schema_digest(specs: DataFrame, max_specs: int = 15, max_schemas: int = 80,
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, content) to the scalars of a leading ``---`` block as a map, and its tags (inline or block list)."""
+    """docs(doc_id, content) to the scalars of a leading ``---`` block as a map (of a repeated key the last), and its tags (inline or block list)."""
     block = F.regexp_extract("content", r"(?s)^---\n(.*?)\n---", 1)
     keys, values = F.regexp_extract_all(block, F.lit(r"(?m)^([A-Za-z_][\w-]*): *([^\n\[]+)$"), F.lit(1)), F.regexp_extract_all(block, F.lit(r"(?m)^([A-Za-z_][\w-]*): *([^\n\[]+)$"), F.lit(2))
     inline = F.split(F.regexp_replace(F.regexp_extract(block, r"(?m)^tags: *\[([^\]]*)\]", 1), r"[\"' ]", ""), ",")
     listed = F.regexp_extract_all(F.regexp_extract(block, r"(?m)^tags: *\n((?:[ ]*- *[^\n]+\n?)+)", 1), F.lit(r"- *([^\n]+)"), F.lit(1))
     tags = F.filter(F.concat(inline, listed), lambda t: t != "")
-    return docs.select("doc_id", F.map_from_arrays(keys, F.transform(values, lambda v: F.trim(v))).alias("fields"), tags.alias("tags"))
+    n = F.size(keys)
+    last = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & ~F.array_contains(F.slice(keys, k + 1, n), F.get(keys, k - 1)))
+    entries = F.transform(last, lambda k: F.struct(F.get(keys, k - 1), F.trim(F.get(values, k - 1))))
+    return docs.select("doc_id", F.map_from_entries(entries).alias("fields"), tags.alias("tags"))
 
 
 def topology_edges(lines: DataFrame) -> DataFrame:
@@ -145,5 +158,3 @@ def write_edge_store(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     n.write.mode("overwrite").parquet(f"{path}/nodes")
     e.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
     e.select("source", "kind", "target").distinct().sort("source", "kind", "target").write.mode("overwrite").option("sep", "\t").csv(f"{path}/edges_tsv")
-
-

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.paths import micros
 
@@ -22,9 +25,26 @@ def match_events(events: DataFrame, event_type: str, fields: dict[str, str] | No
     return out.withColumn("passed", F.col("matched") == expected if expected is not None else F.col("matched") >= 1)
 
 
-def dedup_events(events: DataFrame, window: str = "24 hours", key: str = "idempotency_id") -> DataFrame:
-    """Streaming: drop repeats of the key within the window, which is also how late an event may be."""
-    return events.withWatermark("ts", window).dropDuplicatesWithinWatermark([key])
+def dedup_events(events: DataFrame, window_s: int = 86_400, key: str = "idempotency_id", late: str = "1 hour") -> DataFrame:
+    """Streaming: the events that ``dedup_events_batch`` calls unique. The state is the latest time of each key, kept for the window; an event that comes
+    after a later one of its key counts as its duplicate."""
+    schema, cols = events.schema, events.columns
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["_us", "msg_offset"])
+        before = rows["_us"].shift(1)
+        if state.exists:
+            before = before.fillna(state.get[0]).clip(lower=state.get[0])
+        last = int(max(rows["_us"].max(), state.get[0] if state.exists else rows["_us"].max()))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.loc[~(rows["_us"] - before <= window_s * 1_000_000), cols]
+
+    rows = events.withWatermark("ts", late).withColumn("_us", micros(F.col("ts")))
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "EventTimeTimeout")
 
 
 def dedup_events_batch(events: DataFrame, window_s: int = 86_400, key: str = "idempotency_id") -> DataFrame:
@@ -34,8 +54,16 @@ def dedup_events_batch(events: DataFrame, window_s: int = 86_400, key: str = "id
     return events.withColumn("state", F.when(gap <= window_s * 1_000_000, "duplicate").otherwise("unique"))
 
 
-def validate_events(events: DataFrame, required: dict[str, str], minimum: dict[str, float] | None = None, enum: list[str] | None = None) -> DataFrame:
-    """events with an error code (null if valid): invalid JSON, a missing field, a wrong type, below a minimum, an unknown event type."""
+def check_keys(events: DataFrame, wanted: DataFrame, key: str = "idempotency_id") -> DataFrame:
+    """wanted(key) to whether events hold it: ``not_found``, ``unique`` or ``duplicate`` (more than once)."""
+    n = events.join(wanted.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
+    state = F.when(F.col("_n").isNull(), "not_found").when(F.col("_n") > 1, "duplicate").otherwise("unique")
+    return wanted.select(key).distinct().join(n, key, "left").select(key, state.alias("state"))
+
+
+def validate_events(events: DataFrame, required: dict[str, str], minimum: dict[str, float] | None = None, enum: list[str] | None = None, min_length: dict[str, int] | None = None) -> DataFrame:
+    """events with an error code (null if valid): invalid JSON, a missing field, a wrong type (``number``, ``string``), below a minimum or a least length, an
+    unknown event type."""
     parsed = F.expr("try_parse_json(value)").isNotNull()
     error = F.when(F.col("value").isNull() | ~parsed, "INVALID_JSON")
     for name, kind in required.items():
@@ -43,8 +71,12 @@ def validate_events(events: DataFrame, required: dict[str, str], minimum: dict[s
         error = error.when(v.isNull(), f"MISSING_{name.upper()}")
         if kind == "number":
             error = error.when(~v.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), f"TYPE_{name.upper()}")
+        if kind == "string":
+            error = error.when(F.expr(f"schema_of_variant(try_variant_get(try_parse_json(value), '$.{name}', 'variant'))") != "STRING", f"TYPE_{name.upper()}")
     for name, least in (minimum or {}).items():
         error = error.when(F.expr(f"try_cast(get_json_object(value, '$.{name}') AS double)") < least, f"MINIMUM_{name.upper()}")
+    for name, least in (min_length or {}).items():
+        error = error.when(F.length(F.get_json_object("value", f"$.{name}")) < least, f"MINLENGTH_{name.upper()}")
     if enum:
         error = error.when(~F.col("event_type").isin(*enum), "UNKNOWN_TYPE")
     return events.withColumn("error_code", error)
@@ -56,16 +88,18 @@ def route_events(checked: DataFrame, retries: Column, cap: int = 3) -> DataFrame
     return checked.withColumn("route", F.when(F.col("error_code").isNull(), "ok").when(transient & (retries < cap), "retry").otherwise("dlq"))
 
 
-def write_checked(checked: DataFrame, ok_path: str, dlq_path: str, checkpoint: str):
-    """Streaming sink: valid events and dead letters to their folders, per micro-batch."""
+def write_batch(checked: DataFrame, batch_id: int, ok_path: str, dlq_path: str) -> None:
+    """Valid events and dead letters of one micro-batch, each to the batch's own folder, which a batch that comes again overwrites."""
+    checked.persist()
+    checked.filter("error_code IS NULL").drop("error_code").write.mode("overwrite").parquet(f"{ok_path}/batch={batch_id}")
+    checked.filter("error_code IS NOT NULL").write.mode("overwrite").parquet(f"{dlq_path}/batch={batch_id}")
+    checked.unpersist()
 
-    def both(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        batch.filter("error_code IS NULL").drop("error_code").write.mode("append").parquet(ok_path)
-        batch.filter("error_code IS NOT NULL").write.mode("append").parquet(dlq_path)
-        batch.unpersist()
 
-    return checked.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_checked(checked: DataFrame, ok_path: str, dlq_path: str, checkpoint: str):
+    """Streaming sink: valid events and dead letters to their folders, per micro-batch; a replayed batch replaces itself."""
+    sink = lambda batch, batch_id: write_batch(batch, batch_id, ok_path, dlq_path)
+    return checked.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dlq_depth(dlq: DataFrame, alert: int = 100, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -114,8 +148,42 @@ def consumer_lag(events: DataFrame, committed: DataFrame, alert: float = 0.5) ->
     return out.select("topic", "part_no", "lag", (F.col("lag") > alert * (F.col("high") - F.col("low"))).alias("alert"))
 
 
+class _Progress(StreamingQueryListener):
+    """Input rows of each run, over all of its progress reports."""
+
+    def __init__(self) -> None:
+        self.rows: Counter[str] = Counter()
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows[str(event.progress.runId)] += event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def total(self, run: str, seconds: float = 60.0) -> int:
+        with self.news:
+            if not self.news.wait_for(lambda: run in self.ended, seconds):
+                raise TimeoutError(f"no end of streaming run {run} was reported")
+        return self.rows[run]
+
+
 def incremental_consume(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str) -> int:
     """Each run appends to the sink only what came since the last one's committed offset; returns how many rows that was."""
-    query = spark.readStream.schema(schema).parquet(source).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sum(int(p["numInputRows"]) for p in query.recentProgress)
+    progress = _Progress()
+    spark.streams.addListener(progress)
+    try:
+        query = spark.readStream.schema(schema).parquet(source).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return progress.total(str(query.runId))
+    finally:
+        spark.streams.removeListener(progress)

@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_all_have_twins():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"cs13_posix_cksum"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_posix_cksum(spark, sf_dir):

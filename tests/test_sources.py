@@ -2,14 +2,18 @@
 
 from pyspark.sql import types as T
 
-from tessera.sources.readers import parse_tagged, read_corpus, read_jsonl, read_steps, read_tsv, to_lines, write_edge_store
+from tessera.sources.readers import front_matter, parse_tagged, read_corpus, read_jsonl, read_steps, read_tsv, to_lines, write_edge_store
 
 
 def test_read_corpus(spark, tmp_path):
     for rel, text in {"src/a.ts": "one\ntwo\n", "node_modules/x.js": "no", "src/dist/b.js": "no", "b.py": "x"}.items():
         (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / rel).write_text(text)
+    (tmp_path / "src/blob.bin").write_bytes(b"ok \xff\xfe\n\n\n")
     files = read_corpus(spark, {"web": str(tmp_path)})
+    odd = files.filter("rel = 'src/blob.bin'")
+    assert [(r.lineno, r.content) for r in to_lines(odd).orderBy("lineno").collect()] == [(1, "ok \ufffd\ufffd"), (2, ""), (3, "")]
+    files = files.filter("rel <> 'src/blob.bin'")
     assert sorted((r.repo, r.rel, r.bytes) for r in files.collect()) == [("web", "b.py", 1), ("web", "src/a.ts", 8)]
     assert [(r.lineno, r.content) for r in to_lines(files).filter("rel <> 'b.py'").orderBy("lineno").collect()] == [(1, "one"), (2, "two")]
 
@@ -46,3 +50,28 @@ def test_edge_store(spark, tmp_path):
     assert [(r.id, r.path) for r in spark.read.parquet(str(tmp_path / "store/nodes")).collect()] == [("a", "p2")]
     assert spark.read.parquet(str(tmp_path / "store/edges")).count() == 1
     assert spark.read.text(str(tmp_path / "store/edges_tsv")).first()[0] == "a\tcalls\tb"
+
+
+def test_roots_with_odd_names(spark, tmp_path):
+    for name in ("a+b (1)", "a"):
+        (tmp_path / name / "in").mkdir(parents=True)
+        (tmp_path / name / "in" / "x.py").write_text(name)
+    roots = {"one": str(tmp_path / "a+b (1)") + "/", "two": "file://" + str(tmp_path / "a"), "inner": str(tmp_path / "a" / "in")}
+    files = read_corpus(spark, roots, {"one": "backend"})
+    assert sorted((r.repo, r.role, r.rel, r.content) for r in files.collect()) == [("inner", None, "x.py", "a"), ("one", "backend", "in/x.py", "a+b (1)"), ("two", None, "in/x.py", "a")]
+
+
+def test_front_matter_repeats(spark):
+    text = "---\nstatus: old\nowner: me\nstatus: new\ntags: [a, b]\n---\nbody"
+    rows = front_matter(spark.createDataFrame([(1, text), (2, "no block"), (3, None)], "doc_id int, content string")).collect()
+    got = {r.doc_id: r.fields for r in rows}
+    assert got[1] == {"status": "new", "owner": "me"} and got[2] == {} and not got[3]
+
+
+def test_lines_end(spark):
+    rows = [("r", "a", "x\n\n"), ("r", "b", "x\r\n\r\n\r\n"), ("r", "c", "\n"), ("r", "d", "x"), ("r", "e", "")]
+    lines = to_lines(spark.createDataFrame(rows, "repo string, rel string, content string")).collect()
+    got = {}
+    for r in sorted(lines, key=lambda r: (r.rel, r.lineno)):
+        got.setdefault(r.rel, []).append(r.content)
+    assert got == {"a": ["x", ""], "b": ["x", "", ""], "c": [""], "d": ["x"]}

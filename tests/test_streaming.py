@@ -1,5 +1,6 @@
 """Streaming forms against their batch forms."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans.fixtures import Inputs
@@ -23,14 +24,43 @@ def run(df, tmp_path, name, mode="append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
-def test_dedup(spark, sf_dir, tmp_path):
-    """Stream and batch agree on keys, and no key is kept twice within the window of its first event."""
-    batch, stream = staged(spark, sf_dir, tmp_path)
-    kept = run(E.dedup_events(stream, "3650 days"), tmp_path, "dedup")
-    first = E.dedup_events_batch(batch, 3650 * 86_400).filter("state = 'unique'")
-    assert kept.count() == first.count() == batch.select("idempotency_id").distinct().count()
-    again = E.dedup_events_batch(first.drop("state"), 3650 * 86_400)
-    assert again.filter("state = 'duplicate'").count() == 0
+@pytest.mark.parametrize("window_s", [3600, 5 * 86_400, 3650 * 86_400])
+def test_dedup(spark, sf_dir, tmp_path, window_s):
+    """Stream and batch call the same events unique, with windows shorter and longer than the data's span."""
+    rows = Inputs(spark, sf_dir).messages.withColumn("idempotency_id", F.expr("cast(msg_offset % 20 as string)"))
+    rows = rows.withColumn("msg_offset", F.expr("row_number() OVER (ORDER BY ts, msg_offset) - 1").cast("long"))
+    folder = str(tmp_path / "in")
+    half = rows.count() // 2
+    m = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    for k, part in enumerate((m.filter(F.col("msg_offset") < half), m.filter(F.col("msg_offset") >= half))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = run(E.dedup_events(stream, window_s, late="3650 days"), tmp_path, "dedup")
+    first = E.dedup_events_batch(m, window_s).filter("state = 'unique'")
+    got, want = (sorted(r.msg_offset for r in x.collect()) for x in (kept, first))
+    assert got == want and 20 <= len(want) and kept.columns == m.columns
+    assert window_s > 86_400 or len(want) > 20
+
+
+def test_check_keys(spark):
+    events = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "idempotency_id string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "idempotency_id string")
+    assert sorted(tuple(r) for r in E.check_keys(events, wanted).collect()) == [("a", "unique"), ("b", "duplicate"), ("c", "not_found")]
+
+
+def test_validation_codes(spark):
+    rows = [('{"u": "ab", "n": 1}', None), ('{"u": "a", "n": 1}', "MINLENGTH_U"), ('{"u": 5, "n": 1}', "TYPE_U"), ('{"u": "ab", "n": "x"}', "TYPE_N"), ('{"u": "ab", "n": -1}', "MINIMUM_N"), ('{"n": 1}', "MISSING_U"), ("{", "INVALID_JSON"), (None, "INVALID_JSON")]
+    df = spark.createDataFrame([(v, "view") for v, _ in rows], "value string, event_type string")
+    got = E.validate_events(df, {"u": "string", "n": "number"}, {"n": 0}, ["view"], {"u": 2}).collect()
+    assert [r.error_code for r in got] == [c for _, c in rows]
+
+
+def test_replayed_batch(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "X"), (3, None)], "k int, error_code string")
+    ok, dlq = str(tmp_path / "ok"), str(tmp_path / "dlq")
+    for batch_id in (0, 1, 1):
+        E.write_batch(df, batch_id, ok, dlq)
+    assert spark.read.parquet(ok).count() == 4 and spark.read.parquet(dlq).count() == 2
 
 
 def test_order_violations(spark, sf_dir, tmp_path):
