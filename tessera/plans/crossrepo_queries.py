@@ -13,17 +13,17 @@ from .corpus_queries import SYMBOLS
 from .registry import register
 
 ROUTES_ALL = """, routes_all AS (SELECT route_idx, repo, rel, lineno, content FROM routes
- UNION ALL SELECT 1000 + route_idx, 'svc9', rel, lineno, 'router.get("/' || split_part(rel, '/', 2) || '/7")' FROM routes WHERE repo = 'svc0'
- UNION ALL SELECT 2000, 'svc9', 'src/app.ts', 1, 'app.use("/api/v2", r)' FROM routes WHERE route_idx = 0
- UNION ALL SELECT 500 + route_idx, 'web1', rel, lineno, content FROM routes WHERE repo = 'svc0')"""
+ UNION ALL SELECT 1000000000 + route_idx, 'svc9', rel, lineno, 'router.get("/' || split_part(rel, '/', 2) || '/' || regexp_extract(rel, '([0-9]+)/routes', 1) || '")' FROM routes WHERE repo = 'svc0'
+ UNION ALL SELECT 3000000000, 'svc9', 'src/app.ts', 1, 'app.use("/api/v2", r)' FROM routes WHERE route_idx = 0
+ UNION ALL SELECT 2000000000 + route_idx, 'web1', rel, lineno, content FROM routes WHERE repo = 'svc0')"""
 
 
 def routes_all(t):
     """The route fixture, routes of a router mounted under /api/v2, and copies within a calling repository."""
     r = t.routes
-    mounted = r.filter("repo = 'svc0'").select((F.col("route_idx") + 1000).alias("route_idx"), F.lit("svc9").alias("repo"), "rel", "lineno", F.expr("concat('router.get(\"/', split_part(rel, '/', 2), '/7\")')").alias("content"))
-    mount = r.filter("route_idx = 0").select(F.lit(2000).cast("long").alias("route_idx"), F.lit("svc9").alias("repo"), F.lit("src/app.ts").alias("rel"), F.lit(1).cast("long").alias("lineno"), F.lit('app.use("/api/v2", r)').alias("content"))
-    own = r.filter("repo = 'svc0'").withColumn("route_idx", F.col("route_idx") + 500).withColumn("repo", F.lit("web1"))
+    mounted = r.filter("repo = 'svc0'").select((F.col("route_idx") + 1_000_000_000).alias("route_idx"), F.lit("svc9").alias("repo"), "rel", "lineno", F.expr("concat('router.get(\"/', split_part(rel, '/', 2), '/', regexp_extract(rel, '([0-9]+)/routes', 1), '\")')").alias("content"))
+    mount = r.filter("route_idx = 0").select(F.lit(3_000_000_000).cast("long").alias("route_idx"), F.lit("svc9").alias("repo"), F.lit("src/app.ts").alias("rel"), F.lit(1).cast("long").alias("lineno"), F.lit('app.use("/api/v2", r)').alias("content"))
+    own = r.filter("repo = 'svc0'").withColumn("route_idx", F.col("route_idx") + 2_000_000_000).withColumn("repo", F.lit("web1"))
     return r.unionByName(mounted).unionByName(mount).unionByName(own)
 
 

@@ -74,8 +74,8 @@ FIXTURES = {
     "files": "SELECT source AS repo, lang || '/d' || CAST(doc_id AS STRING) || CASE doc_id % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.test.js' WHEN 3 THEN '_test.go' WHEN 4 THEN '.md' ELSE '.min.js' END AS rel, text AS content FROM {documents}",
     "code": f"SELECT 'repo' || CAST(user_id % 5 AS STRING) AS repo, {_DIR} || '/f' || CAST(user_id % 40 AS STRING) || '.' || ext AS rel, CAST(event_id AS BIGINT) AS lineno, replace(replace(replace(line, '%u', CAST(user_id % 20 AS STRING)), '%e', event_type), '%E', upper(event_type)) AS content FROM {{events}} JOIN (VALUES {_values()}) v(k, ext, line) ON event_id % {len(_LINES)} = k",
     "import_lines": "SELECT 'repo' || CAST(l_suppkey % 5 AS STRING) AS repo, 'src/p' || CAST(l_partkey AS STRING) || '.ts' AS rel, CAST(l_linenumber AS BIGINT) AS lineno, 'import x from \"./s' || CAST(l_suppkey AS STRING) || '\"' AS content FROM {lineitem}",
-    "callsites": "SELECT 'web' || CAST(user_id % 7 AS STRING) AS repo, 'src/m' || CAST(user_id % 13 AS STRING) || '/client.ts' AS rel, CAST(event_id AS BIGINT) AS lineno, 'await client.' || CASE WHEN event_type IN ('purchase','signup') THEN 'post' ELSE 'get' END || '(\"/api/v' || CAST(event_id % 2 + 1 AS STRING) || '/' || event_type || '/' || CAST(user_id % 50 AS STRING) || '\")' AS content FROM {events}",
-    "routes": "SELECT CAST(row_number() OVER (ORDER BY r.r_regionkey, e.event_type) - 1 AS BIGINT) AS route_idx, 'svc' || CAST(r.r_regionkey AS STRING) AS repo, 'src/' || e.event_type || '/routes.ts' AS rel, CAST(r.r_regionkey * 10 + 1 AS BIGINT) AS lineno, CASE WHEN r.r_regionkey % 2 = 0 THEN 'router.get(\"/v1/' || e.event_type || '/{{id}}\")' ELSE 'router.post(\"/api/v1/' || e.event_type || '/7\")' END AS content FROM {region} r CROSS JOIN (SELECT DISTINCT event_type FROM {events}) e",
+    "callsites": "SELECT 'web' || CAST(user_id % 7 AS STRING) AS repo, 'src/m' || CAST(user_id % 13 AS STRING) || '/client.ts' AS rel, CAST(event_id AS BIGINT) AS lineno, 'await client.' || CASE WHEN event_type IN ('purchase','signup') THEN 'post' ELSE 'get' END || '(\"/api/v' || CAST(event_id % 2 + 1 AS STRING) || '/' || event_type || CAST(user_id % 40 AS STRING) || '/' || CAST(user_id AS STRING) || '\")' AS content FROM {events}",
+    "routes": "SELECT route_idx, repo, 'src/' || kind || '/routes.ts' AS rel, lineno, CASE WHEN side = 0 THEN 'router.get(\"/v1/' || kind || '/{{id}}\")' ELSE 'router.post(\"/api/v1/' || kind || '/' || CAST(no AS STRING) || '\")' END AS content FROM (SELECT CAST(s_suppkey AS BIGINT) AS route_idx, 'svc' || CAST(s_suppkey % 5 AS STRING) AS repo, (s_suppkey % 5) % 2 AS side, CAST(s_suppkey * 10 + 1 AS BIGINT) AS lineno, CAST(floor(s_suppkey / 25.0) AS BIGINT) AS no, CASE CAST(floor(s_suppkey / 5.0) AS BIGINT) % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END || CAST(CAST(floor(s_suppkey / 25.0) AS BIGINT) AS STRING) AS kind FROM {supplier})",
     "results": "SELECT user_id AS run_id, 'SC-' || CAST(user_id % 5 AS STRING) AS scenario, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step, CASE event_type WHEN 'error' THEN 'FAIL' WHEN 'signup' THEN 'SKIP' ELSE 'PASS' END AS status, CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'continue' ELSE 'log' END AS failure_mode, (event_id % 4 = 0) AS critical, value AS duration_ms FROM {events}",
     "commits": "SELECT event_id AS sha, user_id AS author, ts, CASE event_type WHEN 'purchase' THEN 'feat: x' WHEN 'error' THEN 'fix: y' ELSE 'chore: z' END AS message FROM {events}",
     "decisions": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'Warm' ELSE 'Cold' END AS status, CAST(o_orderdate AS DATE) AS created, 'P' || CAST(o_custkey % 4 AS STRING) AS product, o_orderpriority AS tag, (o_orderkey % 11 = 0) AS evergreen FROM {orders}",
