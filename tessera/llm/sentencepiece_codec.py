@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,12 @@ def normalise(data: bytes, chars: CharacterMap, dummy_prefix: bool, squeeze: boo
     return bytes(out), source
 
 
+def mark_words(words: list[str]) -> tuple[list[str], Callable[[np.ndarray], np.ndarray]]:
+    """``normalise`` with an empty map for many words, each with the space before it: every character is its own longest prefix, so only the space grows, to
+    the three bytes of the mark; and the source byte of a place in a normalised word."""
+    return [MARK + w for w in words], lambda place: np.maximum(place - 2, 0)
+
+
 class Codec:
     """Encoder and decoder of one model (a path, or the model itself); made once in each task."""
 
@@ -130,16 +137,38 @@ class Codec:
         plain = "  " not in text and text[0] != " " and text[-1] != " "
         words = text.split(" ") if plain else [w[1:] for w in _WORDS.findall(" " + text)]
         new = self.memo.missing(set(words))
-        young = self.memo.young
-        normal = [normalise(b" " + w.encode(), self.chars, False, *self.spec[1:]) for w in new]
-        marked = [n.decode() for n, _ in normal]
-        for word, ids, mark, (_, source) in zip(new, self.pieces.encode(marked, num_threads=1), marked, normal, strict=True):
-            ends = self._project(ids, mark, source)
-            young[word] = np.array([ids, np.diff(ends, prepend=0)], np.uint32).T.tobytes()
-        out = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32).reshape(-1, 2)
+        if new:
+            self._learn(new)
+        out = np.frombuffer(b"".join(map(self.memo.young.__getitem__, words)), np.uint32).reshape(-1, 2)
         self.memo.turn()
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Put the (id, source bytes) of new words, each with the space before it, into the cache."""
+        for word in [w for w in words if " " in w]:  # one after further spaces
+            normal, source = normalise(b" " + word.encode(), self.chars, False, *self.spec[1:])
+            ids = self.pieces.encode(normal.decode())
+            self.memo.young[word] = np.array([ids, np.diff(self._project(ids, normal.decode(), source), prepend=0)], np.uint32).T.tobytes()
+        words = [w for w in words if " " not in w]
+        normal, source = mark_words(words)
+        ids = self.pieces.encode(normal, num_threads=1)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+        first = np.cumsum(counts) - counts
+        ends = np.cumsum(self.size[flat])
+        ends -= np.repeat(np.concatenate([[0], ends])[first], counts)  # within each word's normalised bytes
+        ends = source(ends)
+        starts = np.concatenate([[0], ends[:-1]])
+        starts[first[counts > 0]] = 0
+        data, cuts = np.stack([flat, ends - starts], 1).astype(np.uint32).tobytes(), (8 * np.append(first, len(flat))).tolist()
+        young = self.memo.young
+        for word, a, b in zip(words, cuts, cuts[1:]):
+            young[word] = data[a:b]
+        last = np.where(counts > 0, np.append(ends, 0)[first + counts - 1], 0)
+        for k in np.flatnonzero(last != np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))).tolist():  # unknown pieces: by their surfaces
+            _, record = normalise(b" " + words[k].encode(), self.chars, False, *self.spec[1:])
+            young[words[k]] = np.array([ids[k], np.diff(self._project(ids[k], normal[k], record), prepend=0)], np.uint32).T.tobytes()
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end, and each one's source bytes [start, end)."""
         if self.by_word and MARK not in text:  # a mark in the source acts as a space

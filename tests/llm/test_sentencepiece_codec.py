@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2
 
 from tessera.llm.queries_op10 import op10_sentencepiece
-from tessera.llm.sentencepiece_codec import CharacterMap, Codec, decode, digests, encode, normalise
+from tessera.llm.sentencepiece_codec import CharacterMap, Codec, decode, digests, encode, mark_words, normalise
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "a▁b ▁", "\n\t x", "😀é́", "12 345", "a\0b", "ﬁ ½", "word " * 5000, "x" * 3000, "​ 　", " \n ", "日本語 テキスト"]
@@ -34,6 +34,16 @@ def test_any_text(text):
     assert CODEC.encode(text)[0].tolist() == SP.encode(text, add_bos=True, add_eos=True)
 
 
+def test_words_in_bulk_equal_the_normaliser():
+    words = ["", "a", "é", "日本", "x" * 40, "a\tb", "😀é́"]
+    normal, source = mark_words(words)
+    for w, n in zip(words, normal):
+        want, record = normalise(b" " + w.encode(), CharacterMap(b""), False, False, True)
+        assert n.encode() == want
+        starts = [k for k in range(len(want) + 1) if k == len(want) or want[k] & 0xC0 != 0x80]  # where characters begin
+        assert source(np.array(starts)).tolist() == [record[k] for k in starts]
+
+
 def test_small_cache():
     small = Codec(MODEL, room=3)
     for text in ODD:
