@@ -43,7 +43,7 @@ def required(n: np.ndarray, percent: int) -> np.ndarray:
 
 def regions(percent: int) -> int:
     """Parts of the token space; one part is well above a prefix long."""
-    return max(1, round(60 / (100 - percent))) if percent < 100 else 60
+    return max(1, round(80 / (100 - percent))) if percent < 100 else 80
 
 
 def summaries(texts: list[str | None], width: int, percent: int) -> tuple:
@@ -97,7 +97,8 @@ def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     """nodes(node, n, u, tokens) to the tokens of each first-order prefix that another node's prefix holds too: (node, token, members). Tokens are counted
-    by aggregates that combine before the shuffle."""
+    by aggregates that combine before the shuffle. Of tokens in the prefixes of the very same nodes (by number and 128 bits of hash) one stands for all, for
+    a pair of nodes needs to meet once."""
     rows = nodes.select("node", F.explode("tokens").alias("token"))
     shared = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     own = F.expr(f"pmod(cast(shiftrightunsigned(token, 8) as long), {regions(percent)}) = 0")
@@ -107,7 +108,9 @@ def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     # Tokens that no other document holds lead the order: u - shared_own of the prefix's places.
     room = F.expr(f"n - cast(floor(({percent} * cast(n as long) + 99) / 100) as int) + 1 - (u - shared_own)")
     kept = written(ranked.join(sizes, "node").filter(~F.col("own") | (F.col("rank") <= room)).select("node", "token"), "prefix-tokens")
-    return kept.join(kept.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "token")
+    bits = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    members = kept.groupBy("token").agg(F.count("*").alias("members"), *bits).filter("members > 1")
+    return kept.join(members.groupBy("members", "x", "y").agg(F.min("token").alias("token")), "token").select("node", "token", "members")
 
 
 def dealt(rows: DataFrame, group: str, percent: int, block: int, tokens: int) -> DataFrame:
