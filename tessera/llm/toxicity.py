@@ -2,7 +2,7 @@
 
 Fit: from at most ``sample`` labelled rows (those of smallest hash, so the choice doesn't depend on partitioning). Each text is the set of its hashed
 character n-grams. The log-count ratio of a feature compares its smoothed document counts in the two classes; the features with the largest chi-squared
-statistic are kept, scaled by their ratio, and weighed by logistic regression with an L2 penalty. Score: every whole text, in one vectorised pass; a
+statistic are kept, scaled by their ratio, and weighed by logistic regression with an L2 penalty, in which the rarer class counts more. Score: every whole text, in one vectorised pass; a
 text's score depends on nothing but the text.
 
 Defined results: null and empty texts score as texts without features; repeated rows give repeated rows; labelled rows without a text or label are not
@@ -49,7 +49,7 @@ class ToxicityModel:
         return sigmoid(out + self.bias)
 
 
-def fit_toxicity(texts: list[str], labels: np.ndarray, bits: int = 22, orders: tuple[int, ...] = (4, 6, 8), features: int = 3000, alpha: float = 0.2, l2: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(texts: list[str], labels: np.ndarray, bits: int = 22, orders: tuple[int, ...] = (4, 5, 6, 7, 8), features: int = 3000, alpha: float = 0.2, l2: float = 1e-3, least: int = 3, balance: float = 1.6) -> ToxicityModel:
     labels = np.asarray(labels, np.int64)
     n = np.bincount(labels, minlength=2)[:2]
     none = np.zeros(0, np.int64)
@@ -65,11 +65,12 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, bits: int = 22, orders: t
                 yield a, doc, h
 
     for a, doc, h in grams():  # a bucket that two orders share in one text counts twice, which costs nothing but a little weight
-        keys = np.unique(doc << bits | h)
+        keys = np.sort(doc << bits | h)
+        keys = keys[np.diff(keys, prepend=-1) != 0]
         doc, h = keys >> bits, keys & ((1 << bits) - 1)
         for y in (0, 1):
             np.add.at(counts[y], h[labels[a + doc] == y], 1)
-    used = np.flatnonzero(counts.sum(0) >= 5)
+    used = np.flatnonzero(counts.sum(0) >= least)
     c = counts[:, used].astype(float)
     del counts
     p = (c + alpha) / (n[:, None] + 2 * alpha)
@@ -87,11 +88,13 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, bits: int = 22, orders: t
         rows.append(a + (keys >> bits))
         cols.append(np.searchsorted(buckets, keys & ((1 << bits) - 1)))
     row, col = np.concatenate(rows), np.concatenate(cols)
-    w, bias = np.zeros(len(buckets)), float(np.log(n[1] / n[0]))
+    share = np.where(labels == 1, (n[0] / n[1]) ** balance, 1.0)  # what an error counts: toxic rows are few, and to miss one is worse
+    share /= share.sum()
+    w, bias = np.zeros(len(buckets)), float(np.log(share[labels == 1].sum() / share[labels == 0].sum()))
     m = v = np.zeros(len(buckets) + 1)
     for step in range(1, 301):  # Adam on the whole sample
         z = np.bincount(row, (w * ratio)[col], len(labels)) + bias
-        err = (sigmoid(z) - labels) / len(labels)
+        err = (sigmoid(z) - labels) * share
         g = np.append(np.bincount(col, err[row], len(w)) * ratio + l2 * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
