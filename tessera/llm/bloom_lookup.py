@@ -4,8 +4,8 @@ A text is cut into paragraphs (its lines, a longer one into runs of at most ``ru
 the table. Each key goes into one cell of each of three parts; a cell holds how many keys it got, their XOR, and the XOR of their check values. Two
 tables subtract cell by cell, which leaves only the keys that one of the texts lacks, and peeling recovers those: a cell with one key gives it away, its
 removal from the other parts frees further cells. If cells remain, the differing keys were too many, and the comparison is retried with larger tables: a
-table of ``cells`` cells for every eight keys of the two texts, chosen by digest, and where one of those fails, one four times as large. The last resort
-for such a group is the difference of its key lists themselves.
+table of ``cells`` cells for every eight keys of the two texts, chosen by digest, and where one of those fails, one four times and one sixteen times as
+large. The last resort for such a group is the difference of its key lists themselves; ``listed_groups`` says how many groups came to that.
 
 Likeness of two texts is the share of their distinct paragraphs that both hold; of two texts without paragraphs it is 1.
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 LEAST = -(1 << 63)
 _NO_KEYS = "cast(array() as array<struct<c:int,k:bigint>>)"
 
@@ -60,22 +62,28 @@ def bind_sql(value: str, name: str, body: str) -> str:
 
 
 def retried_sql(a: str, b: str, cells: int) -> str:
-    """The same over tables that grow with the texts: one for every eight keys; a group that fails is retried four times larger."""
-    groups = f"greatest(1L, cast(ceil((size({a}) + size({b})) / 8.0D) as bigint))"
-    exact = "named_struct('p', size(array_except(ga, gb)), 'm', size(array_except(gb, ga)), 'ok', true)"
-    once = lambda n: peel_sql(subtract_sql(table_sql("ga", n), table_sql("gb", n)), n)
-    one = bind_sql(once(cells), "o", f"CASE WHEN o.ok THEN o ELSE {bind_sql(once(4 * cells), 'o2', f'CASE WHEN o2.ok THEN o2 ELSE {exact} END')} END")
-    of = lambda keys: f"filter({keys}, x -> pmod(shiftright(x, 48), gn) = g)"
-    each = bind_sql(of(a), "ga", bind_sql(of(b), "gb", one))
-    total = "aggregate({rows}, named_struct('p', 0, 'm', 0, 'ok', true), (s, x) -> named_struct('p', s.p + x.p, 'm', s.m + x.m, 'ok', true))"
-    return bind_sql(groups, "gn", total.format(rows=f"transform(sequence(0L, gn - 1), g -> {each})"))
-
-
-def likeness(a_table: str, b_table: str, a: str, b: str, cells: int) -> Column:
+    """The same over tables that grow with the texts: one for every eight keys; a group that fails is retried four and sixteen times larger, and counted (x)
+    where its key lists had to be compared. Keys are dealt to about as many parts as each part has groups, so that no key is looked at once per group."""
+    exact = "named_struct('p', size(array_except(ga, gb)), 'm', size(array_except(gb, ga)), 'x', 1L)"
+    for larger in (16, 4, 1):
+        n = larger * cells
+        once = peel_sql(subtract_sql(table_sql("ga", n), table_sql("gb", n)), n)
+        exact = bind_sql(once, f"o{larger}", f"CASE WHEN o{larger}.ok THEN named_struct('p', o{larger}.p, 'm', o{larger}.m, 'x', 0L) ELSE {exact} END")
+    total = "aggregate({rows}, named_struct('p', 0, 'm', 0, 'x', 0L), (s, x) -> named_struct('p', s.p + x.p, 'm', s.m + x.m, 'x', s.x + x.x))"
+    half = "greatest(1L, cast(ceil({power}((size({a}) + size({b})) / 8.0D)) as bigint))"
+    of = lambda keys, seed, n, i: f"filter({keys}, x -> pmod(xxhash64(x, {seed}), {n}) = {i})"
+    group = bind_sql(of("pa", 2, "gn", "g"), "ga", bind_sql(of("pb", 2, "gn", "g"), "gb", exact))
+    part = bind_sql(half.format(power="", a="pa", b="pb"), "gn", total.format(rows=f"transform(sequence(0L, gn - 1), g -> {group})"))
+    part = bind_sql(of(a, 1, "pn", "i"), "pa", bind_sql(of(b, 1, "pn", "i"), "pb", part))
+    return bind_sql(half.format(power="sqrt", a=a, b=b), "pn", total.format(rows=f"transform(sequence(0L, pn - 1), i -> {part})"))
+
+
+def compared(a_table: str, b_table: str, a: str, b: str, cells: int) -> Column:
+    """Likeness of two texts, and for how many groups of keys no table sufficed."""
     first = peel_sql(subtract_sql(a_table, b_table), cells)
-    got = bind_sql(first, "q", f"CASE WHEN q.ok THEN q ELSE {retried_sql(a, b, cells)} END")
+    got = bind_sql(first, "q", f"CASE WHEN q.ok THEN named_struct('p', q.p, 'm', q.m, 'x', 0L) ELSE {retried_sql(a, b, cells)} END")
     share = f"CASE WHEN size({a}) + w.m = 0 THEN 1.0D ELSE cast(size({a}) - w.p as double) / (size({a}) + w.m) END"
-    return F.expr(bind_sql(got, "w", share))
+    return F.expr(bind_sql(got, "w", f"named_struct('likeness', {share}, 'listed', w.x)"))
 
 
 def fingerprint(table: str) -> Column:
@@ -84,15 +92,13 @@ def fingerprint(table: str) -> Column:
 
 
 def successors(docs: DataFrame, per_bucket: int = 100_000) -> DataFrame:
-    """docs(oid, n) to one row per distinct id: oid, its longest n, and next_oid in descending order, the largest after the smallest. Ids are ordered within
-    ranges of ids, and the ranges by their ends."""
+    """docs(oid, n) to one row per distinct id: oid, its longest n, and next_oid in descending order, the largest after the smallest. Ids are dealt to ranges
+    of like numbers of ids, ordered within these, and the ranges by their ends."""
     ids = docs.groupBy("oid").agg(F.max("n").alias("n"))
-    low, high, rows = docs.agg(F.min("oid"), F.max("oid"), F.count("*")).first()
+    high, rows = docs.agg(F.max("oid"), F.count("*")).first()
     if not rows:
         return ids.withColumn("next_oid", F.col("oid"))
-    real = docs.filter(F.col("oid") > LEAST).agg(F.min("oid")).first()[0] or 0
-    width = max(1.0, (float(high) - float(real) + 1) * per_bucket / rows)
-    ids = ids.withColumn("bucket", F.when(F.col("oid") == LEAST, -1).otherwise(F.floor((F.col("oid").cast("double") - float(real)) / width)).cast("long"))
+    ids = written(ids.repartitionByRange(-(-rows // per_bucket), "oid").withColumn("bucket", F.spark_partition_id()), "id-ranges")
     ends = ids.groupBy("bucket").agg(F.max("oid").alias("top"))
     below = ends.select("bucket", F.lag("top").over(Window.orderBy("bucket")).alias("below"))  # a row per bucket
     within = F.lead("oid").over(Window.partitionBy("bucket").orderBy(F.desc("oid")))
@@ -116,12 +122,15 @@ def fingerprints(docs: DataFrame, run: int = 256, cells: int = 24) -> DataFrame:
     edited = both.select("doc_id", "n", "text", F.expr(f"concat(substring(text, 1, cast(n as int) - {third}), substring(head, 1, {third}))").alias("edited"), "next_keys")
     keyed = edited.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text"), run).alias("keys"), paragraphs(F.col("edited"), run).alias("edited_keys"), "next_keys")
     tabled = keyed.select("*", *(F.expr(table_sql(k, cells)).alias(t) for k, t in (("keys", "tab"), ("edited_keys", "edited_tab"), ("next_keys", "next_tab"))))
-    return tabled.select(
+    names = ["doc_id", "n", "edited_sha256", "tab", "edited_tab"]
+    done = tabled.select(*names, compared("tab", "edited_tab", "keys", "edited_keys", cells).alias("to_edited"), compared("tab", "next_tab", "keys", "next_keys", cells).alias("to_next"))
+    return done.select(
         "doc_id",
         F.col("n").alias("n_chars"),
         "edited_sha256",
         fingerprint("tab").alias("fingerprint"),
         fingerprint("edited_tab").alias("edited_fingerprint"),
-        likeness("tab", "edited_tab", "keys", "edited_keys", cells).alias("near_edited"),
-        likeness("tab", "next_tab", "keys", "next_keys", cells).alias("near_next"),
+        F.col("to_edited.likeness").alias("near_edited"),
+        F.col("to_next.likeness").alias("near_next"),
+        (F.col("to_edited.listed") + F.col("to_next.listed")).alias("listed_groups"),
     )
