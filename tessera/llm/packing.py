@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .textvec import slices
 from .word_tokens import WordEncoder
 
 COMPARED = 64  # a filling is compared with so many fuller ones; one that is not compared is kept
+TRIPLES = 48  # how many largest lengths the first guess tries triples of; the search over every filling has no such limit
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,9 +37,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, out = batch.slice(at, 64), []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+            texts = batch.column(1).to_pylist()
+            for at, end in slices(texts, 1_000_000):
+                part, out = batch.slice(at, end - at), []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts[at:end]), strict=True):
                     ids += last
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         data = ids[a : a + 4 * capacity]
@@ -96,7 +99,7 @@ def likely(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
             found.append(two)
         if two[0] < room:
             best = max(x[0] for x in found)
-            for a in v[::-1][:48].tolist():
+            for a in v[::-1][:TRIPLES].tolist():
                 left[a] -= 1
                 w = v[v <= a] if left[a] else v[v < a]
                 three = _pair(w, left, room - a) if room > a else (0, ())

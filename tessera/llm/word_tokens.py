@@ -14,12 +14,13 @@ import numpy as np
 
 from .memo import Memo
 
-#: Letters, then marks: two matches of the pattern that any case and company leaves the same. "<" opens special tokens, "'" joins letters.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,!?;:|%&$#*]*)")
+#: Of each line letters, then marks: two matches of the pattern that any case and company leaves the same; or else anything. "<" opens special tokens,
+#: "'" joins letters.
+_PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]*)([.,!?;:|%&$#*]*)|(.+))$", re.M)
 
 
 class WordEncoder:
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,19 +48,20 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of new words into the cache."""
-        young, plain, odd = self.memo.young, [], []
-        for w in words:
-            match = _PLAIN.fullmatch(w.lower())
-            plain.append((w, *match.groups())) if match else odd.append(w)
-        for w, code in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            young[w] = np.array(code.ids, "<u4").tobytes()
+        if not words:
+            return
+        young, found = self.memo.young, _PLAIN.findall("\n".join(words).lower())
         self.parts.turn()
-        parts = {x for _, a, b in plain for x in (a, b)}
+        parts = {a for a, _, _ in found}
+        parts.update([b for _, b, _ in found])
         parts.discard("")
         self._learn_parts(self.parts.missing(parts))
-        of = self.parts.young.get
-        for w, a, b in plain:
-            young[w] = of(a, b"") + of(b, b"")
+        known = self.parts.young
+        known[""] = b""
+        young.update(zip(words, [known[a] + known[b] if b else known[a] for a, b, _ in found]))
+        odd = [w for w, (_, _, x) in zip(words, found) if x]
+        for w, code in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            young[w] = np.array(code.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
