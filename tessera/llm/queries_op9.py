@@ -16,8 +16,28 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return read_back(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    found = read_back(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 QUERIES = {"op9_chat_formatting": op9_chat_formatting}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_chat_formatting": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        ), marks AS (
+            SELECT *, role || text AS said, length(role) + length(text) + 14 AS plain FROM c
+        ), sized AS (
+            SELECT *, plain + length(said) - length(replace(said, '\', '')) + length(role) - length(replace(role, ':', ''))
+                + (length(said) - length(replace(said, '</turn>', ''))) // 7
+                + list_sum([length(x) - 2 FOR x IN regexp_extract_all(text, '#{3,}') || regexp_extract_all(role, '#{3,}') || ['##']]) AS chars
+            FROM marks
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """
+}
