@@ -121,12 +121,12 @@ SELECT repo, rel, lineno, content, pattern, c > 80 AS truncated FROM (SELECT *,
 
 def _prose(t):
     text = "concat('# TODO list\n', CASE WHEN conv_id % 3 = 0 THEN '```\nTODO in code\n~~~\nTBD\n```\n' WHEN conv_id % 3 = 1 THEN '~~~\nTODO\n```\n' ELSE '' END, 'a todo, here\n', coalesce(replace(text, '\n', ' '), ''), '\nlast TBD')"
-    return t.conversations.filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.expr(text).alias("content"))
+    return t.conversations.select(F.expr("conv_id * 1000 + turn").cast("long").alias("doc_id"), F.expr(text).alias("content"))
 
 
 register("fl14_placeholder_violations", lambda t: C.placeholder_violations(_prose(t)), "", """
-SELECT conv_id AS doc_id, CAST(CASE WHEN conv_id % 3 = 0 THEN 7 ELSE 2 END AS BIGINT) AS lineno, 'a todo, here' AS line FROM conversations WHERE turn = 0 AND conv_id % 3 <> 1
-UNION ALL SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 9 ELSE 4 END, 'last TBD' FROM conversations WHERE turn = 0 AND conv_id % 3 <> 1""")
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS doc_id, CAST(CASE WHEN conv_id % 3 = 0 THEN 7 ELSE 2 END AS BIGINT) AS lineno, 'a todo, here' AS line FROM conversations WHERE conv_id % 3 <> 1
+UNION ALL SELECT CAST(conv_id * 1000 + turn AS BIGINT), CASE WHEN conv_id % 3 = 0 THEN 9 ELSE 4 END, 'last TBD' FROM conversations WHERE conv_id % 3 <> 1""")
 ANCHORS = ["the", "that", "que", "und"]
 register("fl15_missing_anchors", lambda t: C.missing_anchors(t.documents.select("doc_id", F.col("text").alias("content")), ANCHORS), "", f"SELECT doc_id, anchor FROM documents, (VALUES {', '.join(f'({q(a)})' for a in ANCHORS)}) a(anchor) WHERE NOT contains(text, anchor)")
 

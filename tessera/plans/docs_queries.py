@@ -33,17 +33,17 @@ NOTE = "concat('---\ntitle: x\n---\n# Note ', conv_id, '\nStatus: Accepted\n## C
 
 
 def notes(t):
-    return t.conversations.filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lit("docs/n.md").alias("rel"), F.expr(NOTE).alias("content"))
+    return t.conversations.select(F.expr("conv_id * 1000 + turn").cast("long").alias("doc_id"), F.lit("docs/n.md").alias("rel"), F.expr(NOTE).alias("content"))
 
 
 register("dc3_headings", lambda t: D.headings(notes(t)), "", """
-SELECT conv_id AS doc_id, CAST(u.lineno AS BIGINT) AS lineno, CAST(u.level AS INTEGER) AS level, CASE u.lineno WHEN 1 THEN 'Note ' || CAST(conv_id AS VARCHAR) WHEN 3 THEN 'Context' ELSE 'Alternatives' END AS title FROM conversations, (VALUES (1, 1), (3, 2), (5, 3)) u(lineno, level) WHERE turn = 0""")
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS doc_id, CAST(u.lineno AS BIGINT) AS lineno, CAST(u.level AS INTEGER) AS level, CASE u.lineno WHEN 1 THEN 'Note ' || CAST(conv_id AS VARCHAR) WHEN 3 THEN 'Context' ELSE 'Alternatives' END AS title FROM conversations, (VALUES (1, 1), (3, 2), (5, 3)) u(lineno, level)""")
 register("dc4_sections", lambda t: D.sections(t.doc_lines), "doc_lines", r"""
 , c AS (SELECT doc_id, lineno, lead(content) OVER (PARTITION BY doc_id ORDER BY lineno) AS body, content FROM doc_lines)
 SELECT doc_id, substr(content, 4) AS heading, 2 AS level, substr(s, 1, 200) AS summary FROM (SELECT *, trim(regexp_replace(body, '\s+', ' ', 'g')) AS s FROM c WHERE lineno % 2 = 1) WHERE s <> ''""")
 register("dc5_adr_fields", lambda t: D.adr_fields(notes(t)), "", r"""
-SELECT conv_id AS doc_id, 'status' AS field, 'Accepted' AS value FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 'alternative', 'none ##nospace' FROM conversations WHERE turn = 0
-UNION ALL SELECT conv_id, 'context', substr(trim(regexp_replace(role || ' ' || coalesce(text, ''), '\s+', ' ', 'g')), 1, 300) FROM conversations WHERE turn = 0""")
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS doc_id, 'status' AS field, 'Accepted' AS value FROM conversations UNION ALL SELECT CAST(conv_id * 1000 + turn AS BIGINT), 'alternative', 'none ##nospace' FROM conversations
+UNION ALL SELECT CAST(conv_id * 1000 + turn AS BIGINT), 'context', substr(trim(regexp_replace(role || ' ' || coalesce(text, ''), '\s+', ' ', 'g')), 1, 300) FROM conversations""")
 
 
 def terms(t):
@@ -52,9 +52,9 @@ def terms(t):
 
 TERMS = "n AS (SELECT term, max(item_id) AS id FROM (SELECT item_id, lower(list_extract(regexp_split_to_array(text, '[^a-zA-Z]+'), 3)) AS term FROM benchmark) WHERE length(term) >= 4 GROUP BY term)"
 register("jn16_doc_node_links", lambda t: D.doc_node_links(t.documents.select("doc_id", F.col("text").alias("content")), terms(t)), "", rf", {TERMS}, w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS term FROM documents) SELECT DISTINCT doc_id, id FROM w JOIN n USING (term)")
-register("dc6_enrich_docs", lambda t: D.enrich_docs(notes(t), terms(t)), "", rf""", {TERMS}, w AS (SELECT DISTINCT conv_id AS doc_id, unnest(regexp_split_to_array(lower('title note status accepted context ' || role || ' ' || coalesce(text, '') || ' alternatives none nospace'), '[^\p{{L}}\p{{N}}_]+')) AS term FROM conversations WHERE turn = 0),
+register("dc6_enrich_docs", lambda t: D.enrich_docs(notes(t), terms(t)), "", rf""", {TERMS}, w AS (SELECT DISTINCT CAST(conv_id * 1000 + turn AS BIGINT) AS doc_id, unnest(regexp_split_to_array(lower('title note status accepted context ' || role || ' ' || coalesce(text, '') || ' alternatives none nospace'), '[^\p{{L}}\p{{N}}_]+')) AS term FROM conversations),
 l AS (SELECT doc_id, count(DISTINCT id) AS links FROM w JOIN n USING (term) GROUP BY 1)
-SELECT conv_id AS doc_id, CASE WHEN regexp_matches(lower(substr('---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# Note ' || CAST(conv_id AS VARCHAR) || chr(10), 1, 2000)), 'never') THEN '' ELSE 'adr' END AS doc_type, 'Note ' || CAST(conv_id AS VARCHAR) || ' > Context > Alternatives' AS outline, 'Accepted' AS status, coalesce(links, 0) AS links FROM conversations LEFT JOIN l ON conv_id = l.doc_id WHERE turn = 0""")
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS doc_id, CASE WHEN regexp_matches(lower(substr('---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# Note ' || CAST(conv_id AS VARCHAR) || chr(10), 1, 2000)), 'never') THEN '' ELSE 'adr' END AS doc_type, 'Note ' || CAST(conv_id AS VARCHAR) || ' > Context > Alternatives' AS outline, 'Accepted' AS status, coalesce(links, 0) AS links FROM conversations LEFT JOIN l ON conv_id * 1000 + turn = l.doc_id""")
 register("dc7_doc_manifest", lambda t: D.doc_manifest(t.documents.select(F.col("source").alias("group"), F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('report-', doc_id, '.md') ELSE concat('log-', doc_id) END").alias("rel"), F.col("doc_id").alias("version"), F.col("text").alias("content"))), "", """
 SELECT source AS "group", CASE WHEN doc_id % 3 = 0 THEN 'report-' || CAST(doc_id AS VARCHAR) || '.md' ELSE 'log-' || CAST(doc_id AS VARCHAR) END AS rel, sha256(text) AS sha256 FROM (SELECT *, max(CASE WHEN doc_id % 3 = 0 THEN doc_id END) OVER (PARTITION BY source) AS v FROM documents) WHERE doc_id % 3 <> 0 OR doc_id = v""")
 register("st5_incremental_docs", lambda t: D.incremental_docs(t.snapshot_old.withColumn("version", F.lit(1)), t.snapshot_new.withColumn("version", F.expr("CASE WHEN rel LIKE '%7' THEN 2 ELSE 1 END"))), "snapshot_old snapshot_new", """

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a new local folder only where that is unset and all runs
+    in one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
