@@ -166,14 +166,20 @@ MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def with_originals(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int = 200_000, salts: int = 64) -> DataFrame:
     """pages(page_id, url, html) with payload digest and, for a repeat of a payload of at least min_bytes bytes, the page that holds it: of the equal
     ones that with the largest page_id."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("_largest"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    repeats = rows.groupBy("sha1").agg(F.max("page_id").alias("_largest"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    repeats = written(repeats, "repeated-payloads")
+    if repeats.count() <= broadcast_rows:
+        found = rows.join(F.broadcast(repeats), "sha1", "left")
+    else:  # the pages of one payload are dealt to many tasks
+        spread = repeats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["sha1", "_salt"], "left")
     repeat = (F.octet_length("payload") >= min_bytes) & (F.col("page_id") < F.col("_largest"))
-    return rows.join(first, "sha1", "left").select("page_id", "url", "payload", F.when(repeat, F.col("_largest")).alias("original"))
+    return found.select("page_id", "url", "payload", F.when(repeat, F.col("_largest")).alias("original"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, max_bytes: int = 32 << 20, zip64: bool = True, level: int = 3) -> DataFrame:
@@ -227,15 +233,21 @@ def record_ranges(manifest: DataFrame, per_range: int = 2000) -> DataFrame:
     return manifest.select("path").mapInArrow(work, "path string, places array<long>, lengths array<long>")
 
 
-def read_records(ranges: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record, read by its range. The payload of a response is checked against its digest."""
+def read_records(ranges: DataFrame, with_payload: bool = True, max_bytes: int = 32 << 20) -> DataFrame:
+    """One row per record, read by its range; about max_bytes of payloads are held at once. The payload of a response is checked against its digest."""
     schema = RECORDS if with_payload else RECORDS.rsplit(", ", 1)[0]
+    names = [x.split() for x in schema.split(", ")]
+
+    def rows_of(cols: list[list]) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], names=[n for n, _ in names])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 fs, name = pafs.FileSystem.from_uri(row["path"])
                 out: list[list] = [[] for _ in schema.split(", ")]
+                held = 0
                 with fs.open_input_file(name) as f:
                     for place, length in zip(row["places"], row["lengths"], strict=True):
                         fields, block = parse_record(gzip.decompress(_read(f, place, length)))
@@ -249,9 +261,12 @@ def read_records(ranges: DataFrame, with_payload: bool = True) -> DataFrame:
                         values = (int(page) if page else None, fields["warc-target-uri"], kind, size, digest, int(refers) if refers else None, payload)
                         for col, value in zip(out, values):
                             col.append(value)
-                kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-                names = [x.split() for x in schema.split(", ")]
-                yield pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(out, names, strict=True)], names=[n for n, _ in names])
+                        held += len(payload) if with_payload else 0
+                        if held >= max_bytes:
+                            yield rows_of(out)
+                            out, held = [[] for _ in out], 0
+                if out[0]:
+                    yield rows_of(out)
 
     return ranges.mapInArrow(work, schema)
 

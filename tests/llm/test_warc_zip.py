@@ -6,7 +6,7 @@ import pytest
 
 from tessera.llm.common import fresh_path
 from tessera.llm.queries_op4 import op4_warc
-from tessera.llm.warc_zip import base32_sha1, central_directory, data_start, package, parse_record, read_records, record, record_ranges, write_archives
+from tessera.llm.warc_zip import base32_sha1, central_directory, data_start, package, parse_record, read_records, record, record_ranges, with_originals, write_archives
 
 
 def test_digest_of_nothing():
@@ -84,3 +84,16 @@ def test_small_payloads_are_all_responses(spark):
 def test_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()]
     assert sorted((tuple(r) for r in op4_warc(spark, sf_dir).collect()), key=str) == expected(rows)
+
+
+def test_originals_by_salted_join(spark):
+    rows = [(i, f"u{i}", "same" if i % 3 == 0 else None if i % 3 == 1 else f"own {i}") for i in range(60)] + [(None, None, "same"), (5, "u5", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain, spread = (sorted(map(str, with_originals(pages, 0, **how).collect())) for how in ({}, {"broadcast_rows": 0, "salts": 4}))
+    assert plain == spread and len(plain) == len(rows)
+
+
+def test_payloads_are_read_in_bounded_batches(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (100 + i)) for i in range(40)], "page_id long, url string, html string")
+    ranges = record_ranges(write_archives(pages, f"file://{tmp_path}/w"))
+    assert sorted(r.page_id for r in read_records(ranges, max_bytes=300).collect()) == list(range(40))
