@@ -8,16 +8,18 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset and all runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where if "://" in where or where.startswith("file:") else f"file://{os.path.abspath(where)}"
@@ -47,9 +49,13 @@ def bounded(rows: DataFrame, sample: int, key: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < part)
 
 
-def fitted(rows: DataFrame, sample: int, fit):
-    """The model that fit(texts, labels) gives for at most ``sample`` of rows(key, text, label). It is fitted in a task; only the model comes back."""
-    few = bounded(rows, sample, "key").orderBy(F.xxhash64("key"), "text", "label").limit(sample).select("text", "label")
+def fitted(rows: DataFrame, sample: int, fit, chars: int = 200_000_000):
+    """The model that fit(texts, labels) gives for at most ``sample`` of rows(key, text, label), and of these for the first whose texts together pass
+    ``chars`` characters. It is fitted in a task; only the model comes back."""
+    order = F.xxhash64("key"), "text", "label"
+    few = bounded(rows, sample, "key").orderBy(*order).limit(sample)
+    before = F.sum(F.length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # at most `sample` rows
+    few = few.withColumn("_before", before).filter(F.coalesce("_before", F.lit(0)) < chars).select("text", "label")
 
     def work(batches):
         texts, labels = [], []
