@@ -37,19 +37,23 @@ def with_substrings(rows: DataFrame, text: str, wanted: DataFrame, name: str, st
     return rows.crossJoin(F.broadcast(lengths)).withColumn(name, F.explode(substrings(F.col(text), F.col("_lengths"), start))).drop("_lengths", text)
 
 
-def template_key(template: Column) -> Column:
-    """First literal segment, ``*`` where the first is a wildcard."""
-    first = F.get(segments(template), 0)
-    return F.when(first.startswith("{"), "*").otherwise(first)
+def with_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """rows(alias) joined to the templates(template) they match segment by segment. Both sides meet on the whole path with wildcards marked: a row takes a
+    key for each set of wildcard places that templates of its number of segments have, which are few."""
+    mark = F.lit("\0")
+    wild = F.transform(segments(F.col("template")), lambda x: x.startswith("{") & x.endswith("}"))
+    keyed = lambda seg: F.array_join(F.zip_with(seg, F.col("_wild"), lambda x, w: F.when(w, mark).otherwise(x)), "/")
+    known = templates.withColumn("_wild", wild).withColumn("_key", keyed(segments(F.col("template")))).filter(F.size("_wild") > 0)
+    places = known.select("_wild", F.size("_wild").alias("_n")).distinct()
+    tried = rows.withColumn("_n", F.size(segments(F.col("alias")))).join(places, "_n").withColumn("_key", keyed(segments(F.col("alias"))))
+    return tried.join(known, ["_wild", "_key"]).drop("_wild", "_key", "_n")
 
 
 def route_matches(wanted: DataFrame, routes: DataFrame) -> DataFrame:
     """wanted(caller, url, method) and enriched routes to every match, with the best way it matched (0 substring, 1 template, 2 mounted).
 
-    No pair is formed without a shared key: records meet URLs on their substrings that start at a slash and are as long as some URL, so what joins is a
-    match; templates meet URLs on segment count and first literal segment."""
-    alias = wanted.withColumn("alias", F.explode(url_aliases(F.col("url")))).withColumn("seg", segments(F.col("alias")))
-    n = F.size("seg")
+    What joins is a match: records meet URLs on their substrings that start at a slash and are as long as some URL, templates on whole paths."""
+    alias = wanted.withColumn("alias", F.explode(url_aliases(F.col("url"))))
     fits = F.col("method").isNull() | F.col("r_method").isNull() | (F.col("method") == F.col("r_method"))
     records = with_substrings(routes.select("route_idx", "raw", F.col("method").alias("r_method")), "raw", alias, "alias")
     by_text = alias.join(records, "alias").filter(fits).select("caller", "url", "method", "route_idx", F.lit(0).alias("how"))
@@ -58,9 +62,8 @@ def route_matches(wanted: DataFrame, routes: DataFrame) -> DataFrame:
     merged = routes.filter(~F.col("mount_only")).select("route_idx", "repo", "method", F.explode("templates").alias("t")).join(mount_prefixes(routes), "repo")
     mounted = merged.select("route_idx", "method", join_route(F.col("prefix"), F.col("t")).alias("template"), F.lit(2).alias("how"))
     templates = plain.unionByName(mounted.filter(is_api_path(F.col("template"))))
-    templates = templates.select("route_idx", F.col("method").alias("r_method"), "template", "how", F.size(segments(F.col("template"))).alias("n"), template_key(F.col("template")).alias("key")).filter("n > 0")
-    tried = alias.withColumn("n", n).withColumn("key", F.explode(F.array(F.get("seg", 0), F.lit("*"))))
-    by_template = tried.join(templates, ["n", "key"]).filter(fits & template_matches(F.col("alias"), F.col("template"))).select("caller", "url", "method", "route_idx", "how")
+    templates = templates.select("route_idx", F.col("method").alias("r_method"), "template", "how")
+    by_template = with_templates(alias, templates).filter(fits).select("caller", "url", "method", "route_idx", "how")
     return by_text.unionByName(by_template).groupBy("caller", "url", "method", "route_idx").agg(F.min("how").alias("how"))
 
 
@@ -68,8 +71,8 @@ def match_calls_to_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """calls (with URLs) to the first route in order that another repository declares, else the first of the caller's own, with its provenance.
 
     Calls are first reduced to distinct (repository, URL, verb), and joined back at the end."""
-    known = enrich_routes(routes)
-    wanted = calls.select(F.col("repo").alias("caller"), "url", "method").distinct()
+    known = enrich_routes(routes).checkpoint()
+    wanted = calls.select(F.col("repo").alias("caller"), "url", "method").distinct().checkpoint()  # read several times, and far smaller than the calls
     hits = route_matches(wanted, known)
     about = known.select("route_idx", F.col("repo").alias("be_repo"), F.col("rel").alias("be_rel"), F.col("lineno").alias("be_lineno"), "source")
     hits = hits.join(about, "route_idx")
@@ -95,8 +98,8 @@ def pick_backend(urls: DataFrame, routes: DataFrame) -> DataFrame:
 
     What a URL shares with a backend comes from joins on substrings and segments. A backend that shares nothing scores by ``/api`` and size alone, so only
     the best of those can win: it is one row for URLs under ``/api``, one for others."""
-    known = enrich_routes(routes)
-    wanted = urls.select("url").distinct().withColumn("head", F.concat(F.lit("/"), F.get(segments(F.col("url")), 0)))
+    known = enrich_routes(routes).checkpoint()
+    wanted = urls.select("url").distinct().withColumn("head", F.concat(F.lit("/"), F.get(segments(F.col("url")), 0))).checkpoint()
     templates = known.select("repo", F.explode("templates").alias("template")).distinct()
     size = F.floor(F.least(F.col("n"), F.lit(50)) / 10).cast("long")
     per = known.groupBy("repo").agg(F.count("*").alias("n"), F.max(F.contains("raw", F.lit("/api"))).alias("api")).withColumn("size", size)
@@ -106,9 +109,7 @@ def pick_backend(urls: DataFrame, routes: DataFrame) -> DataFrame:
     alias = wanted.select("url", F.explode(url_aliases(F.col("url"))).alias("alias"))
     held = with_substrings(templates, "template", alias, "alias").distinct()
     by_text = alias.join(held, "alias").select("url", "repo")
-    keyed = templates.select("repo", "template", F.size(segments(F.col("template"))).alias("n"), template_key(F.col("template")).alias("key"))
-    tried = alias.withColumn("seg", segments(F.col("alias"))).withColumn("n", F.size("seg")).withColumn("key", F.explode(F.array(F.get("seg", 0), F.lit("*"))))
-    by_template = tried.join(keyed, ["n", "key"]).filter(template_matches(F.col("alias"), F.col("template"))).select("url", "repo")
+    by_template = with_templates(alias, templates).select("url", "repo")
     fits = by_text.unionByName(by_template).distinct().withColumn("points", F.lit(5))
 
     shared = by_head.unionByName(fits).groupBy("url", "repo").agg(F.sum("points").alias("points")).join(per, "repo")

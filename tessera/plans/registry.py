@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fixtures import Inputs, duck_sql
+from .shared import checkpoint_dir
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -16,7 +17,12 @@ MODULES = ("corpus_queries", "facts_queries", "crossrepo_queries", "qa_queries",
 
 def register(name: str, query: Callable[[Inputs], DataFrame], fixtures: str = "", sql: str = "") -> None:
     """A query over the inputs, and SQL for DuckDB behind the CTEs of the named fixtures. sql starts with SELECT or with a comma and further CTEs."""
-    _QUERIES[name] = lambda spark, sf_dir: query(Inputs(spark, sf_dir))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        checkpoint_dir(spark)
+        return query(Inputs(spark, sf_dir))
+
+    _QUERIES[name] = run
     if sql:
         ctes = duck_sql(tuple(fixtures.split()))
         body = sql.strip()
