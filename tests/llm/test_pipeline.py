@@ -25,7 +25,7 @@ def test_stages(spark):
     known = corpus_pipeline.language_stage(spark, docs, SF)
     assert known.columns == docs.columns
     left = {r.doc_id for r in known.collect()}
-    assert all((i in left) or not regex.search(r"\p{L}{2}", t or "") or len(t) < 60 for i, t in texts.items())
+    assert all((i in left) or not regex.search(r"\p{L}", t or "") for i, t in texts.items())  # short clean texts stay too
     low = {r.doc_id for r in identify_language(docs, language_model(docs)).collect() if r.lang_pred == "und" or r.score < 0.5}
     assert left == texts.keys() - low
     clean = corpus_pipeline.toxicity_stage(spark, known, SF)
