@@ -14,8 +14,9 @@ one sequence for the encoder, so it is held by one task; its size is that of one
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, loss_role: str = "assi
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_file(tokenizer)
@@ -96,8 +98,8 @@ def format_conversations(rows: DataFrame, tokenizer: str, loss_role: str = "assi
                 part = batch.slice(at, 64)
                 made = [render([(t["role"], t["text"]) for t in turns], loss_role) for turns in part.column(1).to_pylist()]
                 cols: list[list] = [[] for _ in range(7)]
-                for text, spans in made:
-                    code = encoder.encode(text, add_special_tokens=False)
+                codes = encoder.encode_batch([text for text, _ in made], add_special_tokens=False)
+                for (text, spans), code in zip(made, codes, strict=True):
                     offsets = np.array(code.offsets, np.int32).reshape(-1, 2)
                     for col, value in zip(cols, (text, code.ids, offsets[:, 0], offsets[:, 1], *intersect(spans, offsets[:, 0], offsets[:, 1])), strict=True):
                         col.append(value)
@@ -110,19 +112,33 @@ def format_conversations(rows: DataFrame, tokenizer: str, loss_role: str = "assi
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
 
 
+def _rows(lists: pa.ListArray) -> Callable[[int], np.ndarray]:
+    """The numbers of a row of a list column."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return lambda k: values[ends[k] : ends[k + 1]]
+
+
+def joined(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Parts that follow each other without a gap as one."""
+    if not len(starts):
+        return []
+    gap = np.flatnonzero(starts[1:] != ends[:-1])
+    return list(zip(starts[np.append(0, gap + 1)].tolist(), ends[np.append(gap, len(ends) - 1)].tolist(), strict=True))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of the turns and of the text under the loss mask, read from the output of format_conversations alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text = row["formatted"]
+            texts, out = batch.column(1).to_pylist(), []
+            ids, tokens, starts, ends = (_rows(batch.column(k)) for k in (2, 5, 6, 7))
+            for k, (conv, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
                 turns = parse(text)
-                loss = unescape("".join(text[a:b] for a, b in zip(row["loss_start"], row["loss_end"], strict=True)))
+                loss = unescape("".join(text[a:b] for a, b in joined(starts(k), ends(k))))
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-                out.append((row["conv_id"], len(turns), sha(said), len(loss), sha(loss), len(text), len(row["token_ids"]), len(set(row["loss_token"]))))
+                out.append((conv, len(turns), sha(said), len(loss), sha(loss), len(text), len(ids(k)), len(np.unique(tokens(k)))))
             names = [x.split() for x in READ.split(", ")]
             kinds = {"long": pa.int64(), "string": pa.string()}
             yield pa.record_batch([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(names)], names=[n for n, _ in names])
