@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import docs as D
 from .registry import register
+from .shared import fresh_path
 
 REL = "CASE doc_id % 9 WHEN 0 THEN 'README.md' WHEN 1 THEN 'docs/adr/0001-x.md' WHEN 2 THEN 'docs/guide' || CAST(doc_id AS STRING) || '.md' WHEN 3 THEN 'guides/g.md' WHEN 4 THEN 'rfc/r' || CAST(doc_id AS STRING) || '.md' WHEN 5 THEN 'api/openapi.json' WHEN 6 THEN 'CHANGELOG.md' WHEN 7 THEN 'src/x' || CAST(doc_id AS STRING) || '.txt' ELSE 'secret/s' || CAST(doc_id AS STRING) || '.md' END"
 PATHS = f"SELECT doc_id, source AS repo, {REL} AS rel, n_chars AS bytes, text AS content FROM documents"
@@ -70,11 +71,22 @@ VAULT = "v AS (SELECT p_partkey AS k, CASE p_partkey % 2 WHEN 0 THEN 'dir/' ELSE
 register("jn10_wikilink_orphans", lambda t: D.wikilink_orphans(vault(t)), "", f""", {VAULT}, l AS (SELECT p || '.md' AS path, unnest(['n' || CAST(k + 1 AS VARCHAR), 'dir/n' || CAST(k * 2 AS VARCHAR)]) AS target FROM v)
 SELECT DISTINCT path, target FROM l WHERE target NOT IN (SELECT p FROM v) AND target NOT IN (SELECT split_part(p, '/', 2) FROM v)""")
 register("jn11_ambiguous_names", lambda t: D.ambiguous_names(vault(t)), "", f", {VAULT} SELECT split_part(p, '/', 2) AS stem, string_agg(DISTINCT p || '.md', ',' ORDER BY p || '.md') AS paths FROM v GROUP BY 1 HAVING count(DISTINCT p) > 1")
-register("tk1_search", lambda t: D.search(t.documents.select("doc_id", "text"), "de la").select("doc_id", "score"), "", r"""
+SEARCH = r"""
 , w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM w), p AS (SELECT doc_id, len(t) AS l, q.term, len(list_filter(t, lambda x: x = q.term)) AS tf FROM w, (VALUES ('de'), ('la')) q(term)),
 h AS (SELECT * FROM p WHERE tf > 0), d AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 s AS (SELECT doc_id, sum(greatest(ln((n.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / n.a))) AS score, count(*) AS c FROM h JOIN d USING (term), n GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS score FROM s WHERE c = 2 ORDER BY round(score, 9) DESC, doc_id LIMIT 20""")
+SELECT doc_id, round(score, 6) AS score FROM s WHERE c = 2 ORDER BY round(score, 9) DESC, doc_id LIMIT 20"""
+register("tk1_search", lambda t: D.search(t.documents.select("doc_id", "text"), "de la").select("doc_id", "score"), "", SEARCH)
+
+
+def _indexed(t):
+    """The same search over an index that is written first."""
+    docs, path = t.documents.select("doc_id", "text"), fresh_path(t.spark, "index")
+    D.write_index(docs, path, 16)
+    return D.search_index(path, docs, "de la").select("doc_id", "score")
+
+
+register("tk1_search_index", _indexed, "", SEARCH)
 register("tk1_postings", lambda t: D.build_index(t.documents.select("doc_id", "text"))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "", r"""
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY term""")

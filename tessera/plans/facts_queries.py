@@ -131,3 +131,5 @@ sums AS (SELECT content, xor(list_reduce(list_prepend(0::BIGINT, bytes), lambda
 SELECT repo, rel, lineno, cksum FROM code JOIN sums USING (content)""")
 register("fn_fold_path", lambda t: t.code.select("lineno", P.fold_path(F.concat("repo", F.lit("/./a/../"), "rel", F.lit("/../x"))).alias("folded"), P.safe_relpath(F.expr("CASE WHEN lineno % 3 = 0 THEN concat('../', rel) WHEN lineno % 3 = 1 THEN concat('/', rel) ELSE rel END")).alias("safe"), P.insight_slug(F.col("content")).alias("slug"), P.normalize_header(F.col("content")).alias("header")), "code", """
 SELECT lineno, repo || '/' || regexp_extract(rel, '^(.*)/[^/]*$', 1) || '/x' AS folded, lineno % 3 = 2 AS safe, substr(regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS header FROM code""")
+register("fn_safe_task_id", lambda t: t.documents.select("doc_id", P.safe_task_id(F.expr("concat(CASE doc_id % 5 WHEN 0 THEN 'task-' WHEN 1 THEN '../' WHEN 2 THEN ' T.' WHEN 3 THEN 'a/' ELSE '-x' END, doc_id, CASE WHEN doc_id % 7 = 0 THEN '..' ELSE ' ' END)")).alias("task_id")), "", """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'task-' || CAST(doc_id AS VARCHAR) WHEN doc_id % 5 = 2 THEN 'T.' || CAST(doc_id AS VARCHAR) END AS task_id FROM documents""")
