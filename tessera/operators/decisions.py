@@ -31,10 +31,21 @@ def tag_filter(decisions: DataFrame, every: list[str] = (), some: list[str] = ()
     return decisions.filter(ok if archived else ok & (F.lower("status") != "archived"))
 
 
-def dedup_results(decisions: DataFrame, lines: int = 10) -> DataFrame:
-    """decisions(id, content): of equal first lines the smallest id is primary, the others are listed with it."""
+def _by_head(decisions: DataFrame, lines: int) -> DataFrame:
     head = F.sha2(F.array_join(F.slice(F.split("content", "\n"), 1, lines), "\n"), 256)
-    keyed = decisions.select("id", head.alias("hash"))
+    return decisions.select("id", head.alias("hash"))
+
+
+def primary_results(decisions: DataFrame, lines: int = 10) -> DataFrame:
+    """decisions(id, content) to (id, primary_id): of equal first lines the smallest id is primary. One row per decision, however many are equal."""
+    keyed = _by_head(decisions, lines)
+    return keyed.join(keyed.groupBy("hash").agg(F.min("id").alias("primary_id")), "hash").select("id", "primary_id")
+
+
+def dedup_results(decisions: DataFrame, lines: int = 10) -> DataFrame:
+    """decisions(id, content): of equal first lines the smallest id is primary, the others are listed with it, in one row; see primary_results for groups
+    too large for that."""
+    keyed = _by_head(decisions, lines)
     others = keyed.groupBy("hash").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"))
     return others.select("id", F.array_join(F.transform(F.slice("ids", 2, 1 << 30), lambda x: x.cast("string")), ",").alias("also_in"))
 

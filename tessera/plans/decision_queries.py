@@ -29,6 +29,7 @@ def tagged(t):
 
 register("tk4_tag_filter", lambda t: K.tag_filter(tagged(t), every=["q1"], some=["1-URGENT", "2-HIGH"], none=["P2"]).select("id"), "decisions", "SELECT id FROM decisions WHERE quarter(created) = 1 AND tag IN ('1-URGENT', '2-HIGH') AND product <> 'P2'")
 register("tk5_dedup_results", lambda t: K.dedup_results(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))), "", "SELECT min(doc_id) AS id, coalesce(array_to_string(list_sort(list(doc_id))[2:], ','), '') AS also_in FROM documents GROUP BY array_to_string(string_split(text, chr(10))[1:10], chr(10))")
+register("tk5_primary_results", lambda t: K.primary_results(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))), "", "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY array_to_string(string_split(text, chr(10))[1:10], chr(10))) AS primary_id FROM documents")
 register("ag12_tag_index", lambda t: K.tag_index(tagged(t)), "decisions", """
 , x AS (SELECT id, product, 'D' || CAST(id % 3 AS VARCHAR) AS domain, unnest([tag, 'q' || CAST(quarter(created) AS VARCHAR), product]) AS tag FROM decisions)
 SELECT tag, count(DISTINCT id) AS n, string_agg(DISTINCT product, ',' ORDER BY product) AS products, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM x GROUP BY tag""")
