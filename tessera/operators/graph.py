@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 
 def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
-    """start(keys, node) and edges(keys, src, dst) to (keys, node, depth): all that start reaches, or reaches within max_depth, each at its least depth.
-    Edges are worked out once; a round writes only what it adds."""
-    edges = edges.select(*keys, "src", "dst").checkpoint()
+    """start(keys, node) and edges(src, dst) to (keys, node, depth): all that start reaches, or reaches within max_depth, each at its least depth. Where
+    edges have columns of keys too, they hold for equal ones only. Edges are worked out once; a round writes only what it adds."""
+    on = [*(k for k in keys if k in edges.columns), "src"]
+    edges = edges.select(*on, "dst").checkpoint()
     frontier = seen = start.select(*keys, "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for depth in count(1):
         if max_depth is not None and depth > max_depth:
             break
-        step = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+        step = frontier.select(*keys, F.col("node").alias("src")).join(edges, on).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break
@@ -80,26 +81,11 @@ def evolution_chain(links: DataFrame) -> DataFrame:
     """links(src, dst, type): each decision that nothing of type ``replaces`` replaced into, followed to its current heirs: (id, current, hops)."""
     edges = links.filter("type = 'replaces'").select("src", "dst").distinct()
     roots = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    found = reach(roots.select("id", F.col("id").alias("node")), _each(edges, roots), ["id"])
+    found = reach(roots.select("id", F.col("id").alias("node")), edges, ["id"])
     last = found.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     return last.select("id", F.col("node").alias("current"), F.col("depth").cast("long").alias("hops"))
 
 
-def _each(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The edges with the root each belongs to, so that many chains are followed in one loop: only those that lie on a chain."""
-    labelled = roots.select("id", F.col("id").alias("src")).join(edges, "src").select("id", "src", "dst").checkpoint()
-    edges = edges.checkpoint()
-    out = frontier = labelled
-    for hop in count(1):
-        frontier = frontier.select("id", F.col("dst").alias("src")).distinct().join(edges, "src").select("id", "src", "dst").join(out, ["id", "src", "dst"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        out = out.unionByName(frontier)
-        if hop % 20 == 0:
-            out = out.checkpoint()
-    return out
-
-
 def link_integrity(links: DataFrame, decisions: DataFrame) -> DataFrame:
     """Links to unknown decisions, conflicts between two active ones, and decisions on a cycle of ``replaces``."""
     known = decisions.select(F.col("id").alias("dst"))
