@@ -255,7 +255,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str
     return first.unionByName(read_exact(later.filter(reach), q, v)), left
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, bits: int = 5, block: int = 16_384, query_block: int = 1024) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, bits: int = 6, block: int = 16_384, query_block: int = 1024) -> DataFrame:
     """The k vectors of highest integer inner product for each query: query_id, rank, vec_id, score."""
     found, _ = search(queries, vectors, k, key, vector, scale, bits, block, query_block)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
