@@ -31,9 +31,11 @@ class WordEncoder:
         first, *rest = before.get("pretokenizers") or [before]
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and not re.search(r"(?<!\^)\\s", first["pattern"].get("Regex", " "))
         self.memo, self.parts = Memo(room), Memo(room)
-        if self.by_word:  # for runs of letters or marks that are normalised and split already
-            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
-            self.plain = Tokenizer.from_str(json.dumps(spec))
+        if self.by_word:  # for runs of letters or marks that are normalised and split already: the same model behind other steps
+            steps = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}
+            bare = spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": steps, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer
 
     def _learn_parts(self, parts: list[str]) -> None:
         """Put the ids of new lower-case letter runs and mark runs into their cache."""
