@@ -5,7 +5,7 @@ import pytest
 
 from tessera.llm import registry
 
-TABLES = ("documents", "embeddings", "pages", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "conversations")
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
