@@ -62,7 +62,7 @@ def test_blocks_of_the_test_set_change_nothing(spark, index):
 
 def test_matches_are_all_places(spark, index):
     found = sorted((r.doc_id or 0, r["item_id"], r.start, r.length) for r in matches(index, spark.createDataFrame(ASKED, ITEMS), 4).filter("item_id = '104' OR doc_id = 7").collect())
-    assert found == [(7, "100", 30000, 4), (7, "100", 30001, 4), (7, "101", 30001, 4), *[(9, "104", i, 4) for i in range(3)]]
+    assert found == [(7, "100", 30000, 4), (7, "100", 30001, 4), (7, "101", 30001, 4), (7, "102", 30000, 2), *[(9, "104", i, 4) for i in range(3)]]
 
 
 @pytest.mark.parametrize("slop", [0, 1, 3])
