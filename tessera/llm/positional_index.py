@@ -30,7 +30,7 @@ from .common import written
 from .wordcodes import byte_class, row_slices, words_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-SHARD_BYTES, GAP = 8_000_000, 1024
+SHARD_BYTES, GAP, FEW_TERMS = 8_000_000, 1024, 500_000
 INDEX = "shard long, term string, n long, places binary, docs array<long>"
 
 
@@ -76,7 +76,8 @@ def windows_of(items: DataFrame, width: int, key: str = "item_id", text: str = "
 def _plan(index: DataFrame, windows: DataFrame) -> DataFrame:
     """One row per distinct window that can occur: its words by their corpus-wide counts, rarest first, and the items that hold it."""
     asked = windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    terms = windows.select(F.explode("window").alias("term")).distinct()
+    terms = written(windows.select(F.explode("window").alias("term")).distinct(), "terms")
+    terms = F.broadcast(terms) if terms.count() <= FEW_TERMS else terms
     counts = index.filter("term is not null").select("term", "n").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
     words = asked.select("window", "items", F.posexplode("window").alias("at", "term")).join(counts, "term", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "at", "term")))
@@ -91,7 +92,7 @@ class _Windows:
         self.terms = sorted({t for words, _ in rows for t, _ in words})
         self.number = {t: i for i, t in enumerate(self.terms)}
         self.size = np.array([len(words) for words, _ in rows], np.int64)
-        width = int(self.size.max(initial=0))
+        width = int(self.size.max(initial=1))
         self.term, self.at = np.full((len(rows), width), -1, np.int64), np.zeros((len(rows), width), np.int64)
         for i, (words, _) in enumerate(rows):
             self.term[i, : len(words)] = [self.number[t] for t, _ in words]
