@@ -67,14 +67,11 @@ def build(phrases: np.ndarray, words: int, seed: int = 7) -> DoubleArray:
     several = np.flatnonzero(kids > 1)
     for node in several[np.argsort(-kids[several], kind="stable")].tolist():
         row = by[first[node] : first[node] + kids[node]]
-        tries = np.append(rng.integers(BASE, max(end, BASE + 1), 24 if len(row) < 24 else 0), end) - row[0]
-        tries = tries[tries >= 1]
-        if tries[-1] + BASE >= len(used):
-            used = np.concatenate([used, np.zeros(len(used), bool)])
-        fits = ~used[tries[:, None] + row].any(axis=1)
-        at = int(tries[np.argmax(fits)]) if fits.any() else max(end, 2)
-        if not fits.any() and at + BASE >= len(used):
+        if end + BASE >= len(used):
             used = np.concatenate([used, np.zeros(len(used), bool)])
+        tries = np.append(rng.integers(BASE, max(end, BASE + 1), 24 if len(row) < 24 else 0) - row[0], end)  # among what is there, else behind it
+        tries = tries[tries >= 1]
+        at = int(tries[np.argmax(~used[tries[:, None] + row].any(axis=1))])
         used[at + row] = True
         end = max(end, at + int(row[-1]) + 1)
         place[node] = at
