@@ -2,8 +2,9 @@
 
 Both tokenizers see a space and the text. Tokens are byte intervals; ``coalesce`` sorts the intervals of A and B by start together, takes the running
 maximum of their ends, and begins a group wherever a start reaches that maximum; inside a group every A token is linked with every B token. As neither
-tokenizer joins bytes across a single space between two other characters, a text is cut there into chunks; a chunk's groups are worked out once a task
-and kept in a bounded cache, many new chunks in one call of each tokenizer.
+tokenizer joins a single space or line end between two other characters to the one before it, nor a letter to a mark like a comma behind it (A splits them
+by its pattern, B has no such piece, which is looked up), a text is cut there into chunks; a chunk's groups are worked out once and kept in a worker's
+bounded cache, many new chunks in one call of each tokenizer.
 
 ``align`` writes shards: of some texts their results, the chunk of each place, and the linked pairs of each distinct chunk. A pair's count is the number of
 texts that hold it linked; tasks count their own texts' distinct pairs, and only sums by pair are shuffled. The counts go back to the shards by
@@ -20,6 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,8 @@ from .common import written
 from .memo import Memo
 from .wordcodes import row_slices
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-MARK = "▁"
-SHARD_BYTES, FEW_PAIRS = 4_000_000, 2_000_000
+MARK, LETTERS = "▁", "A-Za-zÀ-ÖØ-öø-ÿ"
+SHARD_BYTES, FEW_PAIRS = 2_000_000, 2_000_000
 _SHARD = "shard long, docs array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, chunks binary, firsts binary, pairs binary, links binary, link_firsts binary"
 
 
@@ -76,43 +77,52 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
         spec = proto.normalizer_spec  # chunks stand for themselves if nothing is rewritten and no piece crosses a space
+        space = " " if any("\n" in p.piece for p in proto.pieces) else " \n"
+        marks = "".join([m for m in ".,;:!?|" if not any(re.search(f"[{LETTERS}][{m}]", p.piece) for p in proto.pieces)])  # no piece joins them to a letter
+        self.cut = re.compile(rf"(?<=\S)(?=[{space}]\S)" + (f"|(?<=[{LETTERS}])(?=[{marks}])" if marks else ""))
         self.by_chunk = not spec.precompiled_charsmap and (spec.add_dummy_prefix, spec.remove_extra_whitespaces) == (True, False) and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
 
-    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, np.int64) for x in a], [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text that begins with the space both see."""
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text[1:]), np.int64)
 
     def spells(self, text: bytes, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether the joined bytes of both are the text's."""
         return b"".join([self.a_bytes[i] for i in a.tolist()]) == text and b"".join([self.b_bytes[i] for i in b.tolist()]) == text
 
 
+@lru_cache(1)
+def aligner(a: str, b: str) -> Aligner:
+    """The aligner of this worker; its tokenizers and cache serve all its tasks."""
+    return Aligner(a, b)
+
+
 class Aligner:
     """Chunks to (A tokens, B tokens, groups, groups spelt out, linked pairs a << 32 | b); a bounded cache holds them."""
 
-    def __init__(self, a: str, b: str, room: int = 150_000):
+    def __init__(self, a: str, b: str, room: int = 120_000):
         self.of, self.memo, self.odd = Tokenizers(a, b), Memo(room), False
 
     def chunks(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.of.by_chunk else [text]
+        """The chunks of space + text, each with its leading space or line end."""
+        return self.of.cut.split(" " + text) if self.of.by_chunk else [" " + text]
 
     def learn(self, chunks: list[str], together: int = 512) -> None:
         for i in range(0, len(chunks), together):
-            part = chunks[i : i + together]
-            sizes = np.array([len(c.encode()) + 1 for c in part], np.int64)
-            if self.of.by_chunk:
-                (a,), (b,) = self.of.ids([" ".join(part)])
-            if not self.of.by_chunk or not self._keep(part, sizes, a, b):
-                for c in part:
-                    (a,), (b,) = self.of.ids([c])
-                    if not c or not self._keep([c], np.array([len(c.encode()) + 1]), a, b):
+            part = [" a"]  # what is encoded begins with a space, and marks stand behind letters
+            for c in chunks[i : i + together]:
+                part += (c,) if c[:1] in " \n" else (" a", c)
+            if not self.of.by_chunk or not self._keep(part, *self.of.ids("".join(part))):
+                for c in chunks[i : i + together]:
+                    alone = [c] if c[:1] == " " else [" a", c]
+                    if c == " " or not self._keep(alone, *self.of.ids("".join(alone))):
                         self.memo.young[c], self.odd = (), True  # its tokens don't spell it
 
-    def _keep(self, chunks: list[str], sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    def _keep(self, chunks: list[str], a: np.ndarray, b: np.ndarray) -> bool:
         """Put the groups of chunks that lie one after the other into the cache, if the tokens spell them and break between them."""
-        of = self.of
-        a_ends, b_ends, ends = np.cumsum(of.a_size[a]), np.cumsum(of.b_size[b]), np.cumsum(sizes)
-        if not of.spells(b"".join([b" " + c.encode() for c in chunks]), a, b) or not (np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all()):
+        of, data = self.of, [c.encode() for c in chunks]
+        a_ends, b_ends, ends = np.cumsum(of.a_size[a]), np.cumsum(of.b_size[b]), np.cumsum(list(map(len, data)))
+        if not of.spells(b"".join(data), a, b) or not (np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all()):
             return False
         ga, gb = coalesce(a_ends - of.a_size[a], a_ends, b_ends - of.b_size[b], b_ends)
         n = int(ga[-1]) + 1
@@ -193,11 +203,11 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     """The shards of all texts, written to the shared folder."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number = Aligner(a, b), TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j in row_slices(batch.column(1), shard_bytes):
                 part = batch.slice(i, j - i)
-                yield _shard(aligner, number, part.column(0).to_pylist(), part.column(1).to_pylist())
+                yield _shard(aligner(a, b), number, part.column(0).to_pylist(), part.column(1).to_pylist())
                 number += 1
 
     return written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(work, _SHARD), "aligned")
