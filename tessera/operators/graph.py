@@ -7,6 +7,9 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+from .cycles import path_ends, strong_components
+
 
 def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """start(keys, node) and edges(src, dst) to (keys, node, depth): all that start reaches, or reaches within max_depth, each at its least depth. Where
@@ -28,20 +31,23 @@ def reach(start: DataFrame, edges: DataFrame, keys: list[str], max_depth: int |
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """nodes(keys, node) and edges(keys, src, dst) to the level of each node in Kahn's order; level -1 marks nodes on or behind a cycle."""
-    left = nodes.select(*keys, "node").distinct().checkpoint()
-    open_edges = edges.filter("src <> dst").select(*keys, "src", "dst").distinct().unionByName(edges.filter("src = dst").select(*keys, "src", "dst").distinct()).checkpoint()
+    """nodes(keys, node) and edges(keys, src, dst) to the level of each node in Kahn's order; level -1 marks nodes on or behind a cycle. A round writes the
+    open nodes once, with how many sources each still waits for."""
+    edges = written(edges.select(*keys, "src", "dst").distinct(), "edges")
+    waits = edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("waits"))
+    left = written(nodes.select(*keys, "node").distinct().join(waits, [*keys, "node"], "left").select(*keys, "node", F.coalesce("waits", F.lit(0)).alias("waits")), "waiting")
     out = None
     for level in count():
-        free = left.join(open_edges.select(*keys, F.col("dst").alias("node")).distinct(), [*keys, "node"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        free = left.filter("waits = 0").select(*keys, "node", F.lit(level).alias("level"))
         if free.isEmpty():
             break
         out = free if out is None else out.unionByName(free)
         if level % 50 == 49:  # a union of many levels is too deep a plan
-            out = out.checkpoint()
-        left = left.join(free, [*keys, "node"], "left_anti").checkpoint()
-        open_edges = open_edges.join(free.select(*keys, F.col("node").alias("src")), [*keys, "src"], "left_anti").checkpoint()
-    rest = left.withColumn("level", F.lit(-1))
+            out = written(out, "levels")
+        done = edges.join(free.select(*keys, F.col("node").alias("src")), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("done"))
+        left = left.filter("waits > 0").join(done, [*keys, "node"], "left").select(*keys, "node", (F.col("waits") - F.coalesce("done", F.lit(0))).alias("waits"))
+        left = written(left, "waiting")
+    rest = left.select(*keys, "node", F.lit(-1).alias("level"))
     return rest if out is None else out.unionByName(rest)
 
 
@@ -80,10 +86,25 @@ def closure(links: DataFrame, start: list[int], depth: int | None = None, types:
 def evolution_chain(links: DataFrame) -> DataFrame:
     """links(src, dst, type): each decision that nothing of type ``replaces`` replaced into, followed to its current heirs: (id, current, hops)."""
     edges = links.filter("type = 'replaces'").select("src", "dst").distinct()
-    roots = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    found = reach(roots.select("id", F.col("id").alias("node")), edges, ["id"])
-    last = found.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    return last.select("id", F.col("node").alias("current"), F.col("depth").cast("long").alias("hops"))
+    roots = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    ends, _ = path_ends(edges)
+    return ends.join(roots, "node", "left_semi").select(F.col("node").alias("id"), F.col("end").alias("current"), "hops")
+
+
+def successors(links: DataFrame) -> DataFrame:
+    """links(src, dst, type): each replaced decision with its direct heirs (succeeded_by, several if it was split), the heirs in force today (current) and
+    the least and greatest hops to them; no current heirs where its replacements run in a circle."""
+    edges = links.filter("type = 'replaces'").select("src", "dst").distinct()
+    direct = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("succeeded_by"))  # heirs of one decision
+    ends, _ = path_ends(edges)
+    today = ends.groupBy(F.col("node").alias("id")).agg(F.sort_array(F.collect_set("end")).alias("current"), F.min("hops").alias("nearest"), F.max("hops").alias("farthest"))
+    return direct.join(today, "id", "left").select("id", "succeeded_by", F.coalesce("current", F.array().cast("array<long>")).alias("current"), "nearest", "farthest")
+
+
+def replacement_cycles(links: DataFrame) -> DataFrame:
+    """(component, node) of the cycles of ``replaces`` among links(src, dst, type); a decision between two cycles is in none."""
+    edges = links.filter("type = 'replaces'").select(F.lit(0).alias("k"), "src", "dst")
+    return strong_components(edges, ["k"]).select("component", "node")
 
 
 def link_integrity(links: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -93,12 +114,7 @@ def link_integrity(links: DataFrame, decisions: DataFrame) -> DataFrame:
     active = decisions.filter("status = 'Active'").select("id")
     conflict = links.filter("type = 'conflicts'").join(active.withColumnRenamed("id", "src"), "src").join(active.withColumnRenamed("id", "dst"), "dst")
     conflict = conflict.select(F.col("src").alias("id"), F.concat(F.lit("conflicts with active "), F.col("dst").cast("string")).alias("problem"))
-    edges = links.filter("type = 'replaces'").select(F.lit(0).alias("k"), "src", "dst")
-    nodes = edges.select("k", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    forward = topological_levels(nodes, edges, ["k"]).filter("level < 0").select("node")
-    both = edges.join(forward.select(F.col("node").alias("src")), "src", "left_semi").join(forward.select(F.col("node").alias("dst")), "dst", "left_semi")
-    backward = topological_levels(forward.withColumn("k", F.lit(0)), both.select("k", F.col("dst").alias("src"), F.col("src").alias("dst")), ["k"]).filter("level < 0")
-    return dangling.unionByName(conflict).unionByName(backward.select(F.col("node").alias("id"), F.lit("cycle").alias("problem")))
+    return dangling.unionByName(conflict).unionByName(replacement_cycles(links).select(F.col("node").alias("id"), F.lit("cycle").alias("problem")))
 
 
 def provenance(decisions: DataFrame, links: DataFrame, root: int, max_hops: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import safe_relpath
+from .cycles import strong_components
 
 
 def missing_dependencies(steps: DataFrame) -> DataFrame:
@@ -17,11 +18,17 @@ def missing_dependencies(steps: DataFrame) -> DataFrame:
 
 
 def validate_steps(steps: DataFrame, surfaces: list[str]) -> DataFrame:
-    """Errors of steps: empty fields, unknown surface, repeated id, unknown dependency."""
+    """Errors of steps: empty fields, unknown surface, repeated id, unknown dependency, a dependency cycle (for each step on it); and of a task without
+    a step that has an id, with a null id: no steps."""
     n = F.count("*").over(Window.partitionBy("task_id", "id"))
     errors = F.array_compact(F.array(F.when(F.col("id") == "", F.lit("empty id")), F.when(F.trim("intent") == "", F.lit("empty intent")), F.when(~F.lower("surface").isin(*surfaces), F.lit("unknown surface")), F.when(F.col("n") > 1, F.lit("duplicate id"))))
-    rows = steps.withColumn("n", n).select("task_id", "id", F.explode(errors).alias("error"))
-    return rows.unionByName(missing_dependencies(steps).select("task_id", "id", F.lit("unknown dependency").alias("error")))
+    rows = steps.filter("id IS NOT NULL").withColumn("n", n).select("task_id", "id", F.explode(errors).alias("error"))
+    none = steps.groupBy("task_id").agg(F.count("id").alias("n")).filter("n = 0").select("task_id", F.lit(None).cast("string").alias("id"), F.lit("no steps").alias("error"))
+    missing = missing_dependencies(steps).select("task_id", "id", F.lit("unknown dependency").alias("error"))
+    edges = steps.select("task_id", F.explode("depends_on").alias("src"), F.col("id").alias("dst"))
+    known = steps.select("task_id", F.col("id").alias("src")).distinct()
+    cycles = strong_components(edges.join(known, ["task_id", "src"], "left_semi"), ["task_id"]).select("task_id", F.col("node").alias("id"), F.lit("dependency cycle").alias("error"))
+    return rows.unionByName(none).unionByName(missing).unionByName(cycles)
 
 
 def eval_manifest(results: DataFrame, dry_run: bool = False) -> DataFrame:

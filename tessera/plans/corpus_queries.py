@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators import corpus as C
 from ..sources import readers as R
+from ..operators.multipattern import matching
 from .registry import register
 from .shared import fresh_path
 
@@ -95,7 +96,7 @@ LANG = "CASE lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) " + " ".join(f"WHEN '
 register("fl2_detect_language", lambda t: t.code.groupBy(C.detect_language(F.col("rel")).alias("language")).agg(F.count("*").alias("n")), "code", f"SELECT {LANG} AS language, count(*) AS n FROM code GROUP BY 1")
 SIGNAL = rf"NOT regexp_matches(rel, '{C.TEST_PATH}') AND NOT regexp_matches(rel, '{C.LOW_SIGNAL_PATH}') AND NOT regexp_matches(rel, '{C.LOW_SIGNAL_FILE}')"
 register("fl3_path_signal", lambda t: t.code.filter(C.signal_path(F.col("rel"))).select("repo", "rel", "lineno"), "code", f"SELECT repo, rel, lineno FROM code WHERE {SIGNAL}")
-SYMBOLS = " UNION ALL ".join(f"SELECT repo, rel, lineno, '{lang}' AS lang, '{kind}' AS kind, content FROM code WHERE regexp_matches(rel, '\\.({ext})$') AND regexp_matches(content, {q(p)}) AND NOT regexp_matches('/' || rel, {q(x)})" for lang, kind, ext, p, x in C.SYMBOL_RULES)
+SYMBOLS = " UNION ALL ".join(f"SELECT repo, rel, lineno, '{lang}' AS lang, '{kind}' AS kind, content FROM code WHERE regexp_matches(rel, '\\.({ext})$') AND regexp_matches(content, {q(p)}) AND NOT regexp_matches('/' || rel || ':' || CAST(lineno AS VARCHAR) || ':' || content, {q(x)})" for lang, kind, ext, p, x in C.SYMBOL_RULES)
 register("fl6_extract_symbols", lambda t: C.extract_symbols(t.code), "code", SYMBOLS)
 FUNC = "coalesce(" + ", ".join(f"nullif(regexp_extract(content, {q(p)}, 1), '')" for p in C.FUNCTION_NAMES) + ")"
 register("fl7_name_symbols", lambda t: C.name_symbols(t.code), "code", f"""
@@ -114,6 +115,16 @@ register("fl11_test_names", lambda t: C.test_names(t.code), "code", f"""
 SELECT repo, rel, lineno, content, regexp_matches(content, '{C.EDGE_CASE}') AS edge_case FROM (SELECT *, row_number() OVER (PARTITION BY repo, rel ORDER BY lineno) AS n FROM code WHERE regexp_matches(content, {q(C.TEST_NAME)})) WHERE n <= 30""")
 register("fl12_visible_methods", lambda t: C.visible_methods(C.extract_symbols(t.code).filter("kind = 'method'").drop("lang", "kind"), t.code.filter("rel LIKE 'lib/%'")), "code", rf"""
 , m AS ({SYMBOLS}) SELECT repo, rel, lineno, content, (rel LIKE 'lib/%' OR regexp_matches(content, '\b(public|export|pub|open)\b|^func [A-Z]|^func \(.*\) [A-Z]')) AS kept FROM m WHERE kind = 'method'""")
+MANY = "'(widget|order|item|service|handle|s)' || CAST(s_suppkey AS STRING) || '[^0-9]'"
+
+
+def _many(t):
+    """As many rules as suppliers."""
+    rules = t.supplier.select(F.col("s_suppkey").alias("rule"), F.expr(f"'(?i)' || {MANY}").alias("pattern"))
+    return matching(t.code, rules).groupBy("rule", "repo").agg(F.count("*").alias("n"), F.min("lineno").alias("first_line"))
+
+
+register("fl13_many_patterns", _many, "code", f"SELECT s_suppkey AS rule, repo, count(*) AS n, min(lineno) AS first_line FROM code JOIN supplier ON regexp_matches(lower(content), {MANY.replace('STRING', 'VARCHAR')}) GROUP BY ALL")
 PATTERNS = [r"process\.env", "/api/v1", "nothing here"]
 register("fl13_pattern_hits", lambda t: C.pattern_hits(t.code, PATTERNS), "code", ", h AS (" + " UNION ALL ".join(f"SELECT *, {q(p)} AS pattern FROM code WHERE regexp_matches(content, {q(p)})" for p in PATTERNS) + """)
 SELECT repo, rel, lineno, content, pattern, c > 80 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY repo, pattern ORDER BY rel, lineno) AS n, count(*) OVER (PARTITION BY repo, pattern) AS c FROM h) WHERE n <= 80""")

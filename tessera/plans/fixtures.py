@@ -56,6 +56,19 @@ _LINES = [
     ("test.ts", "it(\"should fail when %e is missing\", t)"),
     ("test.ts", "describe(\"%e\", () => {{"),
     ("dart", "dio.get(\"/api/v1/%e\")"),
+    ("dart", "class Page%u extends Widget {{"),
+    ("dart", "  Widget build%u(BuildContext c) {{"),
+    ("rs", "pub struct Item%u {{"),
+    ("rs", "pub(crate) enum Kind%u {{"),
+    ("rs", "    pub fn run_%e(&self) {{"),
+    ("kt", "@Service"),
+    ("ts", "  public run%u(a) {{"),
+    ("ts", "@Injectable()"),
+    ("ts", "export default async function main() {{"),
+    ("py", "    def method_%e(self):"),
+    ("py", "    def __init__(self):"),
+    ("py", "@dataclass"),
+    ("java", "    public String make%u() {{ return new Order(); }}"),
 ]
 
 

@@ -68,3 +68,27 @@ register("gr9_provenance", looped(lambda t: G.provenance(t.decisions, t.links, 3
 , c(node, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION ALL SELECT dst, depth + 1 FROM c JOIN links ON src = node), p(node, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION ALL SELECT src, depth + 1 FROM p JOIN links ON dst = node),
 x AS (SELECT 'child' AS direction, * FROM c WHERE depth > 0 UNION ALL SELECT 'parent', * FROM p WHERE depth > 0) SELECT direction, node AS id, CAST(depth AS BIGINT) AS hops, depth > 5 AS far, product FROM x LEFT JOIN decisions ON id = node""")
 register("gr9_most_depended_on", lambda t: G.most_depended_on(t.lineitem.select(F.col("l_suppkey").alias("src"))), "", "SELECT l_suppkey AS id, count(*) AS dependents FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+
+
+def bridged(t):
+    """Pairs that replace each other, with one-way links between the pairs."""
+    return t.links.unionByName(t.links.filter("type = 'replaces' AND dst % 21 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
+
+
+register("gr8_replacement_cycles", looped(lambda t: G.replacement_cycles(bridged(t))), "links", """
+, e AS (SELECT src, dst FROM links WHERE type = 'replaces' UNION SELECT dst, src FROM links WHERE type = 'replaces' AND dst % 21 = 0),
+r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+SELECT CAST(min(x.b) AS BIGINT) AS component, CAST(x.a AS BIGINT) AS node FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+
+
+def split(t):
+    """Decisions replaced by one or two others."""
+    return t.links.withColumn("type", F.expr("CASE WHEN dst % 7 = 0 THEN 'related' ELSE 'replaces' END"))
+
+
+said = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+register("gr7_successors", looped(lambda t: G.successors(split(t)).select("id", said("succeeded_by").alias("succeeded_by"), F.sha2(said("current"), 256).alias("current_sha256"), F.size("current").cast("long").alias("n_current"), "nearest", "farthest")), "links", """
+, e AS (SELECT src, dst FROM links WHERE dst % 7 <> 0), r(id, node, depth) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT id, dst, depth + 1 FROM r JOIN e ON e.src = node),
+ends AS (SELECT id, node, min(depth) AS hops FROM r WHERE node NOT IN (SELECT src FROM e) GROUP BY ALL), direct AS (SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS succeeded_by FROM e GROUP BY src)
+SELECT CAST(id AS BIGINT) AS id, any_value(succeeded_by) AS succeeded_by, sha256(string_agg(CAST(node AS VARCHAR), ' ' ORDER BY node)) AS current_sha256,
+ count(*) AS n_current, CAST(min(hops) AS BIGINT) AS nearest, CAST(max(hops) AS BIGINT) AS farthest FROM ends JOIN direct USING (id) GROUP BY id""")

@@ -21,6 +21,20 @@ register("qa1_validate_steps", lambda t: A.validate_steps(steps(t).unionByName(s
 , s2 AS (SELECT * FROM steps UNION ALL SELECT * FROM steps WHERE row_no % 50 = 7)
 SELECT task_id, id, 'unknown surface' AS error FROM s2 WHERE lower(surface) = 'fax' UNION ALL SELECT task_id, id, 'duplicate id' FROM s2 WHERE row_no % 50 = 7
 UNION ALL SELECT task_id, id, 'unknown dependency' FROM s2 s WHERE depends_on <> '' AND NOT EXISTS (SELECT 1 FROM steps p WHERE p.task_id = s.task_id AND p.id = s.depends_on)""")
+
+
+def circular(t):
+    """Steps of which the first of every fifth task waits for one that waits for it; tasks of every seventh file have no ids."""
+    late = t.steps.withColumn("depends_on", F.expr("CASE WHEN id = 's0' AND task_id % 5 = 0 THEN 's9' ELSE depends_on END")).withColumn("id", F.expr("CASE WHEN task_id % 7 = 3 THEN NULL ELSE id END"))
+    return late.withColumn("depends_on", F.expr("filter(split(CASE WHEN id IS NULL THEN '' ELSE depends_on END, ','), x -> x <> '')"))
+
+
+register("qa1_step_file_errors", lambda t: A.validate_steps(circular(t), [*SURF, "fax"]), "steps", """
+, s2 AS (SELECT task_id, CASE WHEN task_id % 7 = 3 THEN NULL ELSE id END AS id, CASE WHEN task_id % 7 = 3 THEN '' WHEN id = 's0' AND task_id % 5 = 0 THEN 's9' ELSE depends_on END AS dep FROM steps),
+e AS (SELECT s.task_id, s.dep AS src, s.id AS dst FROM s2 s WHERE EXISTS (SELECT 1 FROM s2 p WHERE p.task_id = s.task_id AND p.id = s.dep)),
+r(task_id, a, b) AS (SELECT task_id, src, dst FROM e UNION SELECT r.task_id, r.a, e.dst FROM r JOIN e ON e.task_id = r.task_id AND e.src = r.b)
+SELECT task_id, a AS id, 'dependency cycle' AS error FROM r WHERE a = b UNION ALL SELECT task_id, NULL, 'no steps' FROM s2 GROUP BY task_id HAVING count(id) = 0
+UNION ALL SELECT task_id, id, 'unknown dependency' FROM s2 s WHERE dep <> '' AND NOT EXISTS (SELECT 1 FROM s2 p WHERE p.task_id = s.task_id AND p.id = s.dep)""")
 register("qa2_eval_manifest", lambda t: A.eval_manifest(t.results), "results", "SELECT run_id, count(*) AS step_count, CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'red' ELSE 'green' END AS outcome FROM results GROUP BY run_id")
 
 

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import evolution_chain, topological_levels
+from tessera.operators.cycles import path_ends, strong_components
+from tessera.operators.graph import evolution_chain, link_integrity, successors, topological_levels
+from tessera.operators.qa import validate_steps
 
 
 def test_long_evolution_chain(spark):
@@ -13,3 +15,73 @@ def test_levels_beyond_one_checkpoint(spark):
     nodes = edges.select("k", F.explode(F.array("src", "dst")).alias("node")).distinct()
     rows = topological_levels(nodes, edges, ["k"]).collect()
     assert sorted((r.k, r.node, r.level) for r in rows) == [(0, i, i) for i in range(53)] + [(1, 1, -1), (1, 2, -1)]
+
+
+EDGES = "k int, src long, dst long"
+
+
+def reachable(edges):
+    """Pairs of nodes joined by a path of at least one edge, per key, by plain search."""
+    out = set()
+    for k in {e[0] for e in edges}:
+        to = {}
+        for _, a, b in (e for e in edges if e[0] == k):
+            to.setdefault(a, set()).add(b)
+        for a in to:
+            seen, open_ = set(), [a]
+            while open_:
+                for b in to.get(open_.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        open_.append(b)
+            out |= {(k, a, b) for b in seen}
+    return out
+
+
+CASES = [
+    [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4)],  # two cycles and a node between them
+    [(i, (i + 1) % 9) for i in range(9)] + [(100 + i, 101 + i) for i in range(6)] + [(106, 0), (3, 50), (50, 50), (50, 51)],
+    [(9, 8), (8, 7), (7, 9), (7, 3), (3, 2), (2, 3), (1, 9), (2, 12), (12, 11), (11, 12)],
+    [((i * 7) % 23, (i * i + 1) % 23) for i in range(23)],
+    [((i * 5) % 17, (i * i + 3) % 17) for i in range(17)],
+    [(9, 8)],
+]
+
+
+def test_strong_components_equal_mutual_reach(spark):
+    edges = [(k, a, b) for k, case in enumerate(CASES) for a, b in case]
+    far = reachable(edges)
+    on = {(k, a) for k, a, b in far if a == b}
+    want = {(k, min(b for q, a2, b in far if (q, a2) == (k, a) and (k, b, a) in far), a) for k, a in on}
+    rows = [tuple(r) for r in strong_components(spark.createDataFrame(edges, EDGES), ["k"]).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert strong_components(spark.createDataFrame([], EDGES), ["k"]).count() == 0
+
+
+def test_a_node_between_two_cycles_is_on_none(spark):
+    links = spark.createDataFrame([(1, 2, "replaces"), (2, 1, "replaces"), (2, 3, "replaces"), (3, 4, "replaces"), (4, 5, "replaces"), (5, 4, "replaces")], "src long, dst long, type string")
+    decisions = spark.createDataFrame([(i, "Warm") for i in range(1, 6)], "id long, status string")
+    assert sorted(r.id for r in link_integrity(links, decisions).collect() if r.problem == "cycle") == [1, 2, 4, 5]
+
+
+def test_a_chain_of_4096_links_takes_14_rounds(spark):
+    ends, rounds = path_ends(spark.range(4096).selectExpr("id AS src", "id + 1 AS dst"))
+    assert rounds <= 14
+    assert ends.filter("end <> 4096 OR hops <> 4096 - node").isEmpty() and ends.count() == 4096
+
+
+def test_paths_that_run_in_circles_end_nowhere(spark):
+    ends, _ = path_ends(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (7, 8), (8, 7)], "src long, dst long"))
+    assert sorted(map(tuple, ends.collect())) == [(1, 3, 2), (2, 3, 1)]
+
+
+def test_parallel_heirs(spark):
+    links = spark.createDataFrame([(1, 2, "replaces"), (1, 3, "replaces"), (3, 4, "replaces"), (4, 5, "replaces"), (2, 5, "related"), (8, 9, "replaces"), (9, 8, "replaces")], "src long, dst long, type string")
+    assert sorted(map(tuple, successors(links).collect())) == [(1, [2, 3], [2, 5], 1, 3), (3, [4], [5], 2, 2), (4, [5], [5], 1, 1), (8, [9], [], None, None), (9, [8], [], None, None)]
+
+
+def test_step_file_errors(spark):
+    rows = [(1, "a", ["b"]), (1, "b", ["c"]), (1, "c", ["a"]), (1, "d", ["c", "nope"]), (1, "e", ["e"]), (2, "a", []), (2, "b", ["a"]), (3, None, None)]
+    steps = spark.createDataFrame([(t, i, "rest", "x", d) for t, i, d in rows], "task_id int, id string, surface string, intent string, depends_on array<string>")
+    got = sorted((r.task_id, r.id or "", r.error) for r in validate_steps(steps, ["rest"]).collect())
+    assert got == [(1, "a", "dependency cycle"), (1, "b", "dependency cycle"), (1, "c", "dependency cycle"), (1, "d", "unknown dependency"), (1, "e", "dependency cycle"), (3, "", "no steps")]
