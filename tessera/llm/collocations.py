@@ -34,7 +34,7 @@ from .shingles import mix
 from .wordcodes import byte_class, row_slices, utf8, words_of
 
 INSIDE, BREAKS = byte_class(r"[^ \t.,;:!?\n-\r]"), ~byte_class(r"[^.,;:!?\n-\r]")
-SHARD_BYTES, BLOCK, PER_PASS, RANGE_BITS = 8_000_000, 250_000, 4, 22
+SHARD_BYTES, BLOCK, PER_PASS, RANGE_BITS = 6_000_000, 150_000, 4, 22
 _ODD = np.random.default_rng(20240202).integers(0, 1 << 64, 65, dtype=np.uint64) | np.uint64(1)
 
 
@@ -161,8 +161,7 @@ def candidates(shards: DataFrame, frequent: DataFrame, built: DataFrame, min_cou
     for _, held in passes(built, per_pass):
         part = slim.mapInArrow(_asker(held, bits), "shard long, range int, lows binary, cuts binary, counts binary")
         told = part.groupBy("range").applyInArrow(_teller(min_count), "shard long, range int, kept binary")
-        told = told.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "kept"))).alias("told"))  # a bit for each bucket that the shard sent
-        part = slim.join(told, "shard").select("lang", "words", "codes", F.col("told.range").alias("ranges"), F.col("told.kept").alias("kept")).mapInArrow(_namer(held, bits), "lang string, phrase string")
+        part = slim.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_namer(held, bits), "lang string, phrase string")  # one shard at a time
         out = part if out is None else out.unionByName(part)
     if out is None:
         return frequent.select("lang", "phrase").limit(0)
@@ -201,19 +200,21 @@ def _teller(min_count: int):
 
 
 def _namer(held: Broadcast, bits: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, lang, words, codes in _rows(batches):
+    def work(shard, told):  # a shard, and a bit for each bucket that it sent
+        out = [pa.table([pa.array([], pa.string())] * 2, names=["lang", "phrase"])]
+        for _, lang, words, codes in _rows(shard.to_batches() if told.num_rows else []):
             found = [(t, *_longer(t, lang, words, codes, bits)) for _, t in sorted(held.value.items())]
             kinds, _, ends = _sent([f[3] for f in found], bits)
             keep = np.zeros(len(kinds), bool)
-            for r, packed in zip(row.column("ranges")[0].as_py(), row.column("kept")[0].as_py()):
+            for r, packed in zip(told.column("range").to_pylist(), told.column("kept").to_pylist()):
                 keep[ends[r] : ends[r + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(ends[r + 1] - ends[r]))
             for trie, at, phrase, bucket in found:
                 ok = keep[np.searchsorted(kinds, bucket)] if len(bucket) else np.zeros(0, bool)
                 _, first = np.unique(phrase[ok].astype(np.int64) * (len(words) + 1) + codes[at[ok] + trie.depth], return_index=True)
                 at = at[ok][first]
                 said = pc.binary_join_element_wise(*(words.take(pa.array(codes[at + k] - 1)) for k in range(trie.depth + 1)), " ")
-                yield pa.record_batch([pa.array([lang] * len(at), pa.string()), said], names=["lang", "phrase"])
+                out.append(pa.table([pa.array([lang] * len(at), pa.string()), said], names=["lang", "phrase"]))
+        return pa.concat_tables(out)
 
     return work
 
