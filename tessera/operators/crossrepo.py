@@ -92,6 +92,31 @@ def topology_fallback(unmatched: DataFrame, topology: DataFrame) -> DataFrame:
     return unmatched.select("repo", "url").distinct().join(topology.select(F.col("role").alias("repo"), "callee").distinct(), "repo").select("repo", "url", F.col("callee").alias("backend"), F.lit("TOPOLOGY_DECLARED").alias("provenance"))
 
 
+# What makes a URL dynamic or templated.
+DYNAMIC_URL = r"\$\{|\{[^}]+\}|:[A-Za-z_][A-Za-z0-9_]*"
+
+
+def role_fallback(unmatched: DataFrame, roles: DataFrame, routes: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without a topology: calls of web and mobile repositories of roles(repo, kind) go to the backend that fits their URL best, if caller and backend have
+    a module in modules(repo). Gives edges (repo, url, backend, provenance ``ROLE_HEURISTIC``), and the other calls with a reason (repo, url, reason)."""
+    calls = unmatched.select("repo", "url").distinct().join(roles.select("repo", "kind").distinct(), "repo", "left")
+    client = F.coalesce(F.col("kind").isin("web", "mobile"), F.lit(False))
+    backends = routes.join(roles.filter("kind = 'backend'").select("repo").distinct(), "repo", "left_semi")
+    known = modules.select("repo").distinct()
+    picked = pick_backend(calls.filter(client).select("url").distinct(), backends).select("url", "backend").join(known.withColumnRenamed("repo", "backend"), "backend", "left_semi")
+    callers = calls.filter(client).join(picked, "url", "left").join(known.withColumn("_known", F.lit(True)), "repo", "left")
+    fits = F.col("backend").isNotNull() & F.coalesce("_known", F.lit(False)) & (F.col("backend") != F.col("repo"))
+    edges = callers.filter(fits).select("repo", "url", "backend", F.lit("ROLE_HEURISTIC").alias("provenance"))
+    none = callers.filter(~F.coalesce(fits, F.lit(False))).select("repo", "url", F.lit("heuristic_no_backend_target").alias("reason"))
+    others = calls.filter(~client).select("repo", "url", F.when(F.col("url").rlike(DYNAMIC_URL), "dynamic_or_templated_url").otherwise("no_route_match").alias("reason"))
+    return edges, none.unionByName(others)
+
+
+def topology_reasons(unmatched: DataFrame, topology: DataFrame) -> DataFrame:
+    """With a topology(role, callee): calls whose caller declares no callee, (repo, url, reason)."""
+    return unmatched.select("repo", "url").distinct().join(topology.select(F.col("role").alias("repo")).distinct(), "repo", "left_anti").withColumn("reason", F.lit("topology_no_callee"))
+
+
 def pick_backend(urls: DataFrame, routes: DataFrame) -> DataFrame:
     """urls(url) to the backend that fits best: 3 for its first segment in a record, 1 for ``/api``, 5 for an alias in a template or matching one, one
     for every ten routes up to 50; ties by route count, then name, the larger first.
@@ -195,10 +220,9 @@ def api_coverage(catalog: DataFrame) -> DataFrame:
     return out.select(F.coalesce("repo", F.lit("(all)")).alias("repo"), "routes", "linked", (F.col("linked") * 100.0 / F.col("routes")).cast("double").alias("pct"))
 
 
-def unresolved_summary(unmatched: DataFrame) -> DataFrame:
-    """Distinct unresolved (caller, URL) by reason."""
-    reason = F.when(F.col("url").contains("${"), "dynamic").when(F.col("url").rlike("^/(api/)?v[0-9]+/"), "no_route").otherwise("unknown_path")
-    return unmatched.select("repo", "url", reason.alias("reason")).distinct().groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("repo").alias("repos"))
+def unresolved_summary(reasons: DataFrame) -> DataFrame:
+    """Distinct unresolved calls (repo, url, reason), of ``role_fallback`` or ``topology_reasons``, by reason."""
+    return reasons.select("repo", "url", "reason").distinct().groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("repo").alias("repos"))
 
 
 def build_graph(modules: DataFrame, cross: DataFrame, imports: DataFrame, min_confidence: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:

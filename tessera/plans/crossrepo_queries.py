@@ -73,6 +73,27 @@ def topology(t):
 
 register("jn4_topology_fallback", lambda t: J.topology_fallback(unmatched(t), topology(t)), "callsites routes", UNMATCHED + """
 SELECT DISTINCT u.repo, u.url, 'svc' || CAST(n_regionkey AS VARCHAR) AS backend, 'TOPOLOGY_DECLARED' AS provenance FROM un u JOIN nation ON u.repo = 'web' || CAST(n_nationkey % 7 AS VARCHAR)""")
+
+
+def roles_of(t):
+    """Web, mobile and other callers; backends of which one has no module; and calls with a templated part."""
+    number = "int(substr(repo, 4)) % 3"
+    calls = unmatched(t).withColumn("url", F.expr("CASE WHEN length(url) % 2 = 0 THEN concat(url, '/{id}') ELSE url END"))
+    kinds = t.callsites.select("repo").distinct().select("repo", F.expr(f"CASE {number} WHEN 0 THEN 'web' WHEN 1 THEN 'mobile' ELSE 'tool' END").alias("kind"))
+    roles = kinds.unionByName(t.routes.select("repo", F.lit("backend").alias("kind")).distinct())
+    return J.role_fallback(calls, roles, t.routes, roles.select("repo").filter("repo NOT IN ('svc4', 'web1')"))
+
+
+ROLES = UNMATCHED + """, cl AS (SELECT DISTINCT repo, CASE WHEN length(url) % 2 = 0 THEN url || '/{id}' ELSE url END AS url FROM un), u AS (SELECT DISTINCT url, regexp_replace(url, '^/api', '') AS short FROM cl),
+r AS (SELECT *, regexp_extract(content, '"(/[^"]*)"', 1) AS template FROM routes), n AS (SELECT repo, count(*) AS n FROM r GROUP BY repo),
+s AS (SELECT url, r.repo, n.n, CAST(max(CASE WHEN contains(content, '/' || split_part(url, '/', 2)) THEN 3 ELSE 0 END) + max(CASE WHEN url LIKE '/api%' AND contains(content, '/api') THEN 1 ELSE 0 END)
+  + max(CASE WHEN contains(template, '/api' || short) OR contains(template, short) OR regexp_full_match('/api' || short, regexp_replace(template, '\\{[^}]*\\}', '[^/]+', 'g')) OR regexp_full_match(short, regexp_replace(template, '\\{[^}]*\\}', '[^/]+', 'g')) THEN 5 ELSE 0 END) + least(n.n, 50) // 10 AS BIGINT) AS score
+  FROM u, r JOIN n ON n.repo = r.repo GROUP BY url, r.repo, n.n),
+pb AS (SELECT url, repo AS backend FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, n DESC, repo DESC) AS k FROM s) WHERE k = 1 AND repo <> 'svc4'),
+rf AS (SELECT cl.repo, cl.url, backend, CASE WHEN CAST(substr(cl.repo, 4) AS INT) % 3 = 2 THEN CASE WHEN contains(cl.url, '{id}') THEN 'dynamic_or_templated_url' ELSE 'no_route_match' END
+  WHEN backend IS NULL OR cl.repo = 'web1' THEN 'heuristic_no_backend_target' ELSE '' END AS reason FROM cl LEFT JOIN pb USING (url))
+"""
+register("jn4_role_heuristic", lambda t: roles_of(t)[0], "callsites routes", ROLES + "SELECT repo, url, backend, 'ROLE_HEURISTIC' AS provenance FROM rf WHERE reason = ''")
 register("jn5_pick_backend", lambda t: J.pick_backend(calls(t), t.routes), "callsites routes", r"""
 , u AS (SELECT DISTINCT url, regexp_replace(url, '^/api', '') AS short FROM (SELECT unnest([regexp_extract(content, '"([^"]*)"', 1), substr(regexp_extract(content, '"([^"]*)"', 1), 5)]) AS url FROM callsites)),
 r AS (SELECT *, regexp_extract(content, '"(/[^"]*)"', 1) AS template FROM routes), n AS (SELECT repo, count(*) AS n FROM r GROUP BY repo),
@@ -120,7 +141,10 @@ register("jn9_missing_modules", lambda t: J.resolve_modules(matched(t), modules(
 CATALOG = MATCHED + r""", catalog AS (SELECT r.route_idx, r.repo, r.rel, r.lineno, coalesce(r_method, 'UNKNOWN') AS method, template AS templates, count(m.repo) AS usage, count(DISTINCT m.repo) AS callers FROM rt r LEFT JOIN matched m ON m.route_idx = r.route_idx GROUP BY 1, 2, 3, 4, 5, 6)"""
 register("ag5_route_catalog", lambda t: J.route_catalog(routes_all(t), matched(t)).select("route_idx", "repo", "rel", "lineno", "method", F.regexp_extract("templates", "^([^,]*)", 1).alias("templates"), "usage", "callers"), "callsites routes", CATALOG + "SELECT * FROM catalog")
 register("ag6_api_coverage", lambda t: J.api_coverage(J.route_catalog(routes_all(t), matched(t))), "callsites routes", CATALOG + "SELECT coalesce(repo, '(all)') AS repo, count(*) AS routes, count(*) FILTER (WHERE usage > 0) AS linked, CAST(count(*) FILTER (WHERE usage > 0) * 100.0 / count(*) AS DOUBLE) AS pct FROM catalog GROUP BY ROLLUP (repo)")
-register("ag7_unresolved_summary", lambda t: J.unresolved_summary(unmatched(t)), "callsites routes", UNMATCHED + "SELECT 'no_route' AS reason, count(DISTINCT repo || url) AS n, count(DISTINCT repo) AS repos FROM un HAVING count(*) > 0")
+register("ag7_unresolved_summary", lambda t: J.unresolved_summary(roles_of(t)[1]), "callsites routes", ROLES + """
+SELECT reason, count(*) AS n, count(DISTINCT repo) AS repos FROM rf WHERE reason <> '' GROUP BY reason""")
+register("ag7_topology_reasons", lambda t: J.unresolved_summary(J.topology_reasons(unmatched(t), topology(t).filter("role < 'web5'"))), "callsites routes", UNMATCHED + """
+SELECT 'topology_no_callee' AS reason, count(DISTINCT repo || url) AS n, count(DISTINCT repo) AS repos FROM un WHERE repo >= 'web5' HAVING count(*) > 0""")
 
 
 def graph(t):

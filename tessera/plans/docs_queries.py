@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import docs as D
+from ..operators.search import search_positions, write_positions
 from .registry import register
 from .shared import fresh_path
 
@@ -30,6 +31,8 @@ SELECT repo, rel, CASE WHEN n <= CASE WHEN repo = 'src1' THEN 6 ELSE 4 END THEN
 register("dc2_doc_type", lambda t: paths(t).select("doc_id", D.doc_type(F.col("rel"), F.col("content")).alias("doc_type")), "", """
 SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'readme' WHEN 1 THEN 'adr' WHEN 2 THEN CASE WHEN regexp_matches(lower(substr(text, 1, 2000)), '\\bstatus\\s*:\\s*(accepted|proposed|deprecated|superseded)\\b') THEN 'adr' WHEN regexp_matches(lower(substr(text, 1, 2000)), '## api|endpoint|request') THEN 'api-reference' ELSE 'guide' END
  WHEN 3 THEN 'guide' WHEN 4 THEN 'rfc' WHEN 5 THEN 'openapi' WHEN 6 THEN 'changelog' ELSE 'doc' END AS doc_type FROM documents""".replace("\\\\", "\\"))
+ADR_PATHS = "CASE doc_id % 10 WHEN 0 THEN 'decisions/x.md' WHEN 1 THEN 'a/architecture-decisions/x.md' WHEN 2 THEN '12-x.md' WHEN 3 THEN 'adrs/x.md' WHEN 4 THEN 'a/decision/README.md' WHEN 5 THEN 'x/123_y.rst' WHEN 6 THEN '1-x.md' WHEN 7 THEN 'mydecisions/x.md' WHEN 8 THEN 'ADR/x.md' ELSE 'b/adr-001-x.md' END"
+register("dc2_decision_records", lambda t: t.documents.select("doc_id", D.doc_type(F.expr(ADR_PATHS), F.col("text")).alias("doc_type")), "", "SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'readme' WHEN doc_id % 10 IN (0, 1, 2, 5, 8) THEN 'adr' ELSE 'doc' END AS doc_type FROM documents")
 NOTE = "concat('---\ntitle: x\n---\n# Note ', conv_id, '\nStatus: Accepted\n## Context\n', role, ' ', replace(coalesce(text, ''), '\n', ' '), '\n### Alternatives\nnone\n##nospace\n')"
 
 
@@ -88,5 +91,30 @@ def _indexed(t):
 
 
 register("tk1_search_index", _indexed, "", SEARCH)
+
+
+def _positions(query):
+    def run(t):
+        docs, path = t.documents.select("doc_id", "text"), fresh_path(t.spark, "positions")
+        write_positions(docs, path)
+        return search_positions(path, docs, query).select("doc_id", "score")
+
+    return run
+
+
+def _positions_sql(atoms: list[str], holds: str) -> str:
+    """BM25 of phrases, each given as the list positions i of t at which it stands."""
+    counts = ", ".join(f"len(list_filter(range(1, len(t) + 1), lambda i: {a})) AS tf{k}" for k, a in enumerate(atoms))
+    parts = " + ".join(f"CASE WHEN tf{k} > 0 THEN greatest(ln((n.n - df{k} + 0.5) / (df{k} + 0.5)), 1e-6) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * l / n.a)) ELSE 0 END" for k in range(len(atoms)))
+    return rf"""
+, w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+c AS (SELECT doc_id, len(t) AS l, {counts} FROM w), n AS (SELECT count(*) AS n, avg(l) AS a, {', '.join(f'count(*) FILTER (WHERE tf{k} > 0) AS df{k}' for k in range(len(atoms)))} FROM c),
+s AS (SELECT doc_id, {parts} AS score FROM c, n WHERE {holds}) SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 20"""
+
+
+register("tk1_phrase", _positions('"de la"'), "", _positions_sql(["t[i] = 'de' AND t[i + 1] = 'la'"], "tf0 > 0"))
+register("tk1_prefix", _positions("ent* AND the"), "", _positions_sql(["starts_with(t[i], 'ent')", "t[i] = 'the'"], "tf0 > 0 AND tf1 > 0"))
+register("tk1_boolean", _positions('(la OR "the of") NOT que'), "", _positions_sql(["t[i] = 'la'", "t[i] = 'the' AND t[i + 1] = 'of'", "t[i] = 'que'"], "(tf0 > 0 OR tf1 > 0) AND tf2 = 0"))
+register("tk1_words_by_blocks", _positions("de la"), "", SEARCH)
 register("tk1_postings", lambda t: D.build_index(t.documents.select("doc_id", "text"))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "", r"""
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY term""")
