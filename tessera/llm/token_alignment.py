@@ -3,7 +3,7 @@
 Both tokenizers see a space and the text. Tokens are byte intervals; ``coalesce`` sorts the intervals of A and B by start together, takes the running
 maximum of their ends, and begins a group wherever a start reaches that maximum; inside a group every A token is linked with every B token. As neither
 tokenizer joins a single space or line end between two other characters to the one before it, nor a letter to a mark like a comma behind it (A splits them
-by its pattern, B has no such piece, which is looked up), a text is cut there into chunks; a chunk's groups are worked out once and kept in a worker's
+by its pattern, B has no such piece, which is looked up), a text is cut there into chunks; a chunk's groups are worked out once and kept in a task's
 bounded cache, many new chunks in one call of each tokenizer.
 
 ``align`` writes shards: of some texts their results, the chunk of each place, and the linked pairs of each distinct chunk. A pair's count is the number of
@@ -21,7 +21,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +90,10 @@ class Tokenizers:
         return b"".join([self.a_bytes[i] for i in a.tolist()]) == text and b"".join([self.b_bytes[i] for i in b.tolist()]) == text
 
 
-@lru_cache(1)
-def aligner(a: str, b: str) -> Aligner:
-    """The aligner of this worker; its tokenizers and cache serve all its tasks."""
-    return Aligner(a, b)
-
-
 class Aligner:
     """Chunks to (A tokens, B tokens, groups, groups spelt out, linked pairs a << 32 | b); a bounded cache holds them."""
 
-    def __init__(self, a: str, b: str, room: int = 120_000):
+    def __init__(self, a: str, b: str, room: int = 60_000):
         self.of, self.memo, self.odd = Tokenizers(a, b), Memo(room), False
 
     def chunks(self, text: str) -> list[str]:
@@ -203,11 +196,11 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     """The shards of all texts, written to the shared folder."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        aligner, number = Aligner(a, b), TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j in row_slices(batch.column(1), shard_bytes):
                 part = batch.slice(i, j - i)
-                yield _shard(aligner(a, b), number, part.column(0).to_pylist(), part.column(1).to_pylist())
+                yield _shard(aligner, number, part.column(0).to_pylist(), part.column(1).to_pylist())
                 number += 1
 
     return written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(work, _SHARD), "aligned")
