@@ -6,6 +6,7 @@ import threading
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,23 +116,25 @@ def order_violations(events: DataFrame, key: str = "idempotency_id") -> DataFram
     return events.withColumn("_last", F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("ts < _last").drop("_last")
 
 
-def order_violations_stream(events: DataFrame, key: str = "idempotency_id") -> DataFrame:
-    """Streaming: the same, with the latest time of each key as state."""
+def order_violations_stream(events: DataFrame, key: str = "idempotency_id", late: str = "7 days") -> DataFrame:
+    """Streaming: the same among events no later than ``late``, with the latest time of each key as state. The state falls once the watermark has passed
+    that time: what would lie before it is then too late to be read at all. A trigger's rows of one key are compared in one array operation."""
     out = T.StructType([T.StructField(key, T.StringType()), T.StructField("msg_offset", T.LongType())])
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -(1 << 62)
-        rows = pd.concat(list(frames)).sort_values("msg_offset")
-        bad = []
-        for offset, us in zip(rows["msg_offset"], rows["us"], strict=True):
-            if us < last:
-                bad.append(offset)
-            last = max(last, us)
-        state.update((int(last),))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("msg_offset", kind="stable")
+        us = np.concatenate([[state.get[0] if state.exists else np.iinfo(np.int64).min], rows["us"].to_numpy(np.int64)])
+        latest = np.maximum.accumulate(us)
+        state.update((int(latest[-1]),))
+        state.setTimeoutTimestamp(max(int(latest[-1]) // 1000, state.getCurrentWatermarkMs()) + 1)
+        bad = rows["msg_offset"].to_numpy()[us[1:] < latest[:-1]]
         yield pd.DataFrame({key: [k[0]] * len(bad), "msg_offset": bad})
 
-    rows = events.select(key, "msg_offset", micros(F.col("ts")).alias("us"))
-    return rows.groupBy(key).applyInPandasWithState(step, out, "last long", "append", "NoTimeout")
+    rows = events.withWatermark("ts", late).select(key, "msg_offset", "ts", micros(F.col("ts")).alias("us"))
+    return rows.groupBy(key).applyInPandasWithState(step, out, "last long", "append", "EventTimeTimeout")
 
 
 def partition_skew(events: DataFrame, window: str = "1 day", spread: int = 100_000) -> DataFrame:

@@ -71,6 +71,23 @@ def test_order_violations(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
 
 
+def test_state_of_silent_keys_falls(spark, tmp_path):
+    """Once other keys' events have moved the watermark past a key's latest time, nothing is kept of it."""
+    kind, folder, out = "idempotency_id string, msg_offset long, ts timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(rows):
+        spark.createDataFrame(rows, "idempotency_id string, msg_offset long, ts string").selectExpr("idempotency_id", "msg_offset", "CAST(ts AS TIMESTAMP) AS ts").coalesce(1).write.mode("append").parquet(folder)
+        found = E.order_violations_stream(spark.readStream.schema(kind).parquet(folder), late="1 day")
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress[-1].stateOperators[0].numRowsTotal
+
+    assert put([("a", 1, "2024-01-02 00:00:00"), ("b", 2, "2024-01-02 00:00:00"), ("c", 3, "2024-01-02 00:00:00")]) == 3
+    assert put([("a", 4, "2024-01-01 23:00:00")]) == 3
+    assert put([("d", 5, "2024-02-01 00:00:00")]) == 1
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("a", 4)]
+
+
 def test_validate_and_route(spark, sf_dir, tmp_path):
     batch, stream = staged(spark, sf_dir, tmp_path)
     check = lambda df: E.validate_events(df, {"k": "number"}, {"k": 50})
