@@ -34,7 +34,7 @@ from .shingles import mix
 from .wordcodes import byte_class, row_slices, utf8, words_of
 
 INSIDE, BREAKS = byte_class(r"[^ \t.,;:!?\n-\r]"), ~byte_class(r"[^.,;:!?\n-\r]")
-SHARD_BYTES, BLOCK, PER_PASS, RANGE_BITS = 6_000_000, 150_000, 4, 22
+SHARD_BYTES, BLOCK, PER_PASS, RANGE_BITS = 6_000_000, 150_000, 6, 22
 _ODD = np.random.default_rng(20240202).integers(0, 1 << 64, 65, dtype=np.uint64) | np.uint64(1)
 
 
@@ -78,7 +78,9 @@ class Trie:
 
     def walk(self, lang: str, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, phrases): where phrases of this trie begin in a shard, and which."""
-        root = self.array.step(np.ones(1, np.int64), np.array([self.langs.get(lang, -1)]))[0]
+        if lang not in self.langs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        root = self.array.step(np.ones(1, np.int64), np.array([self.langs[lang]]))[0]
         known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         word = np.concatenate([[-1], known])  # of each code; an end of piece is no word
         state = self.array.step(np.full(len(word), root), word)[codes]  # the first level, once per distinct word
@@ -93,7 +95,8 @@ class Trie:
 
 
 def tries(phrases: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (trie, langs, phrases, packed), written: the phrases (lang, phrase) dealt by hash into tries of about ``block``."""
+    """Rows (trie, langs, phrases, packed), written: the phrases (lang, phrase) dealt by their first word into tries of about ``block``, so that a position
+    goes on in one trie only; a first word of more phrases than a block holds is dealt by phrase as well."""
     of = max(1, -(-phrases.count() // block))
 
     def work(group):
@@ -101,7 +104,10 @@ def tries(phrases: DataFrame, block: int = BLOCK) -> DataFrame:
         made = [group.column("trie")[:1].combine_chunks(), pa.array([langs], pa.list_(pa.string())), pa.array([said], pa.list_(pa.string())), pa.array([pickle.dumps(Trie(langs, said))], pa.binary())]
         return pa.table(made, names=["trie", "langs", "phrases", "packed"])
 
-    dealt = phrases.select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(of)).cast("int").alias("trie"), "lang", "phrase")
+    rows = phrases.select("lang", "phrase", F.substring_index("phrase", " ", 1).alias("first"))
+    parts = rows.groupBy("lang", "first").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")).filter("parts > 1")  # few: each has a block of phrases
+    rows = rows.join(parts, ["lang", "first"], "left").withColumn("part", F.pmod(F.xxhash64("phrase"), F.coalesce("parts", F.lit(1))))
+    dealt = rows.select(F.pmod(F.xxhash64("lang", "first", "part"), F.lit(of)).cast("int").alias("trie"), "lang", "phrase")
     return written(dealt.groupBy("trie").applyInArrow(work, "trie int, langs array<string>, phrases array<string>, packed binary"), "tries")
 
 
@@ -129,14 +135,13 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return mix(run[bounds[1:]] - run[bounds[:-1]])
 
 
-def _longer(trie: Trie, lang: str, words: pa.Array, codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, phrases, buckets) of all occurrences one word longer than a phrase of the trie."""
+def _longer(trie: Trie, lang: str, words: pa.Array, codes: np.ndarray, bits: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, phrases, buckets) of all occurrences one word longer than a phrase of the trie; h has the hash of each code's word."""
     at, phrase = trie.walk(lang, words, codes)
     more = at + trie.depth < len(codes)
     at, phrase = at[more], phrase[more]
     more = codes[at + trie.depth] > 0
     at, phrase = at[more], phrase[more]
-    h = np.concatenate([np.zeros(1, np.uint64), _word_hashes(words)])
     total = np.full(len(at), _word_hashes(pa.array([lang]))[0])
     for k in range(trie.depth + 1):
         total += h[codes[at + k]] * _ODD[k % 64]
@@ -172,7 +177,8 @@ def candidates(shards: DataFrame, frequent: DataFrame, built: DataFrame, min_cou
 def _asker(held: Broadcast, bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, lang, words, codes in _rows(batches):
-            kinds, counts, ends = _sent([_longer(t, lang, words, codes, bits)[2] for _, t in sorted(held.value.items())], bits)
+            h = np.concatenate([np.zeros(1, np.uint64), _word_hashes(words)])
+            kinds, counts, ends = _sent([_longer(t, lang, words, codes, bits, h)[2] for _, t in sorted(held.value.items())], bits)
             ranges = np.flatnonzero(np.diff(ends))
             lows, cuts, sums = [], [], []
             for r in ranges.tolist():
@@ -203,7 +209,8 @@ def _namer(held: Broadcast, bits: int):
     def work(shard, told):  # a shard, and a bit for each bucket that it sent
         out = [pa.table([pa.array([], pa.string())] * 2, names=["lang", "phrase"])]
         for _, lang, words, codes in _rows(shard.to_batches() if told.num_rows else []):
-            found = [(t, *_longer(t, lang, words, codes, bits)) for _, t in sorted(held.value.items())]
+            h = np.concatenate([np.zeros(1, np.uint64), _word_hashes(words)])
+            found = [(t, *_longer(t, lang, words, codes, bits, h)) for _, t in sorted(held.value.items())]
             kinds, _, ends = _sent([f[3] for f in found], bits)
             keep = np.zeros(len(kinds), bool)
             for r, packed in zip(told.column("range").to_pylist(), told.column("kept").to_pylist()):
