@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_api_path, join_route, normalize_route, resolve_relative, without_query
+from ..plans.shared import written
 from .corpus import LOW_SIGNAL_FILE, LOW_SIGNAL_PATH, TEST_PATH
 
 Q = "['\"`]"
@@ -123,19 +124,19 @@ def synthetic_routes(files: DataFrame) -> DataFrame:
     return out.withColumn("method", F.when(F.col("method") == "REQUEST", "ALL").otherwise(F.col("method"))).filter("path <> ''").distinct()
 
 
-def mounted_routes(routes: DataFrame, mounts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """routes(repo, rel, method, path) under mounts(repo, rel, prefix, child): each route also with the prefixes of every mount path from a root, to
-    a depth. Only what the last step added is joined again."""
+def mounted_routes(routes: DataFrame, mounts: DataFrame) -> DataFrame:
+    """routes(repo, rel, method, path) under mounts(repo, rel, prefix, child): each route also with the prefixes of every mount path that leads to it, however
+    long. A path visits a file once, which ends mounts that run in a circle. Only what the last step added is joined again."""
     edges = mounts.select("repo", F.col("child").alias("rel"), "prefix", F.col("rel").alias("parent")).distinct()
-    step = routes.select("repo", "rel", "method", "path", F.col("rel").alias("at"), F.lit(0).alias("depth"))
-    out = step
-    for k in range(max_depth):
-        up = step.alias("s").join(edges.alias("e"), (F.col("s.repo") == F.col("e.repo")) & (F.col("s.at") == F.col("e.rel")))
-        step = up.select("s.repo", "s.rel", "s.method", join_route(F.col("e.prefix"), F.col("s.path")).alias("path"), F.col("e.parent").alias("at"), F.lit(k + 1).alias("depth")).distinct().checkpoint()
+    step = routes.select("repo", "rel", "method", "path", F.col("rel").alias("at"), F.array("rel").alias("seen")).distinct()
+    out = step.limit(0)
+    while True:
+        up = step.alias("s").join(edges.alias("e"), (F.col("s.repo") == F.col("e.repo")) & (F.col("s.at") == F.col("e.rel"))).filter(~F.array_contains("s.seen", F.col("e.parent")))
+        up = up.select("s.repo", "s.rel", "s.method", join_route(F.col("e.prefix"), F.col("s.path")).alias("path"), F.col("e.parent").alias("at"), F.array_append("s.seen", F.col("e.parent")).alias("seen"))
+        step = written(up.distinct(), "mounted")
         if step.isEmpty():
-            break
+            return out.select("repo", "rel", "method", "path").distinct()
         out = out.unionByName(step)
-    return out.filter("depth > 0").select("repo", "rel", "method", "path").distinct()
 
 
 def mount_edges(files: DataFrame) -> DataFrame:

@@ -40,13 +40,13 @@ def _mounted(t):
     checkpoint_dir(t.spark)
     routes = t.part.filter("p_partkey > 0").select(F.lit("svc").alias("repo"), F.expr("concat('f', p_partkey)").alias("rel"), F.lit("GET").alias("method"), F.expr("concat('/', p_type)").alias("path"))
     mounts = t.part.filter("p_partkey > 1").select(F.lit("svc").alias("repo"), F.expr("concat('f', p_partkey div 2)").alias("rel"), F.expr("concat('/m', p_partkey % 3, '/')").alias("prefix"), F.expr("concat('f', p_partkey)").alias("child"))
-    return X.mounted_routes(routes, mounts, 10)
+    return X.mounted_routes(routes, mounts)
 
 
 register("rt3_mounted_routes", _mounted, "", """
 WITH RECURSIVE w AS (
   SELECT p_partkey AS k, '/' || p_type AS path, p_partkey AS at_k, 0 AS depth FROM part WHERE p_partkey > 0
-  UNION ALL SELECT k, '/m' || CAST(at_k % 3 AS VARCHAR) || path, at_k // 2, depth + 1 FROM w WHERE at_k > 1 AND depth < 10
+  UNION ALL SELECT k, '/m' || CAST(at_k % 3 AS VARCHAR) || path, at_k // 2, depth + 1 FROM w WHERE at_k > 1
 ) SELECT DISTINCT 'svc' AS repo, 'f' || CAST(k AS VARCHAR) AS rel, 'GET' AS method, path FROM w WHERE depth > 0""")
 register("rt4_normalize_route", lambda t: t.pages.select("page_id", P.normalize_route(F.expr("replace(url, 'http', ' ')")).alias("path"), P.join_route(F.lit("v1/"), F.expr("regexp_extract(url, '://[^/]*(/[^?#]*)', 1)")).alias("joined")), "", r"""
 SELECT page_id, regexp_replace(regexp_replace('/' || trim(replace(url, 'http', ' ')), '/{2,}', '/', 'g'), '/$', '') AS path,

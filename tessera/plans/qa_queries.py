@@ -60,11 +60,11 @@ SELECT run_id, scenario, step, CASE WHEN coalesce(max(CASE WHEN status = 'FAIL'
 def retried(t):
     history = F.expr("CASE WHEN step % 4 = 0 THEN array('FAIL', 'PASS', 'FAIL') ELSE array('PASS') END")
     error = "CASE step % 6 WHEN 0 THEN 'HTTP 503 returned' WHEN 1 THEN 'expected 4 got 5' WHEN 2 THEN 'connection refused' WHEN 3 THEN 'TypeError: x; timeout' WHEN 4 THEN 'got 404' ELSE '' END"
-    return t.results.filter("run_id % 3 <> 0 OR status <> 'FAIL'").withColumn("retry_count", F.expr("int(CASE WHEN step % 4 = 0 THEN 3 ELSE 0 END)")).withColumn("retry_history", history).withColumn("error", F.expr(error)).withColumn("sla_ms", F.expr("CASE WHEN step % 5 = 0 THEN 10.0D END"))
+    return t.results.withColumn("status", F.expr("CASE WHEN run_id % 3 = 0 AND status = 'FAIL' THEN 'PASS' ELSE status END")).withColumn("retry_count", F.expr("int(CASE WHEN step % 4 = 0 THEN 3 ELSE 0 END)")).withColumn("retry_history", history).withColumn("error", F.expr(error)).withColumn("sla_ms", F.expr("CASE WHEN step % 5 = 0 THEN 10.0D END"))
 
 
-RETRIED = """, r AS (SELECT *, CASE WHEN step % 4 = 0 THEN 3 ELSE 0 END AS retry_count, CASE WHEN step % 5 = 0 THEN CAST(10.0 AS DOUBLE) END AS sla_ms,
- CASE step % 6 WHEN 0 THEN 'HTTP 503 returned' WHEN 1 THEN 'expected 4 got 5' WHEN 2 THEN 'connection refused' WHEN 3 THEN 'TypeError: x; timeout' WHEN 4 THEN 'got 404' ELSE '' END AS error FROM results WHERE run_id % 3 <> 0 OR status <> 'FAIL')"""
+RETRIED = """, r AS (SELECT * REPLACE (CASE WHEN run_id % 3 = 0 AND status = 'FAIL' THEN 'PASS' ELSE status END AS status), CASE WHEN step % 4 = 0 THEN 3 ELSE 0 END AS retry_count, CASE WHEN step % 5 = 0 THEN CAST(10.0 AS DOUBLE) END AS sla_ms,
+ CASE step % 6 WHEN 0 THEN 'HTTP 503 returned' WHEN 1 THEN 'expected 4 got 5' WHEN 2 THEN 'connection refused' WHEN 3 THEN 'TypeError: x; timeout' WHEN 4 THEN 'got 404' ELSE '' END AS error FROM results)"""
 register("qa5_verdict", lambda t: A.verdict(retried(t)), "results", RETRIED + f""", c AS (SELECT *, {CLASS} AS k FROM r),
 g AS (SELECT run_id, count(*) AS step_count, count(*) FILTER (WHERE k = 'STEP_PASS') AS passed, count(*) FILTER (WHERE k = 'STEP_SKIPPED') AS skipped, count(*) FILTER (WHERE k = 'STEP_FAIL_CRITICAL') AS crit, count(*) FILTER (WHERE retry_count >= 3) AS flaky, count(*) FILTER (WHERE k = 'STEP_FAIL_NON_CRITICAL') AS minor FROM c GROUP BY run_id)
 SELECT run_id, CASE WHEN crit > 0 THEN 'FAIL_CRITICAL' WHEN flaky > 0 THEN 'FAIL_FLAKY' WHEN minor > 0 THEN 'PARTIAL_PASS_NON_CRITICAL' WHEN skipped = step_count THEN 'NO_EXECUTION' ELSE 'ALL_PASS' END AS reason,
@@ -83,11 +83,16 @@ SELECT task_id, 'dispatch before evidence' AS violation FROM f WHERE d IS NOT NU
 UNION ALL SELECT task_id, 'dispatch before TDD' FROM f WHERE d IS NOT NULL AND (t IS NULL OR d < t)""")
 register("wn3_untimed_markers", lambda t: A.untimed_markers(t.log), "log", "SELECT task_id, count(*) FILTER (WHERE text LIKE '[P%') AS untimed FROM log GROUP BY task_id")
 register("wn5_latest_state", lambda t: A.latest_state(t.log), "log", "SELECT task_id, arg_max(replace(regexp_extract(text, 'open_doubts=(.*)', 1), '\"', ''), line_no) AS value FROM log WHERE text LIKE '[TERMINOLOGY]%' GROUP BY task_id")
-register("st6_missing_gates", lambda t: A.missing_gates(t.log.filter("task_id % 2 = 0 OR line_no < 4")), "log", """
-, l AS (SELECT * FROM log WHERE task_id % 2 = 0 OR line_no < 4), g AS (SELECT task_id, bool_or(text LIKE '[P4.0-EVAL%') AS e, bool_or(text LIKE '[P4.0-QA-CSV] approved=yes%') AS q, bool_or(text LIKE '[P4.0-TDD%') AS t, bool_or(text LIKE '[P4.1%') AS d FROM l GROUP BY task_id)
+def partly_silent(t):
+    """The log, later lines of every second task turned into notes."""
+    return t.log.withColumn("text", F.expr("CASE WHEN task_id % 2 = 0 OR line_no < 4 THEN text ELSE concat('note: ', text) END"))
+
+
+register("st6_missing_gates", lambda t: A.missing_gates(partly_silent(t)), "log", """
+, l AS (SELECT * REPLACE (CASE WHEN task_id % 2 = 0 OR line_no < 4 THEN text ELSE 'note: ' || text END AS text) FROM log), g AS (SELECT task_id, bool_or(text LIKE '[P4.0-EVAL%') AS e, bool_or(text LIKE '[P4.0-QA-CSV] approved=yes%') AS q, bool_or(text LIKE '[P4.0-TDD%') AS t, bool_or(text LIKE '[P4.1%') AS d FROM l GROUP BY task_id)
 SELECT task_id, CASE WHEN NOT e THEN 'eval' WHEN NOT q THEN 'qa' WHEN NOT t THEN 'tdd' WHEN NOT d THEN 'dispatch' END AS next_gate, CAST(CAST(NOT e AS INT) + CAST(NOT q AS INT) + CAST(NOT t AS INT) + CAST(NOT d AS INT) AS BIGINT) AS missing FROM g""")
-register("st7_gate_ledger_errors", lambda t: A.gate_ledger_errors(t.log.filter("task_id % 2 = 0 OR line_no < 4")), "log", """
-, l AS (SELECT * FROM log WHERE task_id % 2 = 0 OR line_no < 4), g AS (SELECT task_id, bool_or(text LIKE '[P4.0-EVAL%') AS e, bool_or(text LIKE '[P4.0-QA-CSV] approved=yes%') AS q, bool_or(text LIKE '[P4.0-TDD%') AS t, bool_or(text LIKE '[P4.1%') AS d FROM l GROUP BY task_id)
+register("st7_gate_ledger_errors", lambda t: A.gate_ledger_errors(partly_silent(t)), "log", """
+, l AS (SELECT * REPLACE (CASE WHEN task_id % 2 = 0 OR line_no < 4 THEN text ELSE 'note: ' || text END AS text) FROM log), g AS (SELECT task_id, bool_or(text LIKE '[P4.0-EVAL%') AS e, bool_or(text LIKE '[P4.0-QA-CSV] approved=yes%') AS q, bool_or(text LIKE '[P4.0-TDD%') AS t, bool_or(text LIKE '[P4.1%') AS d FROM l GROUP BY task_id)
 SELECT task_id, 'dispatch without evidence' AS error FROM g WHERE d AND NOT e UNION ALL SELECT task_id, 'evidence without QA' FROM g WHERE e AND NOT q UNION ALL SELECT task_id, 'dispatch without TDD' FROM g WHERE d AND NOT t""")
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.cycles import path_ends, strong_components
+from tessera.operators.facts import mounted_routes
 from tessera.operators.graph import evolution_chain, link_integrity, successors, topological_levels
 from tessera.operators.qa import validate_steps
 
@@ -85,3 +86,10 @@ def test_step_file_errors(spark):
     steps = spark.createDataFrame([(t, i, "rest", "x", d) for t, i, d in rows], "task_id int, id string, surface string, intent string, depends_on array<string>")
     got = sorted((r.task_id, r.id or "", r.error) for r in validate_steps(steps, ["rest"]).collect())
     assert got == [(1, "a", "dependency cycle"), (1, "b", "dependency cycle"), (1, "c", "dependency cycle"), (1, "d", "unknown dependency"), (1, "e", "dependency cycle"), (3, "", "no steps")]
+
+
+def test_deep_mounts_are_whole_and_circles_end(spark):
+    routes = spark.createDataFrame([("r", "f0", "GET", "/x"), ("r", "a", "GET", "/y")], "repo string, rel string, method string, path string")
+    mounts = spark.createDataFrame([("r", f"f{i + 1}", "/m", f"f{i}") for i in range(14)] + [("r", "a", "/p", "b"), ("r", "b", "/q", "a")], "repo string, rel string, prefix string, child string")
+    paths = {(r.rel, r.path) for r in mounted_routes(routes, mounts).collect()}
+    assert max(len(p) for _, p in paths) == 30 and paths == {("f0", "/m" * k + "/x") for k in range(1, 15)} | {("a", "/q/y")}
