@@ -10,8 +10,9 @@ by fewer tokens than bits. Survivors are verified on whole shingle sets.
 Skew: equal sets are one node. A token's documents are dealt to blocks of bounded size, and only a spanning forest of a block's candidates is passed on,
 surest pairs first, so m near copies give at most m - 1 pairs. Tokens of more than one block are then dealt again with what is linked known: members of
 the largest linked part, which need not meet each other, once for each block of the rest. Nodes that candidates connect are a family. One whose candidates
-were all verified is done; in the others whole sets meet, block by block, and a task passes on only links that join two parts. So each step's rows
-grow with the members of a token or family, not with their pairs, and no link is lost.
+were all verified is done; in the others whole sets meet, block by block, and a task passes on only links that join two parts. So the links that leave a
+task grow with the members of a token or family, and no link is lost; but a member that stays unlinked is sent to each block of like size, which makes the
+square of the members over the block's size in rows.
 
 Defined results: null, empty and white-space texts have the empty set, linked with nothing; repeated rows (of one id and text) give repeated rows; a null
 id is a document of its own whose links count but which never names a component unless alone; rows of one id with different texts keep their own sets;
