@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import qa as A
 from ..operators.graph import skip_propagation
+from ..operators.ordered import first_row_match, numbered, ordered_match, row_differences
 from .registry import register
 from .shared import checkpoint_dir
 
@@ -131,6 +132,19 @@ sk AS (SELECT DISTINCT d.task_id, d.id FROM d JOIN bad b ON d.task_id = b.task_i
 SELECT s.task_id, s.id, CASE WHEN sk.id IS NOT NULL THEN 'SKIPPED' ELSE status END AS status FROM s LEFT JOIN sk ON s.task_id = sk.task_id AND s.id = sk.id""")
 
 register("dq1_assert_table", lambda t: A.assert_table(t.orders, min_count=10, constant={"o_orderstatus": "O"}), "", "SELECT count(*) >= 10 AND count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM 'O') = 0 AS passed, count(*) AS actual_count FROM orders")
+
+
+def _expected_orders(t):
+    """Orders by date and key with their numbers; some prices are wrong, and the last rows are missing."""
+    rows = numbered(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice"), ["o_orderdate", "o_orderkey"])
+    return rows.withColumn("o_totalprice", F.expr("CASE WHEN o_orderkey % 97 = 5 THEN -1D ELSE o_totalprice END")).filter("o_orderkey % 1000 <> 999 OR row_no < 10").drop("o_orderdate")
+
+
+ORDERED = ", n AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_no FROM orders), d AS (SELECT * FROM n WHERE o_orderkey % 97 = 5 OR (o_orderkey % 1000 = 999 AND row_no >= 10))"
+register("dq1_row_differences", lambda t: row_differences(t.orders, _expected_orders(t), ["o_orderdate", "o_orderkey"]).select("row_no", "column"), "", ORDERED + """
+SELECT row_no, 'o_totalprice' AS "column" FROM d UNION ALL SELECT row_no, 'o_orderkey' FROM d WHERE o_orderkey % 1000 = 999 AND row_no >= 10""")
+register("dq1_ordered_match", lambda t: ordered_match(t.orders, _expected_orders(t), ["o_orderdate", "o_orderkey"]), "", ORDERED + "SELECT count(*) = 0 AS passed, min(row_no) AS first_difference, count(*) AS rows_differ FROM d")
+register("dq1_first_row", lambda t: first_row_match(t.lineitem, ["l_orderkey", "l_linenumber"], {"l_linenumber": 1, "l_returnflag": "R"}), "", "SELECT (SELECT l_linenumber = 1 AND l_returnflag = 'R' FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1) AS passed, count(*) AS actual_count FROM lineitem")
 register("dq2_orphan_rows", lambda t: A.orphan_rows(t.lineitem, t.orders.filter("o_orderkey % 3 <> 0"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_partkey", "l_linenumber"), "", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)")
 register("dq3_total_mismatch", lambda t: A.total_mismatch(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_totalprice", F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)")).select("o_orderkey", "o_totalprice", F.round("lines_total", 1).alias("lines_total")), "", """
 WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey, o_totalprice, round(coalesce(s, 0), 1) AS lines_total FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE abs(o_totalprice - coalesce(s, 0)) > 0.005""")
