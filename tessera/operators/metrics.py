@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import micros, pct_delta
+from .corpus import TEST_PATH
 
 
 def baseline_asof(checks: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -39,6 +40,14 @@ def commit_stats(commits: DataFrame) -> DataFrame:
     return commits.groupBy("author").agg(F.count("*").alias("n"), has("^feat").alias("feat"), has("^fix").alias("fix"), has("^(?:feat|fix)").alias("_f")).select("author", "n", "feat", "fix", (F.col("n") - F.col("_f")).alias("other"))
 
 
+def commit_totals(commits: DataFrame) -> DataFrame:
+    """commits(author, message, paths) per author, and of all as author ``(all)``: totals by message prefix, and commits that touch a test."""
+    has = lambda p: F.count_if(F.col("message").rlike(p))
+    tests = F.count_if(F.exists("paths", lambda p: F.concat(F.lit("/"), p).rlike(TEST_PATH) | p.rlike(r"(^|/)test_[^/]*$|_test\.[^/]*$")))
+    out = commits.withColumn("author", F.col("author").cast("string")).rollup("author").agg(F.count("*").alias("n"), has("^feat").alias("feat"), has("^fix").alias("fix"), tests.alias("with_tests"))
+    return out.withColumn("author", F.coalesce("author", F.lit("(all)"))).withColumn("other", F.col("n") - F.col("feat") - F.col("fix"))
+
+
 WEIGHTS = {"type": 25, "lint": 20, "tests": 30, "dead_code": 15, "shell": 10}
 
 
@@ -80,7 +89,7 @@ def regression_check(checks: DataFrame) -> DataFrame:
     """checks(id, ttfb, base_ttfb, total, base_total, size, base_size) in seconds and bytes: regressions and changes in percent."""
     worse = lambda now, base, factor, limit: (F.col(now) > factor * F.col(base)) | (F.col(now) > limit)
     bad = F.array_compact(F.array(F.when(worse("ttfb", "base_ttfb", 1.5, 0.5), F.lit("ttfb")), F.when(worse("total", "base_total", 1.5, 2.0), F.lit("total")), F.when((F.col("base_size") > 0) & (F.col("size") > 1.25 * F.col("base_size")), F.lit("size"))))
-    return checks.select("id", F.array_join(bad, ",").alias("regressions"), F.when(F.size(bad) > 0, "FAIL").otherwise("PASS").alias("verdict"), pct_delta(F.col("total"), F.col("base_total")).alias("total_pct"))
+    return checks.select("id", F.array_join(bad, ",").alias("regressions"), F.when(F.size(bad) > 0, "FAIL").otherwise("PASS").alias("verdict"), pct_delta(F.col("total"), F.col("base_total")).alias("total_pct"), pct_delta(F.col("ttfb"), F.col("base_ttfb")).alias("ttfb_pct"), pct_delta(F.col("size"), F.col("base_size")).alias("size_pct"))
 
 
 def coverage_matrix(scenarios: DataFrame) -> DataFrame:

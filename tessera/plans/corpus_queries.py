@@ -189,3 +189,10 @@ def _jsonl(t):
 
 
 register("io6_read_jsonl", _jsonl, "", "SELECT CASE WHEN event_id % 7 = 0 THEN 'invalid JSON' ELSE event_type END AS what, count(*) AS n, max(CASE WHEN event_id % 7 <> 0 THEN event_id END) AS last FROM events GROUP BY 1")
+_COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS {k}s" for k in ("type", "annotation", "method", "function"))
+register("ag3_totals_of_symbols_and_tiers", lambda t: C.scan_totals(t.code, C.extract_symbols(t.code), _hubs(t)), "code import_lines", HUBS + rf"""
+, h AS (SELECT f.repo, f.rel, CASE WHEN score >= 5 THEN 1 WHEN score >= 3 THEN 2 ELSE 0 END AS tier FROM files f JOIN scores s ON f.repo = s.repo AND s.stem = regexp_extract(f.rel, '([^/]*)\.[^.]*$', 1)),
+a AS (SELECT coalesce(repo, '(all)') AS repo, count(*) FILTER (WHERE {SOURCE}) AS sources, count(*) FILTER (WHERE {TEST}) AS tests, count(*) FILTER (WHERE regexp_matches(lower(rel), '\.(html|htm|vue|svelte|tsx|jsx)$')) AS ui, count(*) AS files FROM code GROUP BY ROLLUP (repo)),
+b AS (SELECT coalesce(repo, '(all)') AS repo, {_COUNTS} FROM ({SYMBOLS}) GROUP BY ROLLUP (repo)),
+c AS (SELECT coalesce(repo, '(all)') AS repo, count(*) FILTER (WHERE tier = 1) AS tier1, count(*) FILTER (WHERE tier = 2) AS tier2, count(*) FILTER (WHERE tier = 0) AS skipped FROM h GROUP BY ROLLUP (repo))
+SELECT a.*, b.* EXCLUDE (repo), c.* EXCLUDE (repo) FROM a JOIN b USING (repo) JOIN c USING (repo)""".replace("\\\\", "\\"))

@@ -17,6 +17,9 @@ register("wn2_period_over_period", lambda t: M.period_over_period(t.commits, "20
 , a AS (SELECT author, (epoch_us(TIMESTAMP '2024-01-02 00:00:00') - epoch_us(ts)) / 86400000000.0 AS age FROM commits), c AS (SELECT author, count(*) FILTER (WHERE age >= 0 AND age < 1) AS now, count(*) FILTER (WHERE age >= 1 AND age < 2) AS before FROM a GROUP BY author)
 SELECT author, now, before, now - before AS delta, CASE WHEN now > before THEN 'up' WHEN now < before THEN 'down' ELSE 'flat' END AS arrow FROM c""")
 register("ag14_commit_stats", lambda t: M.commit_stats(t.commits), "commits", "SELECT author, count(*) AS n, count(*) FILTER (WHERE message LIKE 'feat%') AS feat, count(*) FILTER (WHERE message LIKE 'fix%') AS fix, count(*) FILTER (WHERE message LIKE 'chore%') AS other FROM commits GROUP BY author")
+TOUCHED = "CASE event_id % 4 WHEN 0 THEN 'src/test/a.py' WHEN 1 THEN 'lib/test_b.py' WHEN 2 THEN 'src/contest.py' ELSE 'pkg/c_test.go' END"
+register("ag14_commit_totals", lambda t: M.commit_totals(t.commits.withColumn("paths", F.array(F.lit("README.md"), F.expr(TOUCHED.replace("event_id", "sha"))))), "commits", """
+SELECT coalesce(CAST(author AS VARCHAR), '(all)') AS author, count(*) AS n, count(*) FILTER (WHERE message LIKE 'feat%') AS feat, count(*) FILTER (WHERE message LIKE 'fix%') AS fix, count(*) FILTER (WHERE sha % 4 <> 2) AS with_tests, count(*) FILTER (WHERE message LIKE 'chore%') AS other FROM commits GROUP BY ROLLUP (author)""")
 CHECK = "CASE l_linenumber % 6 WHEN 0 THEN 'type' WHEN 1 THEN 'lint' WHEN 2 THEN 'tests' WHEN 3 THEN 'dead_code' WHEN 4 THEN 'shell' ELSE 'unknown' END"
 register("ag15_quality_score", lambda t: M.quality_score(t.lineitem.select(F.col("l_orderkey").alias("subject"), F.expr(CHECK).alias("check"), F.expr("CASE WHEN l_suppkey % 5 > 0 THEN l_partkey % 25 END").alias("errors"), F.expr("l_quantity").alias("passed"), F.lit(50).alias("total"))).withColumn("score", F.round("score", 6)), "", f"""
 WITH c AS (SELECT l_orderkey AS subject, {CHECK} AS k, CASE WHEN l_suppkey % 5 > 0 THEN l_partkey % 25 END AS e, l_quantity AS p FROM lineitem),
@@ -30,8 +33,8 @@ register("wn11_attempt_cap", lambda t: M.attempt_cap(t.events.select(F.col("user
 , e AS (SELECT user_id AS failure, event_id AS seq, 'fix' || CAST(event_id % 9 AS VARCHAR) AS fix, event_type = 'signup' AS ok FROM events)
 SELECT failure, seq, CAST(row_number() OVER w AS INTEGER) AS attempt, row_number() OVER (PARTITION BY failure, fix ORDER BY seq) > 1 AS repeated_fix, CASE WHEN sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) >= 3 THEN 'BLOCKED' WHEN ok THEN 'RESOLVED' ELSE 'RETRY' END AS state FROM e WINDOW w AS (PARTITION BY failure ORDER BY seq)""")
 register("qa10_regression_check", lambda t: M.regression_check(t.lineitem.select(F.expr("concat(l_orderkey, '/', l_linenumber, '/', l_partkey)").alias("id"), F.col("l_tax").alias("ttfb"), F.lit(0.04).alias("base_ttfb"), F.expr("l_discount * 30").alias("total"), F.expr("l_quantity / 25").alias("base_total"), F.col("l_extendedprice").alias("size"), F.expr("(l_linenumber % 3) * 9000.0").alias("base_size"))), "", """
-, c AS (SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) AS id, l_tax > 1.5 * 0.04 OR l_tax > 0.5 AS a, l_discount * 30 > 1.5 * (l_quantity / 25) OR l_discount * 30 > 2 AS b, l_linenumber % 3 > 0 AND l_extendedprice > 1.25 * ((l_linenumber % 3) * 9000.0) AS s, (l_discount * 30 - l_quantity / 25) / (l_quantity / 25) * 100 AS total_pct FROM lineitem)
-SELECT id, concat_ws(',', CASE WHEN a THEN 'ttfb' END, CASE WHEN b THEN 'total' END, CASE WHEN s THEN 'size' END) AS regressions, CASE WHEN a OR b OR s THEN 'FAIL' ELSE 'PASS' END AS verdict, total_pct FROM c""")
+, c AS (SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) AS id, l_tax > 1.5 * 0.04 OR l_tax > 0.5 AS a, l_discount * 30 > 1.5 * (l_quantity / 25) OR l_discount * 30 > 2 AS b, l_linenumber % 3 > 0 AND l_extendedprice > 1.25 * ((l_linenumber % 3) * 9000.0) AS s, (l_discount * 30 - l_quantity / 25) / (l_quantity / 25) * 100 AS total_pct, (l_tax - 0.04) / 0.04 * 100 AS ttfb_pct, CASE WHEN l_linenumber % 3 > 0 THEN (l_extendedprice - (l_linenumber % 3) * 9000.0) / ((l_linenumber % 3) * 9000.0) * 100 END AS size_pct FROM lineitem)
+SELECT id, concat_ws(',', CASE WHEN a THEN 'ttfb' END, CASE WHEN b THEN 'total' END, CASE WHEN s THEN 'size' END) AS regressions, CASE WHEN a OR b OR s THEN 'FAIL' ELSE 'PASS' END AS verdict, total_pct, ttfb_pct, size_pct FROM c""")
 register("ag11_coverage_matrix", lambda t: M.coverage_matrix(t.part.select(F.col("p_brand").alias("area"), F.col("p_type").alias("type"))), "", """
 , s AS (SELECT coalesce(p_brand, '(all)') AS area, coalesce(p_type, '(all)') AS type, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_type)) SELECT a.area, b.type, coalesce(n, 0) AS n FROM (SELECT DISTINCT area FROM s) a CROSS JOIN (SELECT DISTINCT type FROM s) b LEFT JOIN s ON s.area = a.area AND s.type = b.type""")
 register("ag18_test_case_audit", lambda t: M.test_case_audit(t.lineitem.select(F.expr("CASE WHEN l_linenumber = 3 THEN concat('tc', l_orderkey) ELSE concat('TC-', lpad(l_orderkey % 900, 3, '0'), l_linenumber) END").alias("id"), F.expr("concat('P', l_suppkey % 4)").alias("priority"), F.col("l_returnflag").alias("source"), F.expr("CASE WHEN l_partkey % 10 = 0 THEN ' ' ELSE 'do' END").alias("steps"))), "", """
