@@ -17,10 +17,14 @@ held by one task, in slices of chunks for its digest: about 30 bytes for a byte
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,14 @@ SHARD_BYTES, FEW_PAIRS = 2_000_000, 2_000_000
 _SHARD = "shard long, docs array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, chunks binary, firsts binary, pairs binary, links binary, link_firsts binary"
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker waits for further tasks beside others of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def coalesce(a_starts: np.ndarray, a_ends: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group (from 0) of each A interval and of each B interval."""
     starts, ends = np.concatenate([a_starts, b_starts]), np.concatenate([a_ends, b_ends])
@@ -90,11 +102,17 @@ class Tokenizers:
         return b"".join([self.a_bytes[i] for i in a.tolist()]) == text and b"".join([self.b_bytes[i] for i in b.tolist()]) == text
 
 
+@lru_cache(1)
+def tokenizers_of(a: str, b: str) -> Tokenizers:
+    """Both tokenizers, read once in each worker."""
+    return Tokenizers(a, b)
+
+
 class Aligner:
     """Chunks to (A tokens, B tokens, groups, groups spelt out, linked pairs a << 32 | b); a bounded cache holds them."""
 
-    def __init__(self, a: str, b: str, room: int = 60_000):
-        self.of, self.memo, self.odd = Tokenizers(a, b), Memo(room), False
+    def __init__(self, a: str, b: str, room: int = 120_000):
+        self.of, self.memo, self.odd = tokenizers_of(a, b), Memo(room), False
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of space + text, each with its leading space or line end."""
@@ -202,6 +220,8 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
                 part = batch.slice(i, j - i)
                 yield _shard(aligner, number, part.column(0).to_pylist(), part.column(1).to_pylist())
                 number += 1
+        del aligner, batches
+        give_back()
 
     return written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(work, _SHARD), "aligned")
 
