@@ -1,8 +1,8 @@
 """Positional full-text index, and phrase, prefix and boolean search in it.
 
 ``write_positions`` writes a row per term and block of documents: the documents, term counts, lengths and positions, and the greatest count and least length
-among them. A block is a hash range of documents of bounded size, the same for all terms, so a common term is as many rows as there are blocks, in many
-files; files are sorted by term, so words and prefixes are ranges of rows.
+among them. A block is a hash range of documents of bounded size, the same for all terms, so a common term is as many rows as there are blocks, each in a
+file of its own; files are sorted by term, so words and prefixes are ranges of rows in them.
 
 ``search_positions`` reads a query as words (all must occur), ``"a phrase"``, ``prefix*``, ``AND``, ``OR``, ``NOT`` and parentheses; words side by side
 bind closest, then NOT, AND, OR. A document scores the sum of BM25 parts of the query's phrases it holds (a word is a phrase of one), as often as a phrase
@@ -85,17 +85,20 @@ def _holds(tree: tuple, has) -> Column:
 
 
 def write_positions(docs: DataFrame, path: str, block_docs: int = 4096, files: int = 64) -> None:
-    """docs(doc_id, text) as a positional index under a path."""
-    rows = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = rows.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("t"))).alias("t")).withColumn("len", F.size("t").cast("long"))
-    totals = rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+    """docs(doc_id, text) as a positional index under a path, of at least ``files`` blocks.
+
+    What is shuffled are the texts, once, to the task of their block; terms are gathered there, and each task writes its own file."""
+    words = tokens(F.coalesce("text", F.lit("")))
+    sizes = docs.select("doc_id", F.size(words).alias("len")).groupBy("doc_id").agg(F.sum("len").alias("len"))
+    totals = sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
     totals.write.mode("overwrite").parquet(f"{path}/totals")
-    blocks = max(1, -(-docs.sparkSession.read.parquet(f"{path}/totals").first()["n_docs"] // block_docs))
-    words = rows.select("doc_id", "len", F.posexplode("t").alias("pos", "term")).groupBy("term", "doc_id", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    words = words.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    blocks = max(files, -(-docs.sparkSession.read.parquet(f"{path}/totals").first()["n_docs"] // block_docs))
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartitionById(blocks, "block")
+    rows = placed.select("block", "doc_id", words.alias("t")).groupBy("block", "doc_id").agg(F.flatten(F.array_sort(F.collect_list("t"))).alias("t")).withColumn("len", F.size("t").cast("long"))
+    rows = rows.select("block", "doc_id", "len", F.posexplode("t").alias("pos", "term")).groupBy("block", "term", "doc_id", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     held = F.array_sort(F.collect_list(F.struct("doc_id", "len", "positions")))  # of one term in one block of documents
-    rows = words.groupBy("term", "block").agg(held.alias("docs"), F.max(F.size("positions")).alias("max_tf"), F.min("len").alias("min_len"), F.count("*").alias("n"))
-    rows.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    rows = rows.groupBy("block", "term").agg(held.alias("docs"), F.max(F.size("positions")).alias("max_tf"), F.min("len").alias("min_len"), F.count("*").alias("n"))
+    rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def _postings(path: str, spark, words: tuple[str, ...], prefix: bool) -> DataFrame:
@@ -134,7 +137,8 @@ def search_positions(path: str, docs: DataFrame, query: str, k: int = 20, k1: fl
         out = None
         for i, (words, prefix) in enumerate(phrases):
             hits = phrase_hits(path, spark, words, prefix, blocks)
-            hits = hits.crossJoin(F.broadcast(dfs[i] if plain else (hits := written(hits, "hits")).agg(F.count("*").alias("df"))))  # one row
+            hits = hits if plain else written(hits, "hits")
+            hits = hits.crossJoin(F.broadcast(dfs[i] if plain else hits.agg(F.count("*").alias("df"))))  # one row
             hits = hits.select("doc_id", F.lit(i).alias("phrase"), "pos", (idf(F.col("df")) * part(F.col("tf"), F.col("len"))).alias("score"))
             out = hits if out is None else out.unionByName(hits)
         found = out.groupBy("doc_id").agg(F.collect_set("phrase").alias("held"), F.sum("score").alias("score"), F.min("pos").alias("pos"))

@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.operators.search import parse, search_positions, write_positions
 
 DOCS = [
@@ -76,3 +78,10 @@ def test_empty_index(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     write_positions(none, str(tmp_path / "i"))
     assert search_positions(str(tmp_path / "i"), none, "a OR b*").count() == 0
+
+
+def test_a_block_of_documents_is_one_file(spark, index):
+    """Postings stay in the task that their texts were shuffled to."""
+    rows = spark.read.parquet(f"{index}/postings").selectExpr("input_file_name() AS file", "block", "explode(docs) AS d").select("file", "block", "d.doc_id")
+    assert rows.groupBy("block").agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
+    assert rows.select("block").distinct().count() > 3 and rows.select("doc_id").distinct().count() == len(DOCS) - 2
