@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.cycles import path_ends, strong_components
 from tessera.operators.facts import mounted_routes
-from tessera.operators.graph import evolution_chain, link_integrity, successors, topological_levels
+from tessera.operators.graph import evolution_chain, link_integrity, provenance, reach, successors, topological_levels
 from tessera.operators.qa import validate_steps
 
 
@@ -93,3 +93,18 @@ def test_deep_mounts_are_whole_and_circles_end(spark):
     mounts = spark.createDataFrame([("r", f"f{i + 1}", "/m", f"f{i}") for i in range(14)] + [("r", "a", "/p", "b"), ("r", "b", "/q", "a")], "repo string, rel string, prefix string, child string")
     paths = {(r.rel, r.path) for r in mounted_routes(routes, mounts).collect()}
     assert max(len(p) for _, p in paths) == 30 and paths == {("f0", "/m" * k + "/x") for k in range(1, 15)} | {("a", "/q/y")}
+
+
+def test_rounds_beyond_the_broadcast_size(spark):
+    """Small and large rounds find the same, and the last join sends no table through the driver."""
+    rows = [(i // 2, i, "replaces") for i in range(2, 200)] + [(150, 3, "replaces"), (9, 9, "related")]
+    links = spark.createDataFrame(rows, "src long, dst long, type string")
+    edges = links.select(F.lit(0).alias("k"), "src", "dst")
+    start = spark.createDataFrame([(0, 1)], "k int, node long")
+    want = {(i, i.bit_length() - 1) for i in range(1, 200)}
+    for small in (0, 3, 10_000):
+        assert {(r.node, r.depth) for r in reach(start, edges, ["k"], small=small).collect()} == want
+    decisions = spark.createDataFrame([(i, f"P{i % 4}") for i in range(200)], "id long, product string")
+    found = provenance(decisions, links, 75)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.direction, r.id) for r in found.collect() if r.direction == "parent"} == {("parent", i) for i in (37, 18, 9, 4, 2, 1)}
