@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import join_route
 from tessera.operators.cycles import path_ends, strong_components
 from tessera.operators.facts import mounted_routes
 from tessera.operators.graph import evolution_chain, link_integrity, provenance, reach, successors, topological_levels
@@ -108,3 +109,33 @@ def test_rounds_beyond_the_broadcast_size(spark):
     found = provenance(decisions, links, 75)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.direction, r.id) for r in found.collect() if r.direction == "parent"} == {("parent", i) for i in (37, 18, 9, 4, 2, 1)}
+
+
+def test_mounts_keep_rows_and_paths_whatever_their_spelling(spark):
+    """Steps give what a plain walk with ``join_route`` gives, several prefixes of one mount and spaces at the ends included."""
+    routes = spark.createDataFrame([("r", "c", "GET", p) for p in ("", "/", "x", "/x /", "//y//", "/z/ ")], "repo string, rel string, method string, path string")
+    mounts = spark.createDataFrame([("r", "b", "/m/", "c"), ("r", "b", "/m", "c"), ("r", "b", "n /", "c"), ("r", "a", "", "b"), ("r", "top", "/", "a"), ("r", "c", "/q", "top")], "repo string, rel string, prefix string, child string")
+    walk, step = set(), {("c", p) for p in ("", "/", "x", "/x /", "//y//", "/z/ ")}
+    for parent, prefixes in (("b", ("/m/", "/m", "n /")), ("a", ("",)), ("top", ("/",))):
+        pairs = spark.createDataFrame([(a, p) for a in prefixes for _, p in step], "a string, p string")
+        step = {(parent, r[0]) for r in pairs.select(join_route(F.col("a"), F.col("p"))).collect()}
+        walk |= {p for _, p in step}
+    rows = mounted_routes(routes, mounts).collect()
+    assert {r.path for r in rows} == walk and len(rows) == len(walk)
+    one = mounted_routes(routes, mounts.filter("prefix NOT IN ('/m', 'n /')")).collect()
+    assert len(one) == len(set(one)) and {r.path for r in one} <= walk
+
+
+def test_mounts_are_worked_out_once(spark):
+    from pyspark.sql.types import StringType
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf(StringType())
+    def counted(x):
+        seen.add(1)
+        return x
+
+    mounts = spark.range(1, 20).select(F.lit("r").alias("repo"), F.expr("concat('f', id + 1)").alias("rel"), F.lit("/m").alias("prefix"), counted(F.expr("concat('f', id)")).alias("child"))
+    routes = spark.createDataFrame([("r", "f1", "GET", "/x")], "repo string, rel string, method string, path string")
+    assert mounted_routes(routes, mounts).count() == 19 and seen.value < 2 * 20
