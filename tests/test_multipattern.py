@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.operators.corpus import IMPORT, SYMBOL_RULES, TEST_NAME, pattern_hits
-from tessera.operators.multipattern import literals, matching, occurrences
+from tessera.operators.multipattern import literals, matching, occurrences, starts_of
 
 LINES = [
     "export class Widget7 extends Base {", "  public static void Main(String[] a) {", "func (s *Server) Serve1() error {", "it(\"should fail\")", "import x from './s1'", "TYPE Order struct {", "colour color colr", "a+b(c)", "", None, "type Order struct {",
@@ -61,3 +61,14 @@ def test_occurrences_do_not_overlap_and_tables_may_be_empty(spark):
     words = spark.createDataFrame([("aa",), ("a",), ("b",), ("",), (None,), ("zz",)], "stem string")
     assert sorted((r.k, r.stem, r.times_found) for r in occurrences(lines, words, "line", "stem").collect()) == [(1, "a", 5), (1, "aa", 2), (1, "b", 1)]
     assert occurrences(lines.limit(0), words, "line", "stem").count() == 0 and occurrences(lines, words.limit(0), "line", "stem").count() == 0
+
+
+def test_lines_are_read_once_for_any_number_of_words(spark):
+    """Only the lengths of words by their start go through the driver, and the lines stand once in the plan."""
+    words = spark.range(120_000).selectExpr("concat(CASE WHEN id % 2 = 0 THEN 'p' ELSE 's' END, id) AS stem").unionByName(spark.createDataFrame([("é",), ("a b",)], "stem string"))
+    lines = spark.createDataFrame([(1, "=== /r/src/p12.ts ==="), (2, "é p1 p12 a b"), (3, "s3s3p119998")], "k int, line string")
+    assert starts_of(words, "stem").count() == 4
+    found = occurrences(lines, words, "line", "stem")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = {(1, "p12", 1), (2, "p12", 1), (2, "é", 1), (2, "a b", 1), (3, "s3", 2), (3, "p119998", 1)}
+    assert {(r.k, r.stem, r.times_found) for r in found.collect()} == want
