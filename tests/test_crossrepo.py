@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import crossrepo as J
-from tessera.plans import registry
+from tessera.plans import crossrepo_queries, registry
+from tessera.plans.fixtures import Inputs
 
 
 def test_templates_meet_paths_by_their_keys(spark):
@@ -21,3 +22,11 @@ def test_path_templates_are_not_paired_by_length_alone(spark, sf_dir):
     plan = registry.queries()["jn2_path_template_match"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert any("_key" in line for line in joins)
+
+
+def test_urls_of_calls_are_worked_out_once(spark, sf_dir):
+    """Joins read the table of URLs, and the role fallback the distinct unmatched calls; neither works the call sites out again."""
+    t = Inputs(spark, sf_dir)
+    assert crossrepo_queries.calls(t) is crossrepo_queries.calls(t)
+    assert "event_id" not in crossrepo_queries.unmatched(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("/calls-" in f for f in crossrepo_queries.roles_of(t)[0].inputFiles())
