@@ -1,16 +1,18 @@
 """Phrase collocation mining: Apriori levels counted with broadcast double-array tries.
 
-Texts are cut into pieces and words once and written as shards of one language each: a dictionary of words, and codes in which 0 ends a piece. Frequent
-words come from the dictionaries' counts. Then, for each further length:
-
-1. Candidates. An occurrence whose words but the last are a frequent phrase (a walk of the last level's tries) falls into a hash bucket; each shard sends
-   its buckets and counts to the bucket's range, and hears which of its own buckets hold at least ``min_count`` occurrences over all shards. A bucket's sum is never less
-   than a phrase's count, so what is left out can't be frequent. Distinct survivors whose other part is frequent as well are the candidates.
+Texts are cut into pieces and words once and written as shards of one language each: a dictionary of words, and codes in which 0 ends a piece. Words are
+counted from the dictionaries, frequent ones get a number, and shards are written anew with these numbers alone; other words end a piece like its marks,
+as no frequent phrase holds them. Then, for each further length:
+
+1. Candidates. An occurrence whose words but the last are a frequent phrase (a walk of the last level's tries; any word, for the first) falls into a hash
+   bucket; each shard sends its buckets and counts to the bucket's range, and hears which of its own buckets hold at least ``min_count`` occurrences over all
+   shards. A bucket's sum is never less than a phrase's count, so what is left out can't be frequent. Distinct survivors whose other part is frequent as
+   well are the candidates.
 2. Counting. Candidates are dealt into tries of at most about ``block`` phrases, which are built in tasks; a few at a time are broadcast, and each pass
    walks all positions of a shard at once, level by level. Accepting states are counted with bincount, and the shards' counts are summed.
 
 Work and messages grow with the text, tries in number and not in size; nothing is kept of all phrases outside of tables. A pass reads the shards once for
-``per_pass`` tries, so passes grow with the number of candidates.
+``per_pass`` tries, so passes grow with the number of candidates; it reads numbers, no strings. A phrase's key is its words' numbers, 8 bytes each.
 
 Defined results: null text has no words; null language is ``und``; repeated rows count as often as they stand there; words of a phrase lie in one piece;
 other columns are ignored; an empty table gives no rows. A text is cut by one task as a whole, about 60 bytes of memory for a byte of it.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .double_array import DoubleArray, build
 from .shingles import mix
-from .wordcodes import byte_class, row_slices, utf8, words_of
+from .wordcodes import byte_class, row_slices, words_of
 
 INSIDE, BREAKS = byte_class(r"[^ \t.,;:!?\n-\r]"), ~byte_class(r"[^.,;:!?\n-\r]")
 SHARD_BYTES, BLOCK, PER_PASS, RANGE_BITS = 6_000_000, 150_000, 6, 22
@@ -41,49 +43,83 @@ _ODD = np.random.default_rng(20240202).integers(0, 1 << 64, 65, dtype=np.uint64)
 def token_shards(docs: DataFrame, lang: str = "lang", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows (shard, lang, n, words, counts, codes), written to the shared folder: words[i] is code i + 1 and stands counts[i] times, 0 ends a piece."""
 
+    def cut(name: str, texts: list[pa.Array], shard: int) -> Iterator[pa.RecordBatch]:
+        found = words_of(pa.concat_arrays(texts), INSIDE)
+        if not len(found.codes):
+            return
+        pieces = np.cumsum(BREAKS[found.data], dtype=np.int32)[found.begins]
+        owner = np.repeat(np.arange(len(found.counts), dtype=np.int32), found.counts)
+        fresh = np.append((np.diff(pieces) != 0) | (np.diff(owner) != 0), True)
+        codes = np.zeros(len(fresh) + int(fresh.sum()), "<i4")
+        codes[np.arange(len(fresh)) + np.cumsum(fresh) - fresh] = found.codes + 1
+        counts = np.bincount(found.codes, minlength=len(found.dictionary))
+        words, counts = (pa.ListArray.from_arrays([0, len(x)], x) for x in (found.dictionary.cast(pa.string()), pa.array(counts, pa.int64())))
+        made = [pa.array([shard]), pa.array([name]), pa.array([len(found.codes)]), words, counts, pa.array([codes.tobytes()], pa.binary())]
+        yield pa.record_batch(made, names=["shard", "lang", "n", "words", "counts", "codes"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
+        shard, held, sizes = TaskContext.get().partitionId() << 32, {}, {}  # texts of each language that wait for a shard to fill, and their bytes
         for batch in batches:
-            for a, b in row_slices(batch.column(1), shard_bytes):
-                part = batch.slice(a, b - a)
-                for name in pc.unique(part.column(0)).to_pylist():
-                    found = words_of(part.filter(pc.equal(part.column(0), name)).column(1), INSIDE)
-                    if not len(found.codes):
-                        continue
-                    pieces = np.cumsum(BREAKS[found.data], dtype=np.int32)[found.begins]
-                    texts = np.repeat(np.arange(len(found.counts)), found.counts)
-                    fresh = np.append((np.diff(pieces) != 0) | (np.diff(texts) != 0), True)
-                    codes = np.zeros(len(fresh) + int(fresh.sum()), "<i4")
-                    codes[np.arange(len(fresh)) + np.cumsum(fresh) - fresh] = found.codes + 1
-                    counts = np.bincount(found.codes, minlength=len(found.dictionary))
-                    made = [pa.array([shard]), pa.array([name]), pa.array([len(found.codes)]), pa.array([found.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
-                    yield pa.record_batch([*made, pa.array([codes.tobytes()], pa.binary())], names=["shard", "lang", "n", "words", "counts", "codes"])
-                    shard += 1
+            for name in pc.unique(batch.column(0)).to_pylist():
+                texts = batch.column(1).filter(pc.equal(batch.column(0), name))
+                for a, b in row_slices(texts, shard_bytes):
+                    part = texts.slice(a, b - a)
+                    size = pc.sum(pc.binary_length(part)).as_py() or 0
+                    if name in held and sizes[name] + size > shard_bytes:
+                        yield from cut(name, held.pop(name), shard)
+                        shard += 1
+                    sizes[name] = size + (sizes[name] if name in held else 0)
+                    held.setdefault(name, []).append(part)
+            while len(held) > 1 and sum(sizes[x] for x in held) > 4 * shard_bytes:
+                name = max(held, key=sizes.get)
+                yield from cut(name, held.pop(name), shard)
+                shard += 1
+        for name, texts in held.items():
+            yield from cut(name, texts, shard)
+            shard += 1
 
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     return written(texts.mapInArrow(work, "shard long, lang string, n long, words array<string>, counts array<long>, codes binary"), "tokens")
 
 
+def numbered(shards: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """The words that stand at least ``min_count`` times as rows (key, lang, phrase, f), and the shards of these words alone as rows (shard, ids, codes):
+    ids[i] is the number of code i + 1, 0 is anything else."""
+    entries = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("shard", "lang", "code", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
+    entries = entries.repartition("phrase", "lang").withColumn("row", F.monotonically_increasing_id())
+    same = Window.partitionBy("phrase", "lang")  # at most a row for each shard
+    entries = entries.select("shard", "code", "lang", "phrase", "row", F.sum("n").over(same).alias("f"), F.min("row").over(same).alias("id")).filter(F.col("f") >= min_count)
+    first = F.col("row") == F.col("id")
+    entries = written(entries.select("shard", "code", "id", *(F.when(first, F.col(c)).alias(c) for c in ("lang", "phrase", "f"))), "entries")
+    words = written(entries.filter("phrase IS NOT NULL").select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), "lang", "phrase", "f"), "words")
+
+    def work(shard, known):
+        if not known.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["shard", "ids", "codes"])
+        codes, known = np.frombuffer(shard.column("codes")[0].as_py(), "<i4"), known.sort_by("code")
+        number = np.zeros(codes.max() + 1, "<i4")
+        number[known.column("code").to_numpy() + 1] = np.arange(1, known.num_rows + 1)
+        codes = number[codes]
+        codes = codes[(codes > 0) | np.append(True, codes[:-1] > 0)]  # one end of a piece after another says no more
+        return pa.table([shard.column("shard"), pa.array([known.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["shard", "ids", "codes"])
+
+    pairs = shards.select("shard", "codes").groupBy("shard").cogroup(entries.select("shard", "code", "id").groupBy("shard"))  # one shard at a time
+    return words, written(pairs.applyInArrow(work, "shard long, ids binary, codes binary"), "numbers")
+
+
 class Trie:
-    """Phrases of one length as a double array behind their language, and the words' numbers."""
-
-    def __init__(self, langs: list[str], phrases: list[str]):
-        split = [p.split(" ") for p in phrases]
-        self.words = pa.array(sorted({w for s in split for w in s}), pa.string())
-        number = {w: i for i, w in enumerate(self.words.to_pylist())}
-        self.langs = {x: len(number) + i for i, x in enumerate(sorted(set(langs)))}
-        self.depth, self.size = len(split[0]) if split else 0, len(phrases)
-        rows = np.array([[self.langs[x], *(number[w] for w in s)] for x, s in zip(langs, split)], np.int64).reshape(len(phrases), self.depth + 1)
-        self.array: DoubleArray = build(rows, len(number) + len(self.langs))
-
-    def walk(self, lang: str, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of one length, a row of word numbers each, as a double array."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, (self.size, self.depth) = rows, rows.shape
+        self.words, place = np.unique(rows, return_inverse=True)
+        self.array: DoubleArray = build(place.reshape(rows.shape), len(self.words))
+
+    def walk(self, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, phrases): where phrases of this trie begin in a shard, and which."""
-        if lang not in self.langs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        root = self.array.step(np.ones(1, np.int64), np.array([self.langs[lang]]))[0]
-        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        word = np.concatenate([[-1], known])  # of each code; an end of piece is no word
-        state = self.array.step(np.full(len(word), root), word)[codes]  # the first level, once per distinct word
+        place = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
+        word = np.concatenate([[-1], np.where(self.words[place] == ids, place, -1)])  # of each code; an end of piece is no word
+        state = self.array.step(np.ones(len(word), np.int64), word)[codes]  # the first level, once per distinct word
         at = np.flatnonzero(state)
         state = state[at]
         for k in range(1, self.depth):
@@ -95,20 +131,20 @@ class Trie:
 
 
 def tries(phrases: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (trie, langs, phrases, packed), written: the phrases (lang, phrase) dealt by their first word into tries of about ``block``, so that a position
-    goes on in one trie only; a first word of more phrases than a block holds is dealt by phrase as well."""
+    """Rows (trie, keys, packed), written: the phrases' keys dealt by their first word into tries of about ``block``, so that a position goes on in one trie
+    only; a first word of more phrases than a block holds is dealt by phrase as well."""
     of = max(1, -(-phrases.count() // block))
 
     def work(group):
-        langs, said = group.column("lang").to_pylist(), group.column("phrase").to_pylist()
-        made = [group.column("trie")[:1].combine_chunks(), pa.array([langs], pa.list_(pa.string())), pa.array([said], pa.list_(pa.string())), pa.array([pickle.dumps(Trie(langs, said))], pa.binary())]
-        return pa.table(made, names=["trie", "langs", "phrases", "packed"])
+        keys = group.column("key").to_pylist()
+        rows = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(len(keys), -1)
+        return pa.table([group.column("trie")[:1].combine_chunks(), pa.array([keys], pa.list_(pa.binary())), pa.array([pickle.dumps(Trie(rows))], pa.binary())], names=["trie", "keys", "packed"])
 
-    rows = phrases.select("lang", "phrase", F.substring_index("phrase", " ", 1).alias("first"))
-    parts = rows.groupBy("lang", "first").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")).filter("parts > 1")  # few: each has a block of phrases
-    rows = rows.join(parts, ["lang", "first"], "left").withColumn("part", F.pmod(F.xxhash64("phrase"), F.coalesce("parts", F.lit(1))))
-    dealt = rows.select(F.pmod(F.xxhash64("lang", "first", "part"), F.lit(of)).cast("int").alias("trie"), "lang", "phrase")
-    return written(dealt.groupBy("trie").applyInArrow(work, "trie int, langs array<string>, phrases array<string>, packed binary"), "tries")
+    rows = phrases.select("key", F.substring("key", 1, 8).alias("first"))
+    parts = rows.groupBy("first").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")).filter("parts > 1")  # few: each has a block of phrases
+    rows = rows.join(parts, "first", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))))
+    dealt = rows.select(F.pmod(F.xxhash64("first", "part"), F.lit(of)).cast("int").alias("trie"), "key")
+    return written(dealt.groupBy("trie").applyInArrow(work, "trie int, keys array<binary>, packed binary"), "tries")
 
 
 def passes(built: DataFrame, per_pass: int) -> Iterator[tuple[int, Broadcast]]:
@@ -119,39 +155,43 @@ def passes(built: DataFrame, per_pass: int) -> Iterator[tuple[int, Broadcast]]:
         yield k, spark.sparkContext.broadcast({r.trie: pickle.loads(r.packed) for r in few})
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, str, pa.Array, np.ndarray]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            yield row, row.column("lang")[0].as_py(), row.column("words")[0].values, np.frombuffer(row.column("codes")[0].as_py(), "<i4")
-
+        for shard, ids, codes in zip(*(batch.column(c) for c in ("shard", "ids", "codes"))):
+            yield shard.as_py(), np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(codes.as_buffer(), "<i4")
+
+
+def _longer(trie: Trie | None, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases of a shard that are one word longer than a phrase of the trie (without one: than a word), as rows of word numbers; their counts."""
+    if trie is None:
+        at, rows, depth = np.flatnonzero(codes), ids.reshape(-1, 1), 1
+        phrase = codes[at] - 1
+    else:
+        (at, phrase), rows, depth = trie.walk(ids, codes), trie.rows, trie.depth
+    more = at + depth < len(codes)
+    at, phrase = at[more], phrase[more]
+    last = codes[at + depth]
+    more = last > 0
+    kinds, counts = np.unique((phrase[more].astype(np.int64) << 32) + last[more], return_counts=True)
+    return np.concatenate([rows[kinds >> 32], ids[(kinds & 0xFFFFFFFF) - 1].reshape(-1, 1)], 1), counts
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    data, bounds = utf8(words)
-    place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-    value = mix((place.astype(np.uint64) << np.uint64(8)) + data.astype(np.uint64))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    return mix(run[bounds[1:]] - run[bounds[:-1]])
 
+def _buckets(rows: np.ndarray, bits: int) -> np.ndarray:
+    """The hash bucket of each row of word numbers."""
+    total = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        total += mix(rows[:, k].astype(np.uint64)) * _ODD[k % 64]
+    return (mix(total) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _longer(trie: Trie, lang: str, words: pa.Array, codes: np.ndarray, bits: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, phrases, buckets) of all occurrences one word longer than a phrase of the trie; h has the hash of each code's word."""
-    at, phrase = trie.walk(lang, words, codes)
-    more = at + trie.depth < len(codes)
-    at, phrase = at[more], phrase[more]
-    more = codes[at + trie.depth] > 0
-    at, phrase = at[more], phrase[more]
-    total = np.full(len(at), _word_hashes(pa.array([lang]))[0])
-    for k in range(trie.depth + 1):
-        total += h[codes[at + k]] * _ODD[k % 64]
-    return at, phrase, (mix(total) >> np.uint64(64 - bits)).astype(np.int64)
 
-
-def _sent(buckets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sent(buckets: list[np.ndarray], counts: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's distinct buckets, their counts (up to 255), and where each range begins in them."""
-    kinds, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *buckets]), return_counts=True)
-    return kinds, np.minimum(counts, 255).astype(np.uint8), np.searchsorted(kinds, np.arange((1 << max(bits - RANGE_BITS, 0)) + 1) << RANGE_BITS)
+    both = np.concatenate([np.zeros(0, np.int64), *((b << 8) + np.minimum(c, 255) for b, c in zip(buckets, counts))])
+    both.sort()
+    begins = np.flatnonzero(np.diff(both >> 8, prepend=-1))
+    kinds = both[begins] >> 8
+    sums = np.minimum(np.add.reduceat(both & 255, begins), 255) if len(both) else both
+    return kinds, sums.astype(np.uint8), np.searchsorted(kinds, np.arange((1 << max(bits - RANGE_BITS, 0)) + 1) << RANGE_BITS)
 
 
 def bucket_bits(n: int) -> int:
@@ -159,26 +199,29 @@ def bucket_bits(n: int) -> int:
     return max(RANGE_BITS, int(n // 2).bit_length())
 
 
-def candidates(shards: DataFrame, frequent: DataFrame, built: DataFrame, min_count: int, n: int, per_pass: int = PER_PASS) -> DataFrame:
-    """Distinct (lang, phrase) one word longer than ``frequent`` that may stand ``min_count`` times."""
+def candidates(shards: DataFrame, frequent: DataFrame, built: DataFrame | None, min_count: int, n: int, per_pass: int = PER_PASS) -> DataFrame:
+    """Distinct keys one word longer than ``frequent`` that may stand ``min_count`` times; ``built`` has the tries of ``frequent``, none for words."""
     bits, out = bucket_bits(n), None
-    slim = shards.select("shard", "lang", "words", "codes")
-    for _, held in passes(built, per_pass):
-        part = slim.mapInArrow(_asker(held, bits), "shard long, range int, lows binary, cuts binary, counts binary")
+    for _, held in [(0, None)] if built is None else passes(built, per_pass):
+        part = shards.mapInArrow(_asker(held, bits), "shard long, range int, lows binary, cuts binary, counts binary")
         told = part.groupBy("range").applyInArrow(_teller(min_count), "shard long, range int, kept binary")
-        part = slim.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_namer(held, bits), "lang string, phrase string")  # one shard at a time
+        part = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_namer(held, bits), "key binary")  # one shard at a time
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return frequent.select("lang", "phrase").limit(0)
-    rest = F.expr("substring(phrase, length(substring_index(phrase, ' ', 1)) + 2)")
-    return out.distinct().withColumn("rest", rest).join(frequent.select("lang", F.col("phrase").alias("rest")), ["lang", "rest"], "left_semi").drop("rest")
+        return frequent.select("key").limit(0)
+    out = out.distinct()
+    return out if built is None else out.withColumn("rest", F.expr("substring(key, 9)")).join(frequent.select(F.col("key").alias("rest")), "rest", "left_semi").select("key")
 
 
-def _asker(held: Broadcast, bits: int):
+def _held(held: Broadcast | None) -> list[Trie | None]:
+    return [None] if held is None else [t for _, t in sorted(held.value.items())]
+
+
+def _asker(held: Broadcast | None, bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, lang, words, codes in _rows(batches):
-            h = np.concatenate([np.zeros(1, np.uint64), _word_hashes(words)])
-            kinds, counts, ends = _sent([_longer(t, lang, words, codes, bits, h)[2] for _, t in sorted(held.value.items())], bits)
+        for shard, ids, codes in _rows(batches):
+            found = [_longer(t, ids, codes) for t in _held(held)]
+            kinds, counts, ends = _sent([_buckets(f[0], bits) for f in found], [f[1] for f in found], bits)
             ranges = np.flatnonzero(np.diff(ends))
             lows, cuts, sums = [], [], []
             for r in ranges.tolist():
@@ -186,7 +229,7 @@ def _asker(held: Broadcast, bits: int):
                 lows.append((part & 0xFFFF).astype("<u2").tobytes())
                 cuts.append(np.bincount(part >> 16, minlength=1 << (RANGE_BITS - 16)).astype("<i4").tobytes())
                 sums.append(counts[ends[r] : ends[r + 1]].tobytes())
-            yield pa.record_batch([pa.array(np.full(len(ranges), row.column("shard")[0].as_py())), pa.array(ranges.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (lows, cuts, sums))], names=["shard", "range", "lows", "cuts", "counts"])
+            yield pa.record_batch([pa.array(np.full(len(ranges), shard)), pa.array(ranges.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (lows, cuts, sums))], names=["shard", "range", "lows", "cuts", "counts"])
 
     return work
 
@@ -205,45 +248,48 @@ def _teller(min_count: int):
     return work
 
 
-def _namer(held: Broadcast, bits: int):
+def _namer(held: Broadcast | None, bits: int):
     def work(shard, told):  # a shard, and a bit for each bucket that it sent
-        out = [pa.table([pa.array([], pa.string())] * 2, names=["lang", "phrase"])]
-        for _, lang, words, codes in _rows(shard.to_batches() if told.num_rows else []):
-            h = np.concatenate([np.zeros(1, np.uint64), _word_hashes(words)])
-            found = [(t, *_longer(t, lang, words, codes, bits, h)) for _, t in sorted(held.value.items())]
-            kinds, _, ends = _sent([f[3] for f in found], bits)
+        out = []
+        for _, ids, codes in _rows(shard.to_batches() if told.num_rows else []):
+            rows = [_longer(t, ids, codes)[0] for t in _held(held)]
+            buckets = np.concatenate([_buckets(r, bits) for r in rows])
+            kinds, _, ends = _sent([buckets], [np.zeros(1, np.int64)], bits)
             keep = np.zeros(len(kinds), bool)
             for r, packed in zip(told.column("range").to_pylist(), told.column("kept").to_pylist()):
                 keep[ends[r] : ends[r + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(ends[r + 1] - ends[r]))
-            for trie, at, phrase, bucket in found:
-                ok = keep[np.searchsorted(kinds, bucket)] if len(bucket) else np.zeros(0, bool)
-                _, first = np.unique(phrase[ok].astype(np.int64) * (len(words) + 1) + codes[at[ok] + trie.depth], return_index=True)
-                at = at[ok][first]
-                said = pc.binary_join_element_wise(*(words.take(pa.array(codes[at + k] - 1)) for k in range(trie.depth + 1)), " ")
-                out.append(pa.table([pa.array([lang] * len(at), pa.string()), said], names=["lang", "phrase"]))
-        return pa.concat_tables(out)
+            order = np.argsort(buckets)
+            order = order[np.repeat(keep, np.diff(np.append(np.searchsorted(buckets[order], kinds), len(order))))]
+            out.append(_keys(np.concatenate(rows)[np.sort(order)]))
+        return pa.table([pa.chunked_array(out, pa.binary())], names=["key"])
 
     return work
 
 
+def _keys(rows: np.ndarray) -> pa.Array:
+    """The keys of phrases given as rows of word numbers."""
+    m, depth = rows.shape
+    return pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * (8 * depth)), pa.py_buffer(rows.astype(">i8").tobytes())])
+
+
 def counted(shards: DataFrame, built: DataFrame, min_count: int, per_pass: int = PER_PASS) -> DataFrame:
-    """Rows (lang, phrase, f) of the tries' phrases that stand at least ``min_count`` times."""
+    """Rows (key, f) of the tries' phrases that stand at least ``min_count`` times."""
     out = None
     for _, held in passes(built, per_pass):
-        part = shards.select("lang", "words", "codes").mapInArrow(_counter(held), "trie int, i int, n long").groupBy("trie", "i").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+        part = shards.mapInArrow(_counter(held), "trie int, i int, n long").groupBy("trie", "i").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
         out = part if out is None else out.unionByName(part)
+    keys = built.select("trie", F.posexplode("keys").alias("i", "key"))
     if out is None:
-        return built.select(F.lit("").alias("lang"), F.lit("").alias("phrase"), F.lit(0).cast("long").alias("f")).limit(0)
-    names = built.select("trie", F.posexplode(F.arrays_zip("langs", "phrases")).alias("i", "p")).select("trie", "i", F.col("p.langs").alias("lang"), F.col("p.phrases").alias("phrase"))
-    return out.join(names, ["trie", "i"]).select("lang", "phrase", "f")
+        return keys.select("key", F.lit(0).cast("long").alias("f")).limit(0)
+    return out.join(keys, ["trie", "i"]).select("key", "f")
 
 
 def _counter(held: Broadcast):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(t.size, np.int64) for k, t in held.value.items()}
-        for _, lang, words, codes in _rows(batches):
+        for _, ids, codes in _rows(batches):
             for k, t in held.value.items():
-                sums[k] += np.bincount(t.walk(lang, words, codes)[1], minlength=t.size)
+                sums[k] += np.bincount(t.walk(ids, codes)[1], minlength=t.size)
         for k, n in sums.items():
             i = np.flatnonzero(n)
             yield pa.record_batch([pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(n[i])], names=["trie", "i", "n"])
@@ -252,13 +298,17 @@ def _counter(held: Broadcast):
 
 
 def frequent_phrases(shards: DataFrame, max_words: int, min_count: int, block: int = BLOCK, per_pass: int = PER_PASS) -> list[DataFrame]:
-    """Tables (lang, phrase, f) of the phrases of 1, 2, ... ``max_words`` words that stand at least ``min_count`` times."""
-    words = shards.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("counts").alias("f"))
-    levels = [written(words.filter(F.col("f") >= min_count), "words")]
+    """Tables (key, lang, phrase, f) of the phrases of 1, 2, ... ``max_words`` words that stand at least ``min_count`` times."""
     n = shards.agg(F.sum("n")).first()[0] or 0
-    for _ in range(1, max_words):
-        found = written(candidates(shards, levels[-1], tries(levels[-1], block), min_count, n, per_pass), "candidates")
-        levels.append(written(counted(shards, tries(found, block), min_count, per_pass), "phrases"))
+    words, shards = numbered(shards, min_count)
+    levels, built = [words], None
+    for size in range(2, max_words + 1):
+        found = written(candidates(shards, levels[-1], built, min_count, n, per_pass), "candidates")
+        often = counted(shards, tries(found, block), min_count, per_pass)
+        often = often.select("key", "f", F.substring("key", 1, 8 * size - 8).alias("before"), F.substring("key", 8 * size - 7, 8).alias("last"))
+        often = often.join(levels[-1].select(F.col("key").alias("before"), "lang", F.col("phrase").alias("said")), "before").join(words.select(F.col("key").alias("last"), F.col("phrase").alias("word")), "last")
+        levels.append(written(often.select("key", "lang", F.concat_ws(" ", "said", "word").alias("phrase"), "f"), "phrases"))
+        built = tries(levels[-1], block) if size < max_words else None
     return levels
 
 

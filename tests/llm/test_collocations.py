@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.collocations import bucket_bits, collocations, frequent_phrases, token_shards
+from tessera.llm.collocations import bucket_bits, collocations, frequent_phrases, numbered, token_shards
 from tessera.llm.double_array import build
 
 KIND = "doc_id long, text string, lang string, phrase string, n long"
@@ -60,6 +60,25 @@ def test_a_phrase_is_counted_across_shards(spark):
     assert [sorted((r.phrase, r.f) for r in x.collect()) for x in frequent_phrases(shards, 2, 12)] == [[("common", 12), ("pair", 12)], [("common pair", 12)]]
 
 
+def test_each_language_fills_its_shards(spark):
+    rows = [("one two three", x) for _ in range(30) for x in ("en", "de", "fr", "es")]
+    shards = token_shards(frame(spark, rows).coalesce(1), shard_bytes=200).collect()
+    assert len(shards) == 8 and sum(r.n for r in shards) == 360  # 15 texts of 13 bytes each fill one
+
+
+def test_passes_read_numbers_of_frequent_words_alone(spark):
+    rows = [(f"red car rare{i} rare{i}x, red rare{i}y", "en") for i in range(20)] + [("red car", "de")] * 4
+    words, shards = numbered(token_shards(frame(spark, rows), shard_bytes=300), 5)
+    key = {r.phrase: int.from_bytes(r.key, "big") for r in words.collect()}
+    assert sorted((r.lang, r.phrase, r.f) for r in words.collect()) == [("en", "car", 20), ("en", "red", 40)]
+    said = []
+    for r in shards.collect():
+        ids = np.frombuffer(r.ids, "<i8").tolist()
+        assert sorted(ids) == sorted(key.values())
+        said += "".join({0: ".", key["red"]: "r", key["car"]: "c"}[ids[c - 1] if c else 0] for c in np.frombuffer(r.codes, "<i4").tolist()).split(".")
+    assert sorted(filter(None, said)) == ["r"] * 20 + ["rc"] * 20
+
+
 def test_buckets_grow_with_the_text():
     assert bucket_bits(10) == bucket_bits(1000) and 2 ** bucket_bits(10**12) >= 10**12 // 2
 
