@@ -111,7 +111,7 @@ class Trie:
     """Phrases of one length, a row of word numbers each, as a double array."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows, (self.size, self.depth) = rows, rows.shape
+        self.size, self.depth = rows.shape
         self.words, place = np.unique(rows, return_inverse=True)
         self.array: DoubleArray = build(place.reshape(rows.shape), len(self.words))
 
@@ -122,11 +122,10 @@ class Trie:
         state = self.array.step(np.ones(len(word), np.int64), word)[codes]  # the first level, once per distinct word
         at = np.flatnonzero(state)
         state = state[at]
-        for k in range(1, self.depth):
-            inside = at + k < len(codes)
-            at, state = at[inside], state[inside]
+        for k in range(1, self.depth):  # codes end in 0, so that behind a word there is always one more
             state = self.array.step(state, word[codes[at + k]])
-            at, state = at[state > 0], state[state > 0]
+            alive = np.flatnonzero(state)
+            at, state = at[alive], state[alive]
         return at, self.array.leaf[state]
 
 
@@ -164,16 +163,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
 def _longer(trie: Trie | None, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct phrases of a shard that are one word longer than a phrase of the trie (without one: than a word), as rows of word numbers; their counts."""
     if trie is None:
-        at, rows, depth = np.flatnonzero(codes), ids.reshape(-1, 1), 1
+        at, depth, size = np.flatnonzero(codes), 1, len(ids)
         phrase = codes[at] - 1
     else:
-        (at, phrase), rows, depth = trie.walk(ids, codes), trie.rows, trie.depth
-    more = at + depth < len(codes)
-    at, phrase = at[more], phrase[more]
+        (at, phrase), depth, size = trie.walk(ids, codes), trie.depth, trie.size
     last = codes[at + depth]
-    more = last > 0
-    kinds, counts = np.unique((phrase[more].astype(np.int64) << 32) + last[more], return_counts=True)
-    return np.concatenate([rows[kinds >> 32], ids[(kinds & 0xFFFFFFFF) - 1].reshape(-1, 1)], 1), counts
+    more = np.flatnonzero(last)
+    at, phrase, last = at[more], phrase[more], last[more]
+    kinds, counts = np.unique((phrase.astype(np.int64) << 32) + last, return_counts=True)
+    some = np.zeros(size, np.int64)  # where each phrase stands once
+    some[phrase] = at
+    at = some[kinds >> 32]
+    return ids[np.stack([*(codes[at + k] for k in range(depth)), kinds & 0xFFFFFFFF], 1) - 1], counts
 
 
 def _buckets(rows: np.ndarray, bits: int) -> np.ndarray:

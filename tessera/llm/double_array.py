@@ -25,7 +25,7 @@ def digits_for(words: int) -> int:
 @dataclass
 class DoubleArray:
     base: np.ndarray  # int32; slot 0 is dead, slot 1 the root
-    check: np.ndarray  # int32
+    check: np.ndarray  # int32; -1 where no node is, so that nothing follows from slot 0
     leaf: np.ndarray  # int32: at the last slot of phrase i, i; else -1
     digits: int
 
@@ -34,7 +34,7 @@ class DoubleArray:
         state = np.where(word < 0, 0, state)
         for k in range(self.digits - 1, -1, -1):
             slot = self.base[state] + ((word >> (8 * k)) & 255)
-            state = np.where((self.check[slot] == state) & (state > 0), slot, 0)
+            state = np.where(self.check[slot] == state, slot, 0)
         return state
 
 
@@ -84,7 +84,7 @@ def build(phrases: np.ndarray, words: int, seed: int = 7) -> DoubleArray:
     slot = np.ones(begun, np.int64)
     slot[1:] = place[up[1:]] + by[1:]
     size = int(max(slot.max(initial=1), place.max(initial=0))) + BASE + 1
-    base, check, leaf = np.zeros(size, np.int32), np.zeros(size, np.int32), np.full(size, -1, np.int32)
+    base, check, leaf = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     base[slot], check[slot[1:]] = place, slot[up[1:]]
     if m:
         leaf[slot[parent]] = order
