@@ -29,10 +29,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again. Survives lost executors."""
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it again. Survives lost executors. options: of the Parquet writer."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,10 @@ tokenizer joins a single space or line end between two other characters to the o
 by its pattern, B has no such piece, which is looked up), a text is cut there into chunks; a chunk's groups are worked out once and kept in a task's
 bounded cache, many new chunks in one call of each tokenizer.
 
-``align`` writes shards: of some texts their results, the chunk of each place, and the linked pairs of each distinct chunk. A pair's count is the number of
-texts that hold it linked; tasks count their own texts' distinct pairs, and only sums by pair are shuffled. The counts go back to the shards by
-broadcast where they are counted to be few, else by a join on the distinct pairs of each shard.
+``align`` writes shards: of some texts their results, their distinct linked pairs, and which of these each text holds how often. A pair's count is the
+number of texts that hold it linked; shards count their own texts, and only sums by pair are shuffled. The counts go back to the shards by broadcast where
+they are counted to be few, else by a join on the distinct pairs of each shard. A shard is a row: of few texts, and of a long text it grows with the
+distinct pairs alone. Files of shards have small pages and row groups, so that what the JVM holds does not depend on how much a task reads or writes.
 
 Defined results: a text that is null or empty, or whose joined A or B bytes differ from space + text, has no tokens (zeros, and '' as digest); repeated
 rows are texts of their own, each counted; a row without id keeps its null id; other columns are ignored; an empty table gives no rows. A whole text is
@@ -37,8 +38,10 @@ from .memo import Memo
 from .wordcodes import row_slices
 
 MARK, LETTERS = "▁", "A-Za-zÀ-ÖØ-öø-ÿ"
-SHARD_BYTES, FEW_PAIRS = 2_000_000, 2_000_000
-_SHARD = "shard long, docs array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, chunks binary, firsts binary, pairs binary, links binary, link_firsts binary"
+SHARD_BYTES, FEW_PAIRS = 250_000, 2_000_000
+_SHARD = "shard long, docs array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pairs array<long>, pair_docs array<long>, firsts binary, held binary, times binary"
+#: Parquet looks at sizes after 100 rows first, unless told; its pages and row groups are held whole by the writer and by the reader.
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size": 256 << 10, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def give_back() -> None:
@@ -158,8 +161,21 @@ class Aligner:
         return True
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    firsts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[firsts], np.add.reduceat(values[order], firsts) if len(firsts) else values[:0]
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
 def _shard(aligner: Aligner, number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
-    """Results of some texts, which chunks they hold, and the chunks' pairs."""
+    """Results of some texts, their distinct pairs with the number of these texts that hold each, and each text's pairs with their number of links."""
     memo = aligner.memo
     memo.turn()
     place: dict[str, int] = {}
@@ -178,36 +194,23 @@ def _shard(aligner: Aligner, number: int, ids: list, texts: list[str | None]) ->
         for c in kinds.difference(place):
             place[c] = len(known)
             known.append(got[c])
-        numbers.append(np.fromiter(map(place.__getitem__, chunks), np.int32, len(chunks)))
-        n_of.append(len(chunks))
+        which, times = np.unique(np.fromiter(map(place.__getitem__, chunks), np.int32, len(chunks)), return_counts=True)
+        numbers.append((which, times))
+        n_of.append(len(which))
         memo.turn()
     counts = np.array([(k[0], k[1], k[2], len(k[4]) // 8) for k in known], np.int64).reshape(-1, 4)
-    flat, firsts = np.concatenate([np.zeros(0, np.int32), *numbers]), np.concatenate([[0], np.cumsum(n_of)]).astype(np.int64)
-    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[flat], axis=0)])[firsts]
-    totals = np.diff(sums, axis=0)
+    chunk, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*numbers))
+    totals = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[chunk] * times[:, None], axis=0)])[np.concatenate([[0], np.cumsum(n_of)]).astype(np.int64)], axis=0)
     pairs, links = np.unique(np.frombuffer(b"".join([k[4] for k in known]), np.int64), return_inverse=True)
-    link_firsts = np.concatenate([[0], np.cumsum(counts[:, 3])])
-    lists = [pa.array([totals[:, k].tolist()], pa.list_(pa.int64())) for k in range(4)]
-    raw = [pa.array([x.tobytes()], pa.binary()) for x in (flat, firsts, pairs, links.astype(np.int32), link_firsts.astype(np.int32))]
-    return pa.record_batch([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), *lists, pa.array([shas], pa.list_(pa.string())), *raw], names=[f.split()[0] for f in _SHARD.split(", ")])
-
-
-def _arrays(row: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Chunk of each place, first place of each text, distinct pairs, pair of each link, first link of each chunk - of a shard."""
-    get = lambda name, kind: np.frombuffer(row.column(name)[0].as_py(), kind)
-    return get("chunks", np.int32), get("firsts", np.int64), get("pairs", np.int64), get("links", np.int32), get("link_firsts", np.int32)
-
-
-def _pairs_of_texts(flat, firsts, links, link_firsts, n_pairs) -> np.ndarray:
-    """How many texts of a shard hold each of its pairs."""
-    doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    n_chunks = max(len(link_firsts) - 1, 1)
-    held = np.unique(doc * n_chunks + flat)
-    chunk, doc = held % n_chunks, held // n_chunks
-    per = np.diff(link_firsts)[chunk] if len(chunk) else np.zeros(0, np.int64)
-    at = np.repeat(link_firsts[chunk] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-    key = np.unique(np.repeat(doc, per) * max(n_pairs, 1) + links[at])
-    return np.bincount(key % max(n_pairs, 1), minlength=n_pairs)
+    per = counts[chunk, 3]  # links of each chunk of a text
+    at = np.repeat(np.cumsum(counts[:, 3])[chunk] - np.cumsum(per), per) + np.arange(per.sum())
+    doc = np.repeat(np.arange(len(texts)), n_of)
+    key, times = _summed(np.repeat(doc, per) * max(len(pairs), 1) + links[at], np.repeat(times, per))
+    doc, held = np.divmod(key, max(len(pairs), 1))
+    firsts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (*totals.T, pairs, np.bincount(held, minlength=len(pairs)))]
+    raw = [pa.array([x], pa.binary()) for x in (firsts.astype(np.int64).tobytes(), _narrow(held), _narrow(times))]
+    return pa.record_batch([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), *lists[:4], pa.array([shas], pa.list_(pa.string())), *lists[4:], *raw], names=[f.split()[0] for f in _SHARD.split(", ")])
 
 
 def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -223,20 +226,12 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
         del aligner, batches
         give_back()
 
-    return written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(work, _SHARD), "aligned")
+    return written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(work, _SHARD), "aligned", SMALL_GROUPS)
 
 
 def pair_counts(shards: DataFrame) -> DataFrame:
     """Rows (pair, docs, best): the texts that hold each pair linked, and whether no other pair of its A id is in more. pair is a << 32 | b."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                flat, firsts, pairs, links, link_firsts = _arrays(batch.slice(i, 1))
-                n = _pairs_of_texts(flat, firsts, links, link_firsts, len(pairs))
-                yield pa.record_batch([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "docs"])
-
-    counts = shards.select("chunks", "firsts", "pairs", "links", "link_firsts").mapInArrow(work, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+    counts = shards.select(F.inline(F.arrays_zip("pairs", "pair_docs")).alias("pair", "docs")).groupBy("pair").agg(F.sum("docs").alias("docs"))
     counts = written(counts.withColumn("a", F.shiftright("pair", 32)), "pairs")
     top = counts.groupBy("a").agg(F.max("docs").alias("top"))
     return counts.join(top, "a").select("pair", "docs", (F.col("docs") == F.col("top")).alias("best"))
@@ -244,12 +239,11 @@ def pair_counts(shards: DataFrame) -> DataFrame:
 
 def _scored(row: pa.RecordBatch, docs: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sum of counts, best links) of each text of a shard, from those of its distinct pairs."""
-    flat, firsts, _, links, link_firsts = _arrays(row)
-    out = []
-    for value in (docs, best.astype(np.int64)):
-        chunk = np.diff(np.concatenate([[0], np.cumsum(value[links])])[link_firsts])
-        out.append(np.diff(np.concatenate([[0], np.cumsum(chunk[flat])])[firsts]))
-    return out[0], out[1]
+    firsts, held, times = (row.column(name)[0].as_buffer() for name in ("firsts", "held", "times"))
+    firsts = np.frombuffer(firsts, np.int64)
+    held, times = (np.frombuffer(x, f"u{x.size // max(int(firsts[-1]), 1) or 1}") for x in (held, times))
+    total, n_best = (np.diff(np.concatenate([[0], np.cumsum(value[held] * times.astype(np.int64))])[firsts]) for value in (docs, best))
+    return total, n_best
 
 
 def alignments(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", few: int = FEW_PAIRS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -274,26 +268,20 @@ def alignments(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str =
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1)
-                    at = np.searchsorted(pair, _arrays(row)[2])
+                    at = np.searchsorted(pair, row.column("pairs")[0].values.to_numpy())
                     yield rows(row, docs[at], best[at])
 
-        return shards.drop("shard").mapInArrow(look_up, schema)
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                pairs = _arrays(batch.slice(i, 1))[2]
-                yield pa.record_batch([pa.array(np.full(len(pairs), batch.column("shard")[i].as_py())), pa.array(pairs)], names=["shard", "pair"])
+        return shards.drop("shard", "pair_docs").mapInArrow(look_up, schema)
 
-    asked = shards.select("shard", "chunks", "firsts", "pairs", "links", "link_firsts").mapInArrow(distinct, "shard long, pair long")
+    asked = shards.select("shard", F.explode("pairs").alias("pair"))
     told = asked.join(counts, "pair").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pair", "docs", "best"))).alias("told"))  # of one shard's distinct pairs
-    told = told.select("shard", F.col("told.docs").alias("pair_docs"), F.col("told.best").alias("pair_best"))
+    told = told.select("shard", F.col("told.docs").alias("told_docs"), F.col("told.best").alias("told_best"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                docs, best = (np.array(row.column(c)[0].as_py() or [], kind) for c, kind in (("pair_docs", np.int64), ("pair_best", bool)))
+                docs, best = (np.array(row.column(c)[0].as_py() or [], kind) for c, kind in (("told_docs", np.int64), ("told_best", bool)))
                 yield rows(row, docs, best)
 
-    return shards.join(told, "shard", "left").drop("shard").mapInArrow(joined, schema)
+    return shards.drop("pairs", "pair_docs").join(told, "shard", "left").drop("shard").mapInArrow(joined, schema)

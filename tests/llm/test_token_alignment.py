@@ -1,10 +1,12 @@
 """Alignment of two tokenizers against a brute-force version on whole texts, and its coalescing against byte offsets."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm.queries_op13 import op13_cross_tokenizer_alignment
-from tessera.llm.token_alignment import alignments, byte_level_alphabet, coalesce
+from tessera.llm.token_alignment import align, alignments, byte_level_alphabet, coalesce
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -83,6 +85,20 @@ def test_rows_repeat_ids_may_lack_and_tables_may_be_empty(spark):
     assert alignments(spark.createDataFrame([], kind), A, B).count() == 0
 
 
+def test_rows_and_row_groups_stay_small_whatever_a_task_reads(spark):
+    chance = random.Random(7)
+    words = ["".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=chance.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(chance.choices(words, k=400)) for _ in range(3600)] + ["many words said again " * 60_000]
+    shards = align(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), A, B)
+    (file,) = [f.removeprefix("file://") for f in shards.inputFiles()]
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_row_groups > 1 and max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 5 << 20
+    rows = pq.read_table(file).to_pylist()
+    said = {r["docs"][-1]: sum(len(x) for x in r.values() if isinstance(x, bytes)) for r in rows}
+    assert sorted(i for r in rows for i in r["docs"]) == list(range(3601)) and max(said.values()) < 400_000
+    assert said[3600] < 1000  # a long text's row grows with its distinct pairs only
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.randoms())
 def test_groups_end_where_both_end(sizes, random):
