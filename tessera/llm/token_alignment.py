@@ -29,13 +29,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .memo import Memo
-from .wordcodes import row_slices
+from .wordcodes import row_slices, strings
 
 MARK, LETTERS = "▁", "A-Za-zÀ-ÖØ-öø-ÿ"
 SHARD_BYTES, FEW_PAIRS = 250_000, 2_000_000
@@ -93,12 +94,13 @@ class Tokenizers:
         spec = proto.normalizer_spec  # chunks stand for themselves if nothing is rewritten and no piece crosses a space
         space = " " if any("\n" in p.piece for p in proto.pieces) else " \n"
         marks = "".join([m for m in ".,;:!?|" if not any(re.search(f"[{LETTERS}][{m}]", p.piece) for p in proto.pieces)])  # no piece joins them to a letter
-        self.cut = re.compile(rf"(?<=\S)(?=[{space}]\S)" + (f"|(?<=[{LETTERS}])(?=[{marks}])" if marks else ""))
+        every = "".join(map(chr, range(0x3002)))  # no white space beyond U+3000
+        self.white, self.space, self.letter, self.mark = (np.isin(np.arange(len(every)), [ord(c) for c in re.findall(p, every)]) for p in (r"\s", f"[{space}]", f"[{LETTERS}]", f"[{marks}]" if marks else r"(?!)"))
         self.by_chunk = not spec.precompiled_charsmap and (spec.add_dummy_prefix, spec.remove_extra_whitespaces) == (True, False) and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text that begins with the space both see."""
-        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text[1:]), np.int64)
+        return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self.b.encode(text[1:]), np.int64)
 
     def spells(self, text: bytes, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether the joined bytes of both are the text's."""
@@ -117,26 +119,54 @@ class Aligner:
     def __init__(self, a: str, b: str, room: int = 120_000):
         self.of, self.memo, self.odd = tokenizers_of(a, b), Memo(room), False
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of space + text, each with its leading space or line end."""
-        return self.of.cut.split(" " + text) if self.of.by_chunk else [" " + text]
+    def chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct chunks of space + text, each with its leading space or line end; which one stands at each place; the places of each text."""
+        of, joined = self.of, "".join([" " + t for t in texts])
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        data = np.frombuffer(joined.encode(), np.uint8)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        cut = np.zeros(len(codes), bool)
+        if of.by_chunk:
+            kind = np.minimum(codes, len(of.white) - 1)
+            solid = ~of.white[kind]
+            cut[1:-1] = solid[:-2] & of.space[kind[1:-1]] & solid[2:]
+            cut[1:] |= of.letter[kind[:-1]] & of.mark[kind[1:]]
+        cut[bounds[:-1]] = True
+        starts = np.flatnonzero(cut)
+        n_of = np.diff(np.searchsorted(starts, bounds))
+        if len(data) > len(codes):
+            size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)  # bytes of each character
+            starts = (np.cumsum(size) - size)[starts]
+        found = strings(data, np.diff(starts, append=len(data))).dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), n_of
 
     def learn(self, chunks: list[str], together: int = 512) -> None:
         for i in range(0, len(chunks), together):
-            part = [" a"]  # what is encoded begins with a space, and marks stand behind letters
-            for c in chunks[i : i + together]:
-                part += (c,) if c[:1] in " \n" else (" a", c)
-            if not self.of.by_chunk or not self._keep(part, *self.of.ids("".join(part))):
-                for c in chunks[i : i + together]:
-                    alone = [c] if c[:1] == " " else [" a", c]
-                    if c == " " or not self._keep(alone, *self.of.ids("".join(alone))):
-                        self.memo.young[c], self.odd = (), True  # its tokens don't spell it
+            self._learn(chunks[i : i + together])
+
+    def _learn(self, chunks: list[str]) -> None:
+        part = [" a"]  # what is encoded begins with a space, and marks stand behind letters
+        for c in chunks:
+            part += (c,) if c[:1] in " \n" else (" a", c)
+        if self.of.by_chunk and self._keep(part, *self.of.ids("".join(part))):
+            return
+        if len(chunks) > 1:  # some chunk's tokens don't spell it
+            for half in (chunks[: len(chunks) // 2], chunks[len(chunks) // 2 :]):
+                self._learn(half)
+            return
+        (c,) = chunks
+        alone = [c] if c[:1] == " " else [" a", c]
+        if c == " " or not self._keep(alone, *self.of.ids("".join(alone))):
+            self.memo.young[c], self.odd = (), True
 
     def _keep(self, chunks: list[str], a: np.ndarray, b: np.ndarray) -> bool:
         """Put the groups of chunks that lie one after the other into the cache, if the tokens spell them and break between them."""
         of, data = self.of, [c.encode() for c in chunks]
         a_ends, b_ends, ends = np.cumsum(of.a_size[a]), np.cumsum(of.b_size[b]), np.cumsum(list(map(len, data)))
-        if not of.spells(b"".join(data), a, b) or not (np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all()):
+        if not of.spells(b"".join(data), a, b):
+            return False
+        ca, cb = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
+        if not (np.array_equal(a_ends[ca - 1], ends) and np.array_equal(b_ends[cb - 1], ends)):
             return False
         ga, gb = coalesce(a_ends - of.a_size[a], a_ends, b_ends - of.b_size[b], b_ends)
         n = int(ga[-1]) + 1
@@ -146,7 +176,6 @@ class Aligner:
         take = np.repeat(first_b[ga] - (np.cumsum(per) - per), per) + np.arange(per.sum())
         pairs = (np.repeat(a, per) << 32) | b[take]
         said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        ca, cb = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
         cg = ga[ca - 1] + 1
         links = np.concatenate([[0], np.cumsum(per)])[ca]
         fa, fb = np.cumsum(na).tolist(), np.cumsum(nb).tolist()
@@ -174,37 +203,43 @@ def _narrow(values: np.ndarray) -> bytes:
     return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
 
 
+def _digests(spelt: pa.StringArray, places: np.ndarray, n_places: np.ndarray, together: int = 100_000) -> list[str]:
+    """The digest of each text's groups, from those of its chunks; '' without chunks."""
+    out, end = [], 0
+    for n in n_places.tolist():
+        sha, start, end = hashlib.sha256(), end, end + n
+        for i in range(start, end, together):
+            part = spelt.take(pa.array(places[i : min(i + together, end)]))
+            sha.update(b";" if i > start else b"")
+            sha.update(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), ";")[0].as_buffer())
+        out.append(sha.hexdigest() if n else "")
+    return out
+
+
 def _shard(aligner: Aligner, number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
     """Results of some texts, their distinct pairs with the number of these texts that hold each, and each text's pairs with their number of links."""
     memo = aligner.memo
     memo.turn()
-    place: dict[str, int] = {}
-    numbers, shas, n_of = [], [], []
-    known: list[tuple] = []
-    for text in texts:
-        chunks = aligner.chunks(text) if text and MARK not in text else []  # B writes that character's bytes as a space
-        kinds, got = set(chunks), memo.young
-        aligner.learn(memo.missing(kinds))
-        if aligner.odd and not all(map(got.__getitem__, kinds)):
-            chunks, kinds = [], set()
-        sha = hashlib.sha256()
-        for i in range(0, len(chunks), 100_000):
-            sha.update(((";" if i else "") + ";".join([got[c][3] for c in chunks[i : i + 100_000]])).encode())
-        shas.append(sha.hexdigest() if chunks else "")
-        for c in kinds.difference(place):
-            place[c] = len(known)
-            known.append(got[c])
-        which, times = np.unique(np.fromiter(map(place.__getitem__, chunks), np.int32, len(chunks)), return_counts=True)
-        numbers.append((which, times))
-        n_of.append(len(which))
-        memo.turn()
+    full = [k for k, text in enumerate(texts) if text and MARK not in text]  # B writes that character's bytes as a space
+    chunks, places, n_of = aligner.chunks([texts[k] for k in full])
+    aligner.learn(memo.missing(set(chunks)))
+    known, n_places = list(map(memo.young.__getitem__, chunks)), np.zeros(len(texts), np.int64)
+    n_places[full] = n_of
+    if aligner.odd and not all(known):  # texts with such chunks have no tokens
+        doc = np.repeat(np.arange(len(texts)), n_places)
+        n_places[doc[~np.array(list(map(bool, known)))[places]]] = 0
+        kinds, places = np.unique(places[n_places[doc] > 0], return_inverse=True)
+        known = [known[k] for k in kinds.tolist()]
+    shas = _digests(pa.array([k[3] for k in known], pa.string()), places, n_places)
+    n = max(len(known), 1)
+    held, times = np.unique(np.repeat(np.arange(len(texts)), n_places) * n + places, return_counts=True)
+    doc, chunk = np.divmod(held, n)
     counts = np.array([(k[0], k[1], k[2], len(k[4]) // 8) for k in known], np.int64).reshape(-1, 4)
-    chunk, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*numbers))
-    totals = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[chunk] * times[:, None], axis=0)])[np.concatenate([[0], np.cumsum(n_of)]).astype(np.int64)], axis=0)
+    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[chunk] * times[:, None], axis=0)])
+    totals = np.diff(sums[np.searchsorted(doc, np.arange(len(texts) + 1))], axis=0)
     pairs, links = np.unique(np.frombuffer(b"".join([k[4] for k in known]), np.int64), return_inverse=True)
     per = counts[chunk, 3]  # links of each chunk of a text
     at = np.repeat(np.cumsum(counts[:, 3])[chunk] - np.cumsum(per), per) + np.arange(per.sum())
-    doc = np.repeat(np.arange(len(texts)), n_of)
     key, times = _summed(np.repeat(doc, per) * max(len(pairs), 1) + links[at], np.repeat(times, per))
     doc, held = np.divmod(key, max(len(pairs), 1))
     firsts = np.searchsorted(doc, np.arange(len(texts) + 1))

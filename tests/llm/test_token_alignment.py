@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm.queries_op13 import op13_cross_tokenizer_alignment
-from tessera.llm.token_alignment import align, alignments, byte_level_alphabet, coalesce
+from tessera.llm.token_alignment import Aligner, align, alignments, byte_level_alphabet, coalesce
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -85,6 +86,26 @@ def test_rows_repeat_ids_may_lack_and_tables_may_be_empty(spark):
     assert alignments(spark.createDataFrame([], kind), A, B).count() == 0
 
 
+def cut():
+    """Where neither tokenizer joins bytes, as a pattern."""
+    b = sentencepiece.SentencePieceProcessor(model_file=B)
+    pieces, letters = [b.id_to_piece(i) for i in range(b.get_piece_size())], "A-Za-zÀ-ÖØ-öø-ÿ"
+    marks = "".join(m for m in ".,;:!?|" if not any(re.search(f"[{letters}][{m}]", p) for p in pieces))
+    space = " " if any("\n" in p for p in pieces) else " \n"
+    return re.compile(rf"(?<=\S)(?=[{space}]\S)" + (f"|(?<=[{letters}])(?=[{marks}])" if marks else ""))
+
+
+CUT = cut()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t\x1c\x85\u00a0\u2028\u3000\u3001.,;:!?|aZé×ß日😀0'", min_size=1, max_size=25), min_size=1, max_size=4))
+def test_chunks_lie_between_the_cuts(texts):
+    chunks, places, n_of = Aligner(A, B).chunks(texts)
+    found = np.split(np.array(chunks, object)[places], np.cumsum(n_of)[:-1])
+    assert [x.tolist() for x in found] == [CUT.split(" " + t) for t in texts]
+
+
 def test_rows_and_row_groups_stay_small_whatever_a_task_reads(spark):
     chance = random.Random(7)
     words = ["".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=chance.randint(2, 9))) for _ in range(3000)]
